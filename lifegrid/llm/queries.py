@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .linededup import OP10_SQL, op10_line_dedup
+from .outliers import op1_robust_outliers
+from .privacy import op4_private
 
 QUERIES = {
+    "op1_robust_outliers": op1_robust_outliers,
+    "op4_private": op4_private,
     "op10_line_dedup": op10_line_dedup,
 }
 SQL = {
