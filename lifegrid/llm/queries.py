@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .linededup import OP10_SQL, op10_line_dedup
+from .neardup import op3_prob_minhash
 from .outliers import op1_robust_outliers
 from .privacy import op4_private
 from .sentencepieces import op2_sentencepiece
@@ -12,6 +13,7 @@ from .tokenfiles import op7_token_files
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_prob_minhash": op3_prob_minhash,
     "op4_private": op4_private,
     "op5_token_counts": op5_token_counts,
     "op7_token_files": op7_token_files,
