@@ -6,6 +6,7 @@ from .linededup import OP10_SQL, op10_line_dedup
 from .neardup import op3_prob_minhash
 from .outliers import op1_robust_outliers
 from .privacy import op4_private
+from .quality import op9_quality
 from .sentencepieces import op2_sentencepiece
 from .tokencount import op5_token_counts
 from .tokenfiles import op7_token_files
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_private": op4_private,
     "op5_token_counts": op5_token_counts,
     "op7_token_files": op7_token_files,
+    "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 SQL = {
