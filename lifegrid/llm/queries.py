@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .linededup import OP10_SQL, op10_line_dedup
+from .mixing import OP8_SQL, op8_mixing
 from .neardup import op3_prob_minhash
 from .outliers import op1_robust_outliers
 from .privacy import op4_private
@@ -18,9 +19,11 @@ QUERIES = {
     "op4_private": op4_private,
     "op5_token_counts": op5_token_counts,
     "op7_token_files": op7_token_files,
+    "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 SQL = {
+    "op8_mixing": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
 }
