@@ -112,9 +112,10 @@ def with_tokens(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that the mix selects, once for each epoch they are selected in; all columns of docs."""
-    chosen = mix(with_tokens(docs), **how).select("doc_id")
-    return docs.join(chosen.groupBy("doc_id").agg(F.max(F.lit(1)).alias("_one"), F.count("*").alias("_times")), "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
+    """The rows of docs whose ids the mix selects, once for each epoch they are selected in; all columns of docs."""
+    chosen = mix(with_tokens(docs), **how).groupBy("doc_id").agg(F.countDistinct("epoch").cast("int").alias("_times"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(chosen, "doc_id").select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

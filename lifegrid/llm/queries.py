@@ -5,6 +5,7 @@ from __future__ import annotations
 from .linededup import OP10_SQL, op10_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .neardup import op3_prob_minhash
+from .neighbours import op6_neighbours
 from .outliers import op1_robust_outliers
 from .privacy import op4_private
 from .quality import op9_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_prob_minhash": op3_prob_minhash,
     "op4_private": op4_private,
     "op5_token_counts": op5_token_counts,
+    "op6_neighbours": op6_neighbours,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
