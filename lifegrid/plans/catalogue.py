@@ -1,6 +1,150 @@
-"""The queries by name, and their SQL where SQL can express them."""
+"""The queries by name, and their SQL where SQL can express them. Floats are rounded to 6 places on both sides."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import km, logrank
+from .cohorts import CONVERSION, ORDER_GAP, ORDER_GAP_RAW, SHIP_LAG, conversion, order_gap, order_gap_raw, ship_lag  # noqa: F401
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def km_sql(cte: str, table: str, group: str) -> str:
+    """The time grid and its windows: n at risk, product-limit estimate, Greenwood's sum."""
+    over = f"PARTITION BY {group}" if group else "PARTITION BY 1"
+    g = f"{group}, " if group else ""
+    return f"""{cte}, g AS (SELECT {g}time, CAST(sum(event) AS BIGINT) AS d, count(*) AS c FROM {table} GROUP BY {g}time),
+r AS (SELECT *, CAST(sum(c) OVER ({over} ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n FROM g),
+s AS (SELECT *, product(1 - d / CAST(n AS DOUBLE)) OVER ({over} ORDER BY time ROWS UNBOUNDED PRECEDING) AS surv,
+             sum(CASE WHEN n > d THEN d / (CAST(n AS DOUBLE) * (n - d)) ELSE 0 END) OVER ({over} ORDER BY time ROWS UNBOUNDED PRECEDING) AS gw,
+             min(n - d) OVER ({over} ORDER BY time ROWS UNBOUNDED PRECEDING) AS spare FROM r)"""
+
+
+Z = "1.959963984540054"
+
+
+def _ci(sign: str) -> str:
+    return f"CASE WHEN spare <= 0 THEN 0.0 WHEN surv >= 1 - 1e-12 OR gw <= 0 THEN surv ELSE exp(-exp(ln(-ln(surv)) {sign} {Z} * sqrt(gw) / abs(ln(surv)))) END"
+
+
+@query(
+    "km_curve_by_priority",
+    f"""WITH {km_sql(ORDER_GAP, 'gap', 'o_orderpriority')}
+SELECT o_orderpriority, time, n AS n_risk, d AS n_event, round(CASE WHEN spare <= 0 THEN 0.0 ELSE surv END, 6) AS survival,
+       round(CASE WHEN spare <= 0 THEN NULL ELSE surv * sqrt(gw) END, 6) AS std_error, round({_ci('+')}, 6) AS ci_lower, round({_ci('-')}, 6) AS ci_upper
+FROM s WHERE d > 0""",
+)
+def km_curve_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(km.curve(order_gap(spark, sf_dir), ["o_orderpriority"]))
+
+
+@query(
+    "km_curve_overall",
+    f"""WITH {km_sql(CONVERSION, 'conv', '')}
+SELECT time, n AS n_risk, d AS n_event, round(CASE WHEN spare <= 0 THEN 0.0 ELSE surv END, 6) AS survival,
+       round(CASE WHEN spare <= 0 THEN NULL ELSE surv * sqrt(gw) END, 6) AS std_error, round({_ci('+')}, 6) AS ci_lower, round({_ci('-')}, 6) AS ci_upper
+FROM s WHERE d > 0""",
+)
+def km_curve_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(km.curve(conversion(spark, sf_dir), []))
+
+
+def _summary_sql(cte: str, table: str, group: str) -> str:
+    return f"""WITH {km_sql(cte, table, group)},
+ev AS (SELECT *, lead(time) OVER (PARTITION BY {group} ORDER BY time) AS nx FROM s WHERE d > 0),
+q AS (SELECT *, (spare > 0 AND surv < 1 AND gw > 0 AND abs(ln(-ln(CASE WHEN surv > 0 AND surv < 1 THEN surv END)) - ln(-ln(0.5))) * abs(ln(surv)) / sqrt(gw) <= {Z}) AS near FROM ev),
+m AS (SELECT {group}, min(CASE WHEN surv < 0.5 - 1e-12 THEN time END) AS median, min(CASE WHEN near THEN time END) AS median_lower,
+             arg_max(nx, time) FILTER (WHERE near AND nx IS NOT NULL) AS mu, max(CASE WHEN near THEN time END) AS last_near,
+             max(CASE WHEN near AND nx IS NOT NULL THEN time END) AS last_nx FROM q GROUP BY {group}),
+b AS (SELECT {group}, CAST(sum(c) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS events, CAST(sum(c - d) AS BIGINT) AS censored, max(time) AS time_max FROM s GROUP BY {group})
+SELECT b.{group}, n, events, censored, time_max, median, median_lower, CASE WHEN last_near = last_nx THEN mu END AS median_upper FROM b LEFT JOIN m ON b.{group} = m.{group}"""
+
+
+@query("km_summary_by_segment", _summary_sql(ORDER_GAP, "gap", "c_mktsegment"))
+def km_summary_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(km.summary(order_gap(spark, sf_dir), ["c_mktsegment"]))
+
+
+def _follow_up_sql() -> str:
+    flipped = ORDER_GAP + ", f AS (SELECT c_mktsegment, time, 1 - event AS event FROM gap)"
+    return f"WITH {km_sql(flipped, 'f', 'c_mktsegment')} SELECT c_mktsegment, min(CASE WHEN d > 0 AND surv < 0.5 - 1e-12 THEN time END) AS median_follow_up FROM s GROUP BY c_mktsegment"
+
+
+@query("median_follow_up", _follow_up_sql())
+def median_follow_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return km.median_follow_up(order_gap(spark, sf_dir), ["c_mktsegment"])
+
+
+@query(
+    "km_rmst_by_segment",
+    f"""WITH {km_sql(ORDER_GAP, 'gap', 'c_mktsegment')},
+e AS (SELECT *, coalesce(lead(time) OVER w, 365.0) - time AS width FROM s WHERE d > 0 AND time <= 365 WINDOW w AS (PARTITION BY c_mktsegment ORDER BY time)),
+a AS (SELECT *, sum(width * surv) OVER (PARTITION BY c_mktsegment ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS tail FROM e),
+v AS (SELECT c_mktsegment, min(time) + sum(width * surv) AS rmst, CASE WHEN min(n - d) > 0 THEN sum(tail * tail * d / (CAST(n AS DOUBLE) * (n - d))) END AS variance FROM a GROUP BY c_mktsegment),
+h AS (SELECT *, max(CASE WHEN variance IS NULL THEN 1 ELSE 0 END) OVER () AS hole FROM v)
+SELECT c_mktsegment, round(rmst, 6) AS rmst, round(variance, 6) AS variance, round(CASE WHEN hole = 0 THEN sqrt(variance) END, 6) AS se,
+       round(CASE WHEN hole = 0 THEN greatest(0, least(365.0, rmst - {Z} * sqrt(variance))) END, 6) AS ci_lower,
+       round(CASE WHEN hole = 0 THEN greatest(0, least(365.0, rmst + {Z} * sqrt(variance))) END, 6) AS ci_upper FROM h""",
+)
+def km_rmst_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(km.rmst(order_gap(spark, sf_dir), ["c_mktsegment"], 365.0))
+
+
+TICKS = [0.0, 100.0, 250.5, 500.0, 1000.0, 2000.0]
+
+
+@query(
+    "risk_table_by_priority",
+    f"""WITH {ORDER_GAP} SELECT o_orderpriority, tick, CAST(sum(CASE WHEN time >= tick THEN 1 ELSE 0 END) AS BIGINT) AS n_at_risk
+FROM gap CROSS JOIN (SELECT CAST(unnest({TICKS}) AS DOUBLE) AS tick) GROUP BY o_orderpriority, tick""",
+)
+def risk_table_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return km.risk_table(order_gap(spark, sf_dir), ["o_orderpriority"], TICKS)
+
+
+@query(
+    "censor_marks",
+    f"""WITH {km_sql(SHIP_LAG, 'lag', 'l_linestatus')} SELECT l_linestatus, time, c - d AS n_censored, round(CASE WHEN spare <= 0 THEN 0.0 ELSE surv END, 6) AS survival FROM s WHERE c > d""",
+)
+def censor_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(km.censor_marks(ship_lag(spark, sf_dir), ["l_linestatus"]))
+
+
+def two_group_sql(weight: str) -> str:
+    """(O - E)^2 / V of status F against O; n of a group at a time counts rows with at least that time."""
+    return f"""WITH {SHIP_LAG}, p AS (SELECT time, sum(event) AS td, count(*) AS tc FROM lag GROUP BY time),
+q AS (SELECT time, td, sum(tc) OVER (ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS tn FROM p),
+q2 AS (SELECT *, coalesce(product(1 - td / CAST(tn AS DOUBLE)) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS sb FROM q),
+f AS (SELECT q2.time, td, tn, sb, coalesce(d, 0) AS d, sum(coalesce(c, 0)) OVER (ORDER BY q2.time DESC ROWS UNBOUNDED PRECEDING) AS n
+      FROM q2 LEFT JOIN (SELECT time, sum(event) AS d, count(*) AS c FROM lag WHERE l_linestatus = 'F' GROUP BY time) x ON q2.time = x.time),
+w AS (SELECT *, CAST({weight} AS DOUBLE) AS w, n / CAST(tn AS DOUBLE) AS share FROM f WHERE td > 0)
+SELECT CAST(sum(d) AS BIGINT) AS observed, round(sum(td * share), 6) AS expected,
+       round(pow(sum(w * (d - td * share)), 2) / sum(CASE WHEN tn > 1 THEN w * w * td * share * (1 - share) * (tn - td) / (tn - 1) ELSE 0 END), 6) AS chisq FROM w"""
+
+
+def _two(kind: str) -> Query:
+    return lambda spark, sf_dir: rounded(logrank.two_group_statistics(ship_lag(spark, sf_dir), "l_linestatus", kind))
+
+
+for _name, _kind, _w in (("logrank_two_group", "logrank", "1"), ("logrank_gehan", "gehan_breslow", "tn"), ("logrank_tarone_ware", "tarone_ware", "sqrt(tn)"), ("logrank_fleming_harrington", "fleming_harrington", "sb")):
+    query(_name, two_group_sql(_w))(_two(_kind))
