@@ -148,3 +148,144 @@ def _two(kind: str) -> Query:
 
 for _name, _kind, _w in (("logrank_two_group", "logrank", "1"), ("logrank_gehan", "gehan_breslow", "tn"), ("logrank_tarone_ware", "tarone_ware", "sqrt(tn)"), ("logrank_fleming_harrington", "fleming_harrington", "sb")):
     query(_name, two_group_sql(_w))(_two(_kind))
+
+
+from ..operators import cohort as cohorts  # noqa: E402
+from ..operators import encode, grouping, profile, split, table_one  # noqa: E402
+from .cohorts import read  # noqa: E402
+
+
+@query(
+    "pairwise_logrank",
+    f"""WITH {ORDER_GAP}, c3 AS (SELECT c_mktsegment AS grp, time, event FROM gap), labels AS (SELECT DISTINCT grp FROM c3),
+pr AS (SELECT a.grp AS a, b.grp AS b FROM labels a JOIN labels b ON a.grp < b.grp),
+x AS (SELECT a || ' vs ' || b AS comparison, a, grp, time, event FROM pr JOIN c3 ON grp = a OR grp = b),
+p AS (SELECT comparison, time, sum(event) AS td, count(*) AS tc, sum(CASE WHEN grp = a THEN event ELSE 0 END) AS d, sum(CASE WHEN grp = a THEN 1 ELSE 0 END) AS c FROM x GROUP BY comparison, time),
+q AS (SELECT comparison, td, d, sum(tc) OVER w AS tn, sum(c) OVER w AS n FROM p WINDOW w AS (PARTITION BY comparison ORDER BY time DESC ROWS UNBOUNDED PRECEDING)),
+w AS (SELECT *, n / CAST(tn AS DOUBLE) AS share FROM q WHERE td > 0)
+SELECT comparison, round(pow(sum(d - td * share), 2) / sum(CASE WHEN tn > 1 THEN td * share * (1 - share) * (tn - td) / (tn - 1) ELSE 0 END), 6) AS chisq FROM w GROUP BY comparison""",
+)
+def pairwise_logrank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logrank.pairwise(order_gap(spark, sf_dir), "c_mktsegment")
+    return rounded(spark.createDataFrame([(r["comparison"], r["chisq"]) for r in rows], "comparison string, chisq double"))
+
+
+@query(
+    "logrank_three_group_p",
+    f"""WITH {ORDER_GAP}, c3 AS (SELECT o_orderstatus AS grp, time, event FROM gap),
+p AS (SELECT time, sum(event) AS td, count(*) AS tc, {", ".join(f"sum(CASE WHEN grp = '{g}' THEN event ELSE 0 END) AS ev{g}, sum(CASE WHEN grp = '{g}' THEN 1 ELSE 0 END) AS c{g}" for g in "OP")} FROM c3 GROUP BY time),
+q AS (SELECT *, sum(tc) OVER w AS tn, sum(cO) OVER w AS nO, sum(cP) OVER w AS nP FROM p WINDOW w AS (ORDER BY time DESC ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, nO / CAST(tn AS DOUBLE) AS sO, nP / CAST(tn AS DOUBLE) AS sP, CASE WHEN tn > 1 THEN td * (tn - td) / CAST(tn - 1 AS DOUBLE) ELSE 0 END AS v FROM q WHERE td > 0),
+m AS (SELECT sum(evO - td * sO) AS u1, sum(evP - td * sP) AS u2, sum(v * sO * (1 - sO)) AS a, sum(-v * sO * sP) AS b, sum(v * sP * (1 - sP)) AS c FROM t),
+x AS (SELECT (c * u1 * u1 - 2 * b * u1 * u2 + a * u2 * u2) / (a * c - b * b) AS chisq FROM m)
+SELECT round(chisq, 6) AS chisq, CAST(2 AS BIGINT) AS df, round(exp(-chisq / 2), 6) AS p_value FROM x""",
+)
+def logrank_three_group_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = logrank.logrank(order_gap(spark, sf_dir), "o_orderstatus")
+    return rounded(spark.createDataFrame([(r["chisq"], r["df"], r["p_value"])], "chisq double, df long, p_value double"))
+
+
+@query(
+    "bh_adjust",
+    """WITH p AS (SELECT p_partkey, p_retailprice / 3000.0 AS p FROM part),
+r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM p)
+SELECT p_partkey, round(p, 6) AS p, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM r""",
+)
+def bh_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(logrank.bh_column(read(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 3000.0).alias("p")), "p"))
+
+
+@query(
+    "cohort_audit",
+    f"""WITH {ORDER_GAP_RAW}, x AS (SELECT *, CASE WHEN o_totalprice > 400000 THEN NULL ELSE o_totalprice END AS price FROM gap_raw)
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS rows_with_infinite_values, CAST(sum(CASE WHEN price IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS dropped_missing_rows,
+       CAST(sum(CASE WHEN price IS NOT NULL AND time <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS dropped_nonpositive_time_rows,
+       CAST(sum(CASE WHEN price IS NOT NULL AND time > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_kept,
+       CAST(sum(CASE WHEN price IS NOT NULL AND time > 0 AND event = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_events FROM x""",
+)
+def cohort_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = order_gap_raw(spark, sf_dir).withColumn("price", F.when(F.col("o_totalprice") <= 400000, F.col("o_totalprice")))
+    return cohorts.audit(raw, ["price"])
+
+
+@query("value_counts", f"WITH {ORDER_GAP} SELECT coalesce(c_mktsegment, 'Missing') AS value, count(*) AS n FROM gap GROUP BY 1")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.value_counts(order_gap(spark, sf_dir), "c_mktsegment")
+
+
+def _profile_sql() -> str:
+    kinds = {"c_custkey": True, "c_name": False, "c_nationkey": True, "c_acctbal": True, "c_mktsegment": False}
+    one = lambda c, num: f"SELECT '{c}' AS column, CASE WHEN count(DISTINCT {c}) <= 2 THEN 'binary' ELSE '{'numeric' if num else 'categorical'}' END AS kind, count(*) - count({c}) AS missing, count({c}) AS non_missing, count(DISTINCT {c}) AS n_unique, {f'round(CAST(min({c}) AS DOUBLE), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS min, {f'round(CAST(max({c}) AS DOUBLE), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS max FROM customer"
+    return " UNION ALL ".join(one(c, n) for c, n in kinds.items()).replace("AS column", 'AS "column"')
+
+
+@query("profile_columns", _profile_sql())
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.profile_columns(read(spark, sf_dir, "customer")))
+
+
+def _numeric_sql() -> str:
+    one = lambda v: f"SELECT grp, '{v}' AS variable, count({v}) AS n, count(*) - count({v}) AS missing, round(avg({v}), 6) AS mean, round(coalesce(stddev_samp({v}), 0), 6) AS sd, round(quantile_cont({v}, 0.5), 6) AS median, round(quantile_cont({v}, 0.25), 6) AS q1, round(quantile_cont({v}, 0.75), 6) AS q3 FROM x GROUP BY grp"
+    return f"WITH {ORDER_GAP}, x AS (SELECT 'Overall' AS grp, * FROM gap UNION ALL SELECT c_mktsegment, * FROM gap) {one('o_totalprice')} UNION ALL {one('c_acctbal')}"
+
+
+@query("table_one_numeric", _numeric_sql())
+def table_one_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(table_one.numeric_table(order_gap(spark, sf_dir), ["o_totalprice", "c_acctbal"], "c_mktsegment"))
+
+
+def _categorical_sql() -> str:
+    one = lambda v: f"SELECT grp, '{v}' AS variable, {v} AS level, count(*) AS n FROM x GROUP BY grp, {v}"
+    return f"""WITH {ORDER_GAP}, x AS (SELECT 'Overall' AS grp, * FROM gap UNION ALL SELECT c_mktsegment, * FROM gap),
+y AS ({one('o_orderpriority')} UNION ALL {one('o_orderstatus')})
+SELECT grp, variable, level, n, CAST(sum(n) OVER (PARTITION BY grp, variable) AS BIGINT) AS denominator, round(100.0 * n / sum(n) OVER (PARTITION BY grp, variable), 6) AS percent FROM y"""
+
+
+@query("table_one_categorical", _categorical_sql())
+def table_one_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(table_one.categorical_table(order_gap(spark, sf_dir), ["o_orderpriority", "o_orderstatus"], "c_mktsegment"))
+
+
+def _counts(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("events"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+
+
+def _group_sql(label: str, quantiles: str) -> str:
+    return f"WITH {ORDER_GAP}, q AS (SELECT {quantiles} FROM gap), x AS (SELECT gap.*, {label} AS grp FROM gap CROSS JOIN q) SELECT grp, count(*) AS n, CAST(sum(event) AS BIGINT) AS events, round(min(o_totalprice), 6) AS low, round(max(o_totalprice), 6) AS high FROM x GROUP BY grp"
+
+
+def _group(method: str, cutoff: object = None) -> Query:
+    return lambda spark, sf_dir: rounded(_counts(grouping.derive_group(order_gap(spark, sf_dir), "o_totalprice", method, "grp", cutoff).df, "grp"))
+
+
+_q = lambda *ps: ", ".join(f"quantile_cont(o_totalprice, {p}) AS q{i}" for i, p in enumerate(ps))
+query("group_median", _group_sql("CASE WHEN o_totalprice > q0 THEN 'High' ELSE 'Low' END", _q(0.5)))(_group("median_split"))
+query("group_quartile", _group_sql("CASE WHEN o_totalprice > q2 THEN 'Q4' WHEN o_totalprice > q1 THEN 'Q3' WHEN o_totalprice > q0 THEN 'Q2' ELSE 'Q1' END", _q(0.25, 0.5, 0.75)))(_group("quartile_split"))
+query("group_tertile", _group_sql("CASE WHEN o_totalprice > q1 THEN 'T3' WHEN o_totalprice > q0 THEN 'T2' ELSE 'T1' END", "quantile_cont(o_totalprice, CAST(1 AS DOUBLE) / 3) AS q0, quantile_cont(o_totalprice, CAST(2 AS DOUBLE) / 3) AS q1"))(_group("tertile_split"))
+query("group_percentile", _group_sql("CASE WHEN o_totalprice >= q0 THEN 'Top 25%' ELSE 'Rest' END", _q(0.75)))(_group("percentile_split", 25))
+query("group_extreme", _group_sql("CASE WHEN o_totalprice <= q0 THEN 'Bottom 20%' WHEN o_totalprice >= q1 THEN 'Top 20%' END", _q(0.2, 0.8)))(_group("extreme_split", 20))
+
+
+@query(
+    "encode_features",
+    f"""WITH {ORDER_GAP}, m AS (SELECT avg(o_totalprice) AS a, stddev_pop(o_totalprice) AS s, avg(c_acctbal) AS a2, stddev_pop(c_acctbal) AS s2 FROM gap)
+SELECT _row_id, round((o_totalprice - a) / s, 6) AS o_totalprice, round((c_acctbal - a2) / s2, 6) AS c_acctbal,
+       CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS "o_orderstatus__O", CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END AS "o_orderstatus__P",
+       0.0 AS "o_orderstatus__unknown", 0.0 AS "o_orderstatus__missing" FROM gap, m""",
+)
+def encode_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = order_gap(spark, sf_dir)
+    return rounded(encode.encode(gap, encode.fit_encoder(gap, ["o_totalprice", "c_acctbal", "o_orderstatus"], standardize=True), ["_row_id"]))
+
+
+@query("time_slice_evaluable", f"WITH {ORDER_GAP} SELECT t, count(*) AS n, CAST(sum(CASE WHEN time <= t THEN 1 ELSE 0 END) AS BIGINT) AS events FROM gap, (SELECT CAST(unnest([100, 500, 1000]) AS DOUBLE) AS t) WHERE time > t OR (time <= t AND event = 1) GROUP BY t")
+def time_slice_evaluable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = order_gap(spark, sf_dir)
+    ts = [100.0, 500.0, 1000.0]
+    r = gap.agg(*[F.sum(cohorts.evaluable_at(t).cast("long")).alias(f"n{i}") for i, t in enumerate(ts)], *[F.sum((cohorts.evaluable_at(t) & (F.col("time") <= t)).cast("long")).alias(f"e{i}") for i, t in enumerate(ts)])
+    return r.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"n{i}").alias("n"), F.col(f"e{i}").alias("events")) for i, t in enumerate(ts)])).alias("r")).select("r.*")
+
+
+@query("stratified_folds")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.folds(order_gap(spark, sf_dir), 5).groupBy("fold", "event").agg(F.count(F.lit(1)).alias("n"))
