@@ -289,3 +289,123 @@ def time_slice_evaluable(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stratified_folds")
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.folds(order_gap(spark, sf_dir), 5).groupBy("fold", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+import numpy as np  # noqa: E402
+
+from ..operators import brier, concordance, cox, cutpoint  # noqa: E402
+
+BETA = 2e-6
+
+
+@query(
+    "cox_score_test_null",
+    f"""WITH {ORDER_GAP}, m AS (SELECT avg(o_totalprice) AS a, stddev_pop(o_totalprice) AS s FROM gap), x AS (SELECT time, event, (o_totalprice - a) / s AS x FROM gap, m),
+g AS (SELECT time, CAST(sum(event) AS BIGINT) AS d, sum(CASE WHEN event = 1 THEN x ELSE 0 END) AS ex, count(*) AS c, sum(x) AS sx, sum(x * x) AS sxx, sum(CASE WHEN event = 1 THEN x * x ELSE 0 END) AS exx FROM x GROUP BY time),
+r AS (SELECT time, d, ex, exx, sum(c) OVER w AS n, sum(sx) OVER w AS s1, sum(sxx) OVER w AS s2 FROM g WINDOW w AS (ORDER BY time DESC ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT *, unnest(range(d)) AS k FROM r WHERE d > 0),
+p AS (SELECT *, n - k AS p0, s1 - k / CAST(d AS DOUBLE) * ex AS p1, s2 - k / CAST(d AS DOUBLE) * exx AS p2 FROM l),
+t AS (SELECT -sum(ln(p0)) AS loglik, sum(p1 / p0) AS mean, sum(p2 / p0 - (p1 / p0) * (p1 / p0)) AS info FROM p),
+u AS (SELECT loglik, (SELECT sum(ex) FROM g) - mean AS score, info FROM t)
+SELECT round(loglik, 4) AS loglik, round(score, 4) AS score, round(info, 4) AS info, round(score * score / info, 4) AS chisq FROM u""",
+)
+def cox_score_test_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = order_gap(spark, sf_dir)
+    m = gap.agg(F.avg("o_totalprice").alias("a"), F.stddev_pop("o_totalprice").alias("s")).first()
+    g = cox.moments(gap, ["o_totalprice"], [], np.zeros(1), np.array([m.a]), np.array([m.s])).toPandas()
+    loglik, score, info = cox.efron({c: g[c].to_numpy(float) for c in g.columns}, np.zeros(len(g), int), 1)
+    return rounded(spark.createDataFrame([(loglik, float(score[0]), float(info[0, 0]), float(score[0] ** 2 / info[0, 0]))], "loglik double, score double, info double, chisq double"), 4)
+
+
+def _fixed() -> cox.CoxFit:
+    return cox.CoxFit(["o_totalprice"], ["o_orderstatus"], np.array([BETA]), np.eye(1), 0.0, 0.0, 0, 1, 1, np.zeros(1))
+
+
+BRESLOW = f"""{ORDER_GAP}, g AS (SELECT o_orderstatus, time, CAST(sum(event) AS BIGINT) AS d, sum(exp({BETA} * o_totalprice)) AS w FROM gap GROUP BY o_orderstatus, time),
+r AS (SELECT *, sum(w) OVER (PARTITION BY o_orderstatus ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS s0 FROM g),
+h AS (SELECT *, sum(d / s0) OVER (PARTITION BY o_orderstatus ORDER BY time ROWS UNBOUNDED PRECEDING) AS ch FROM r)"""
+
+
+@query("breslow_hazard_fixed_beta", f"WITH {BRESLOW} SELECT o_orderstatus, time, d, round(s0, 4) AS s0, round(d / s0, 6) AS hazard, round(ch, 6) AS cumulative_hazard FROM h")
+def breslow_hazard_fixed_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = cox.baseline_hazard(order_gap(spark, sf_dir), _fixed())
+    return b.select("o_orderstatus", "time", "d", F.round("s0", 4).alias("s0"), F.round("hazard", 6).alias("hazard"), F.round("cumulative_hazard", 6).alias("cumulative_hazard"))
+
+
+@query("martingale_residuals_fixed_beta", f"WITH {BRESLOW} SELECT _row_id, round(event - ch * exp({BETA} * o_totalprice), 6) + 0.0 AS residual FROM gap JOIN h ON gap.time = h.time AND gap.o_orderstatus = h.o_orderstatus")
+def martingale_residuals_fixed_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cox.martingale_residuals(order_gap(spark, sf_dir), _fixed()).select("_row_id", "residual"))
+
+
+@query("cox_fit_priority")
+def cox_fit_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, names = cox.design(order_gap(spark, sf_dir), ["o_orderpriority", "o_totalprice", "c_acctbal"])
+    rows = cox.fit(d, names).table()
+    return rounded(spark.createDataFrame([tuple(r.values()) for r in rows], "term string, beta double, hazard_ratio double, ci_lower double, ci_upper double, std_error double, z double, p_value double"), 9)
+
+
+@query("cox_ph_tests")
+def cox_ph_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = order_gap(spark, sf_dir)
+    r = cox.ph_tests(gap, cox.fit(gap, ["o_totalprice", "c_acctbal"]))
+    return rounded(spark.createDataFrame([(x["term"], x["rho"], x["p_value"]) for x in r["terms"]], "term string, rho double, p_value double"))
+
+
+@query(
+    "concordance_totalprice",
+    f"""WITH {ORDER_GAP}, p AS (SELECT CAST(sum(CASE WHEN a.o_totalprice > b.o_totalprice THEN 1 ELSE 0 END) AS BIGINT) AS concordant,
+CAST(sum(CASE WHEN a.o_totalprice = b.o_totalprice THEN 1 ELSE 0 END) AS BIGINT) AS tied, count(*) AS comparable FROM gap a JOIN gap b ON b.time > a.time WHERE a.event = 1)
+SELECT *, round((concordant + 0.5 * tied) / comparable, 6) AS c_index FROM p""",
+)
+def concordance_totalprice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(concordance.pair_table(order_gap(spark, sf_dir).select("time", "event", F.col("o_totalprice").alias("risk"))))
+
+
+EVALS = [50.0, 200.0, 600.0]
+
+
+@query(
+    "brier_fixed_prediction",
+    f"""WITH {km_sql(ORDER_GAP + ", f AS (SELECT time, 1 - event AS event FROM gap)", "f", "")},
+k AS (SELECT time, sum(event) AS d, count(*) AS c FROM gap GROUP BY time), kr AS (SELECT *, sum(c) OVER (ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS n FROM k),
+ks AS (SELECT time, product(1 - d / CAST(n AS DOUBLE)) OVER (ORDER BY time ROWS UNBOUNDED PRECEDING) AS s0 FROM kr),
+gc AS (SELECT time, greatest(CASE WHEN spare <= 0 THEN 0.0 ELSE surv END, 1e-12) AS g FROM s),
+ts AS (SELECT CAST(unnest({EVALS}) AS DOUBLE) AS t), tg AS (SELECT t, coalesce((SELECT arg_max(g, time) FROM gc WHERE time <= t), 1.0) AS gt, coalesce((SELECT arg_max(s0, time) FROM ks WHERE time <= t), 1.0) AS s0 FROM ts),
+x AS (SELECT t, gt, tg.s0, g AS gi, gap.time, event, exp(-t / (400.0 + o_totalprice / 1000.0)) AS surv FROM gap JOIN gc ON gap.time = gc.time CROSS JOIN tg)
+SELECT t, count(*) AS n, round(avg(CASE WHEN time <= t AND event = 1 THEN surv * surv / gi WHEN time > t THEN (1 - surv) * (1 - surv) / gt ELSE 0 END), 6) AS brier,
+       round(avg(CASE WHEN time <= t AND event = 1 THEN s0 * s0 / gi WHEN time > t THEN (1 - s0) * (1 - s0) / gt ELSE 0 END), 6) AS null_brier FROM x GROUP BY t""",
+)
+def brier_fixed_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = order_gap(spark, sf_dir)
+    t = F.explode(F.array(*[F.lit(x) for x in EVALS])).alias("t")
+    p = gap.select("_row_id", "o_totalprice", t).select("_row_id", "t", F.exp(-F.col("t") / (400.0 + F.col("o_totalprice") / 1000.0)).alias("surv"))
+    return rounded(brier.brier_table(gap, p))
+
+
+@query(
+    "calibration_bins",
+    f"""WITH {ORDER_GAP}, x AS (SELECT time, event, exp(-200.0 / (400.0 + o_totalprice / 1000.0)) AS p FROM gap),
+q AS (SELECT {", ".join(f"quantile_cont(p, {k / 5}) AS q{k}" for k in range(1, 5))} FROM x),
+y AS (SELECT time, event, p, {" + ".join(f"CASE WHEN p > q{k} THEN 1 ELSE 0 END" for k in range(1, 5))} AS bin FROM x, q),
+g AS (SELECT bin, time, sum(event) AS d, count(*) AS c FROM y GROUP BY bin, time), r AS (SELECT *, sum(c) OVER (PARTITION BY bin ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS n FROM g),
+o AS (SELECT bin, product(1 - d / CAST(n AS DOUBLE)) AS observed FROM r WHERE time <= 200 GROUP BY bin)
+SELECT y.bin, count(*) AS n, CAST(sum(event) AS BIGINT) AS events, round(avg(p), 6) AS predicted, round(coalesce(max(observed), 1.0), 6) AS observed FROM y LEFT JOIN o ON y.bin = o.bin GROUP BY y.bin""",
+)
+def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = order_gap(spark, sf_dir).withColumn("surv", F.exp(-200.0 / (400.0 + F.col("o_totalprice") / 1000.0)))
+    return rounded(brier.calibration(gap, 200.0, 5))
+
+
+@query(
+    "cutpoint_scan",
+    f"""WITH {SHIP_LAG}, c AS (SELECT CAST(l_quantity AS DOUBLE) AS x, time, event FROM lag), v AS (SELECT DISTINCT x FROM c), m AS (SELECT (x + lead(x) OVER (ORDER BY x)) / 2 AS cut FROM v),
+p AS (SELECT time, sum(event) AS td, count(*) AS tc FROM c GROUP BY time), n AS (SELECT *, sum(tc) OVER (ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS tn FROM p),
+a AS (SELECT cut, time, sum(event) AS d, count(*) AS k FROM m JOIN c ON x > cut GROUP BY cut, time),
+f AS (SELECT m.cut, n.time, td, tn, coalesce(d, 0) AS d, sum(coalesce(k, 0)) OVER (PARTITION BY m.cut ORDER BY n.time DESC ROWS UNBOUNDED PRECEDING) AS n1 FROM m CROSS JOIN n LEFT JOIN a ON a.cut = m.cut AND a.time = n.time WHERE m.cut IS NOT NULL),
+s AS (SELECT cut, pow(sum(d - td * n1 / tn), 2) / sum(CASE WHEN tn > 1 THEN td * (n1 / tn) * (1 - n1 / tn) * (tn - td) / (tn - 1) ELSE 0 END) AS chisq, max(n1) AS n_above, sum(d) AS events_above FROM f GROUP BY cut),
+t AS (SELECT count(*) AS n, sum(event) AS e FROM c)
+SELECT cut AS cutpoint, CAST(n - n_above AS BIGINT) AS n_below, CAST(n_above AS BIGINT) AS n_above, CAST(e - events_above AS BIGINT) AS events_below, CAST(events_above AS BIGINT) AS events_above, round(chisq, 6) AS chisq
+FROM s, t WHERE n_above >= ceil(0.1 * n) AND n - n_above >= ceil(0.1 * n) AND events_above >= 1 AND e - events_above >= 1""",
+)
+def cutpoint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cutpoint.scan(ship_lag(spark, sf_dir), "l_quantity"))
