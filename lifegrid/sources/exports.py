@@ -1,0 +1,103 @@
+"""Bounded result tables as CSV, Markdown, LaTeX, DOCX and XLSX text or bytes."""
+
+from __future__ import annotations
+
+import csv
+import io
+import math
+import zipfile
+from xml.sax.saxutils import escape
+
+from ..errors import DependencyError
+
+TEMPLATES = ("default", "compact", "journal", "supplement")
+
+
+def cell(value: object, digits: int = 4) -> str:
+    if value is None or (isinstance(value, float) and not math.isfinite(value)):
+        return ""
+    return f"{value:.{digits}g}" if isinstance(value, float) else str(value)
+
+
+def _columns(rows: list[dict], columns: list[str] | None) -> list[str]:
+    return columns or list(dict.fromkeys(k for r in rows for k in r))
+
+
+def to_csv(rows: list[dict], columns: list[str] | None = None, caption: str = "", notes: list[str] = ()) -> str:
+    """Caption and notes as # lines; text that a spreadsheet would take for a formula gets a leading apostrophe."""
+    safe = lambda s: "'" + s if s[:1] in ("=", "+", "-", "@", "\t", "\r") and not _number(s) else s
+    out = io.StringIO()
+    for line in [caption, *notes]:
+        if line:
+            out.write("# " + " ".join(line.split()) + "\n")
+    cols, w = _columns(rows, columns), csv.writer(out, lineterminator="\n")
+    w.writerow([safe(c) for c in cols])
+    w.writerows([safe(cell(r.get(c), 10)) for c in cols] for r in rows)
+    return out.getvalue()
+
+
+def _number(s: str) -> bool:
+    try:
+        float(s)
+        return True
+    except ValueError:
+        return False
+
+
+def to_markdown(rows: list[dict], columns: list[str] | None = None, caption: str = "", notes: list[str] = (), template: str = "default") -> str:
+    cols = _columns(rows, columns)
+    line = lambda xs: "| " + " | ".join(x.replace("|", "\\|").replace("\n", " ") for x in xs) + " |"
+    body = [line(cols), line(["---"] * len(cols)), *[line([cell(r.get(c)) for c in cols]) for r in rows]]
+    head = {"default": f"**{caption}**\n\n", "compact": "", "journal": f"**Table.** {caption}\n\n", "supplement": f"### {caption}\n\n"}[template] if caption else ""
+    tail = "" if not notes else "\n\n" + ("Notes: " + " ".join(notes) if template == "journal" else "\n".join(f"- {n}" for n in notes))
+    return head + "\n".join(body) + tail + "\n"
+
+
+# How LaTeX writes its own characters.
+LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+
+def latex(text: str) -> str:
+    return "".join(LATEX.get(c, c) for c in text)
+
+
+def to_latex(rows: list[dict], columns: list[str] | None = None, caption: str = "", notes: list[str] = ()) -> str:
+    cols = _columns(rows, columns)
+    line = lambda xs: " & ".join(latex(x) for x in xs) + r" \\"
+    body = [line(cols), r"\midrule", *[line([cell(r.get(c)) for c in cols]) for r in rows]]
+    out = [r"\begin{table}[ht]", r"\centering", *([rf"\caption{{{latex(caption)}}}"] if caption else []), rf"\begin{{tabular}}{{{'l' * len(cols)}}}", r"\toprule", *body, r"\bottomrule", r"\end{tabular}"]
+    return "\n".join([*out, *[rf"\par\small {latex(n)}" for n in notes], r"\end{table}"]) + "\n"
+
+
+def to_docx(rows: list[dict], columns: list[str] | None = None, caption: str = "", notes: list[str] = ()) -> bytes:
+    """A minimal Office Open XML document with one table."""
+    cols = _columns(rows, columns)
+    run = lambda s, bold=False: f"<w:p><w:r>{'<w:rPr><w:b/></w:rPr>' if bold else ''}<w:t xml:space=\"preserve\">{escape(s)}</w:t></w:r></w:p>"
+    tr = lambda xs, bold=False: "<w:tr>" + "".join(f"<w:tc>{run(x, bold)}</w:tc>" for x in xs) + "</w:tr>"
+    edge = "".join(f'<w:{s} w:val="single" w:sz="4"/>' for s in ("top", "bottom", "insideH"))
+    table = f"<w:tbl><w:tblPr><w:tblBorders>{edge}</w:tblBorders></w:tblPr>" + tr(cols, True) + "".join(tr([cell(r.get(c)) for c in cols]) for r in rows) + "</w:tbl>"
+    body = (run(caption, True) if caption else "") + table + "".join(run(n) for n in notes) + "<w:p/>"
+    ns = "http://schemas.openxmlformats.org"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{ns}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{ns}/package/2006/relationships"><Relationship Id="rId1" Type="{ns}/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
+        "word/document.xml": f'<w:document xmlns:w="{ns}/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+    return out.getvalue()
+
+
+def to_xlsx(rows: list[dict], columns: list[str] | None = None, caption: str = "", notes: list[str] = ()) -> bytes:
+    try:
+        from openpyxl import Workbook
+    except ImportError as e:
+        raise DependencyError("XLSX export needs openpyxl") from e
+    book, cols = Workbook(), _columns(rows, columns)
+    for line in [[caption]] * bool(caption) + [cols] + [[r.get(c) for c in cols] for r in rows] + [[n] for n in notes]:
+        book.active.append(line)
+    out = io.BytesIO()
+    book.save(out)
+    return out.getvalue()
