@@ -409,3 +409,82 @@ FROM s, t WHERE n_above >= ceil(0.1 * n) AND n - n_above >= ceil(0.1 * n) AND ev
 )
 def cutpoint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cutpoint.scan(ship_lag(spark, sf_dir), "l_quantity"))
+
+
+from ..operators import explain, signature  # noqa: E402
+from ..operators.learners import compare  # noqa: E402
+from ..sources import synthetic  # noqa: E402
+
+
+def _signature_sql() -> str:
+    labels = {0: ("o_totalprice", "o_totalprice > a0"), 1: ("o_totalprice", "o_totalprice > a1"), 2: ("o_totalprice", "o_totalprice > a2"), 3: ("c_acctbal", "c_acctbal > b0"), 4: ("c_acctbal", "c_acctbal > b1"), 5: ("c_acctbal", "c_acctbal > b2")}
+    pairs = [(i, j) for i in range(3) for j in range(3, 6)]
+    rules = [(f"r{i}", labels[i][1]) for i in labels] + [(f"r{i}{op}{j}", f"({labels[i][1]}) {op} ({labels[j][1]})") for i, j in pairs for op in ("AND", "OR")]
+    cols = ", ".join(f"{{'rule_key': '{n}', 'm': {t}}}" for n, t in rules)
+    return f"""WITH {ORDER_GAP}, q AS (SELECT {", ".join(f"quantile_cont(o_totalprice, {p}) AS a{k}, quantile_cont(c_acctbal, {p}) AS b{k}" for k, p in enumerate((0.25, 0.5, 0.75)))} FROM gap),
+x AS (SELECT time, event, unnest([{cols}]) AS r FROM gap, q), y AS (SELECT time, event, r.rule_key AS rule_key, CASE WHEN r.m THEN 1 ELSE 0 END AS m FROM x),
+p AS (SELECT rule_key, time, sum(event) AS td, count(*) AS tc, sum(m) AS c, sum(m * event) AS d FROM y GROUP BY rule_key, time),
+n AS (SELECT *, sum(tc) OVER w AS tn, sum(c) OVER w AS n1 FROM p WINDOW w AS (PARTITION BY rule_key ORDER BY time DESC ROWS UNBOUNDED PRECEDING))
+SELECT rule_key, CAST(sum(c) AS BIGINT) AS n_in, CAST(sum(d) AS BIGINT) AS events_in, CAST(sum(tc - c) AS BIGINT) AS n_out, CAST(sum(td - d) AS BIGINT) AS events_out,
+  round(pow(sum(d - td * n1 / tn), 2) / sum(CASE WHEN tn > 1 THEN td * (n1 / tn) * (1 - n1 / tn) * (tn - td) / (tn - 1) ELSE 0 END), 6) AS chisq FROM n GROUP BY rule_key"""
+
+
+@query("signature_rules", _signature_sql())
+def signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _, todo, _, _ = signature.rule_table(order_gap(spark, sf_dir), ["o_totalprice", "c_acctbal"], 2, 0.05)
+    keys = spark.createDataFrame([(i, "r" + op.join(map(str, c)) if len(c) > 1 else f"r{c[0]}") for i, (c, op) in enumerate(todo)], "rule_id long, rule_key string")
+    return rounded(t.join(keys, "rule_id").select("rule_key", "n_in", "events_in", "n_out", "events_out", "chisq"))
+
+
+@query("signature_search")
+def signature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = signature.discover(conversion_features(spark, sf_dir), ["n_events", "mean_value"], bootstrap=10, permutations=20, validation=5, min_fraction=0.1)
+    return spark.createDataFrame([(x["rule"], x["chisq"], x["p_adjusted"], x["hazard_ratio"], x["bootstrap_support"], x["permutation_p"], float(x["stability"]), x["significant"]) for x in r["rules"]], "rule string, chisq double, p_adjusted double, hazard_ratio double, bootstrap_support double, permutation_p double, stability double, significant boolean")
+
+
+def conversion_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversion cohort with how many events and what mean value a user has had."""
+    f = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("_row_id")).agg(F.count(F.lit(1)).cast("double").alias("n_events"), F.avg("value").alias("mean_value"))
+    return conversion(spark, sf_dir).join(f, "_row_id")
+
+
+@query("model_comparison")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compare.compare(conversion_features(spark, sf_dir), ["n_events", "mean_value"], n_estimators=20)
+    return spark.createDataFrame([(r["rank"], r["model"], r["c_index"], r["ibs"], r["skill"], r["train_n"], r["test_n"], r["evaluation_mode"]) for r in rows], "rank int, model string, c_index double, ibs double, skill double, train_n int, test_n int, evaluation_mode string")
+
+
+@query("repeated_cross_validation")
+def repeated_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.summarise(compare.cross_validate(conversion_features(spark, sf_dir), ["n_events", "mean_value"], models=["cox_ph", "gradient_boosted_survival"], folds=3, repeats=2, n_estimators=15))
+
+
+@query("partial_dependence")
+def partial_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = compare.prepare(conversion_features(spark, sf_dir), ["n_events", "mean_value"])
+    model, _ = compare.train(data, "gradient_boosted_survival", n_estimators=20)
+    return spark.createDataFrame([(r["value"], r["risk"]) for r in explain.partial_dependence(model, data, "n_events", 20)], "value double, risk double")
+
+
+@query("time_slice_importance")
+def time_slice_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.time_slice_importance(conversion_features(spark, sf_dir), ["n_events", "mean_value"])
+
+
+@query("rmst_contrast")
+def rmst_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sorted((r.asDict() for r in km.rmst(ship_lag(spark, sf_dir), ["l_linestatus"], 300.0).collect()), key=lambda r: r["l_linestatus"])
+    c = km.rmst_contrast(rows, "l_linestatus", 300.0)
+    return rounded(spark.createDataFrame([tuple(c[k] for k in ("comparison", "estimate", "se", "z_statistic", "p_value", "ci_lower", "ci_upper"))], "comparison string, estimate double, se double, z_statistic double, p_value double, ci_lower double, ci_upper double"))
+
+
+@query("synthetic_cohort_km")
+def synthetic_cohort_km(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cohorts.build(synthetic.make_cohort(spark, 5000), "os_months", "os_event", extras=["stage"], strict_roles=True)
+    return rounded(km.summary(c.df, ["stage"]))
+
+
+@query("optimal_cutpoint")
+def optimal_cutpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = cutpoint.optimal_cutpoint(conversion_features(spark, sf_dir), "n_events", permutations=20)
+    return spark.createDataFrame([(float(r["cutpoint"]), float(r["chisq"]), r["p_value"], r["permutation_p"], r["label_above"])], "cutpoint double, chisq double, p_value double, permutation_p double, label_above string")
