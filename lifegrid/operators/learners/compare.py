@@ -15,7 +15,7 @@ from ...errors import UserInputError
 from .. import encode as enc
 from ..profile import check_feature_count
 from ..split import holdout, repeated_folds
-from .models import MODELS, evaluate, independent
+from .models import MODELS, evaluate, independent  # noqa: F401
 
 #: Cells of the encoded matrix that tasks get whole; larger cohorts fit the distributed Cox model instead.
 MAX_CELLS = 20_000_000
