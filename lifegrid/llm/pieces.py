@@ -31,14 +31,14 @@ class Units:
     Two generations: what is used moves to the young one; when that is full it becomes the old one.
     """
 
-    def __init__(self, encode):
-        self.encode, self.young, self.old, self.long = encode, {}, {}, []
+    def __init__(self, encode, keep: int = KEEP):
+        self.encode, self.keep, self.young, self.old, self.long = encode, keep, {}, {}, []
 
     def load(self, units: list[str]) -> None:
         """Makes the values of these units available to ``values``."""
         for u in self.long:
             del self.young[u]
-        if len(self.young) > KEEP:
+        if len(self.young) > self.keep:
             self.young, self.old = {}, self.young
         young, old, new = self.young, self.old, []
         for u in set(units):
@@ -67,16 +67,23 @@ def groups(texts: list[str | None]) -> list[tuple[int, int]]:
 
 #: Where byte-level BPE always cuts: before a space with no white space at either side.
 _SPACE_EDGE = re.compile(r"(?<=\S)(?= \S)")
-_ODD_SPACE = re.compile(r" \s|\s |^ | $|^$")
+
+
+def evenly_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line ends between other characters."""
+    return " ".join(text.split()) == text.replace("\n", " ") != ""
 
 
 def byte_units(text: str) -> list[str]:
-    """Units of the byte-level BPE pattern. Within a run of white space, and next to other white space
-    than one space, nothing is cut."""
-    if _ODD_SPACE.search(text):
+    """Units of the byte-level BPE pattern: parts before a space, and before a full stop or comma between a letter
+    or digit and a space. Within a run of white space, and next to other white space than one space, nothing is cut."""
+    if not evenly_spaced(text) or "\0" in text:
         return _SPACE_EDGE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]] if rest else [first]
+    cut = text
+    for mark in (". ", ", "):
+        if all(part[-1:].isalnum() for part in text.split(mark)[:-1]):  # else the mark may belong to those before it
+            cut = cut.replace(mark, "\0" + mark)
+    return cut.replace(" ", "\0 ").split("\0")
 
 
 def word_units(text: str) -> list[str]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,19 @@ from .pieces import Units, byte_units, default_path, groups
 _ENCODERS: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: printable Latin-1 for itself, the others from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Byte-level BPE of the tokenizers library; ids as little-endian bytes of the given type."""
+    """Byte-level BPE of the tokenizers library; ids as little-endian bytes of the given type.
+
+    New units that are one word of letters go straight to the library's BPE model, as its pattern would cut nothing
+    in them; other units without a line end go to the library joined by line ends; what is left goes one by one.
+    """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
@@ -36,7 +48,32 @@ class Encoder:
         self.lib, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.units = Units(lambda us: [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(us, add_special_tokens=False)])
+        self.model, self.letters = self.lib.model, _byte_letters()
+        self.space, self.code = self.letters[32], {2: "H", 4: "I"}[self.dtype.itemsize]
+        (self.line,) = self.lib.encode("\n", add_special_tokens=False).ids
+        self.units = Units(self.fresh, 600_000)
+
+    def fresh(self, units: list[str]) -> list[bytes]:
+        out: dict[str, list[int]] = {}
+        lines, odd = [], []
+        for u in units:
+            word = u[1:] if u[:1] == " " else u
+            if word.isalpha() and max(word) < "\u0250":
+                raw = u.replace(" ", self.space) if u.isascii() else u.encode().decode("latin-1").translate(self.letters)
+                out[u] = [t.id for t in self.model.tokenize(raw)]
+            elif word.split() == [word]:
+                lines.append(u)
+            else:
+                odd.append(u)
+        if lines:
+            ids = np.array(self.lib.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids)
+            cuts = np.flatnonzero(ids == self.line)
+            parts = np.split(ids, cuts)
+            for u, part in zip(lines, [parts[0], *[x[1:] for x in parts[1:]]], strict=True):
+                out[u] = part.tolist()
+        for u, e in zip(odd, self.lib.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            out[u] = e.ids
+        return [array(self.code, out[u]).tobytes() for u in units]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
