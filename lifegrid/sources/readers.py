@@ -68,9 +68,14 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     if suffix == ".parquet":
         df = spark.read.parquet(path)
     elif suffix in DELIMITED:
-        encoding, sep = sniff(_head(spark, path), suffix)
+        head = _head(spark, path)
+        encoding, sep = sniff(head, suffix)
         df = spark.read.csv(path, header=True, inferSchema=True, sep=sep, encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=True, escape='"')
-        df = df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+        # Spark numbers repeated names in its own way, so they are taken from the file
+        text = head.decode("utf-8-sig" if encoding == "UTF-8" else "latin-1", errors="ignore")
+        names = next(csv.reader(text.splitlines(True), delimiter=sep), [])
+        if len(names) == len(df.columns):
+            df = df.toDF(*unique_names(names))
     elif suffix in (".xlsx", ".xls"):
         try:
             import openpyxl  # noqa: F401

@@ -87,8 +87,8 @@ def test_bh_column(spark):
 
 def test_distributions():
     assert stats.chi2_upper(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-12)
-    assert stats.chi2_upper(100, 10) == pytest.approx(5.2644e-17, rel=1e-4)
-    assert stats.student_two_sided(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-12)
+    assert stats.chi2_upper(100, 10) == pytest.approx(5.449702e-17, rel=1e-6)
+    assert stats.student_two_sided(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-10)
     assert stats.spearman([1, 2, 3, 4, 5], [5, 6, 7, 8, 7])[0] == pytest.approx(0.8207826817)
 
 
@@ -106,7 +106,7 @@ def test_event_coding():
     assert code(["alive", "cancer_death", "other_death"], "death") == "error"
     for p in (None, "deceased", 1):
         assert code(["0:LIVING", "1:DECEASED"], p) == {"0:LIVING": 0, "1:DECEASED": 1}
-    assert code(["x", "y"], "y") == {"x": 0, "y": 1} and code(["x", "y", "z"], "y") == "error" and code([]) == "error"
+    assert code(["p", "q"], "q") == {"p": 0, "q": 1} and code(["p", "q", "r"], "q") == "error" and code([]) == "error"
 
 
 def test_roles():
@@ -177,11 +177,12 @@ def test_cox_matches_local_newton(spark):
 
 
 def test_group_derivation(spark):
-    df = rows(spark, range(1, 7), [1, 0] * 3, age=[1.0, 2, 2, 2, 3, 4])
+    df = rows(spark, range(1, 7), [1, 0] * 3, age=[1.0, 2.0, 2.0, 2.0, 3.0, 4.0])
     of = lambda method, cut=None: [r.g for r in grouping.derive_group(df, "age", method, "g", cut).df.orderBy("_row_id").collect()]
     assert of("median_split") == of("percentile_split", 50) == ["Low"] * 4 + ["High"] * 2
-    assert of("quartile_split") == ["Q1", "Q1", "Q1", "Q1", "Q3", "Q3"] or len(set(of("quartile_split"))) >= 2
-    assert of("extreme_split", 20)[1:4] == ["Middle"] * 0 + of("extreme_split", 20)[1:4]
+    # the quartiles are 2, 2, 2.75: three distinct bins
+    assert of("quartile_split") == ["Q1", "Q1", "Q1", "Q1", "Q3", "Q3"]
+    assert of("extreme_split", 20) == ["Bottom 20%", "Bottom 20%", "Bottom 20%", "Bottom 20%", "Top 20%", "Top 20%"]
     with pytest.raises(UserInputError):
         grouping.derive_group(df, "age", "median_split", "age")
     with pytest.raises(UserInputError):
