@@ -24,7 +24,10 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def _head(spark: SparkSession, path: str, n: int = 65_536) -> bytes:
+LOOK = 65_536
+
+
+def _head(spark: SparkSession, path: str, n: int = LOOK) -> bytes:
     """The first bytes of a file, by Spark's own file systems."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -49,7 +52,7 @@ def sniff(head: bytes, suffix: str) -> tuple[str, str]:
         text = head.decode("utf-8-sig")
     except UnicodeDecodeError as e:
         # a character may be cut at the end of the look
-        if e.start > len(head) - 4:
+        if len(head) >= LOOK and e.start > len(head) - 4:
             text = head[: e.start].decode("utf-8-sig")
         else:
             encoding, text = "ISO-8859-1", head.decode("latin-1")
