@@ -9,8 +9,8 @@ Texts of equal weighted sets are one node. Nodes that share a band form a bucket
 so that every pair in a bucket is either verified, already connected, or proven unlike:
 
 1. Each bucket's most popular node (whose buckets hold the most) is verified with all others.
-2. In buckets still in several components, each node outside the largest one is verified with all
-   nodes of other components that a bound allows: a shingle that no other such node holds can't be shared.
+2. In buckets still in several components, nodes that share a rare shingle are verified with each other, and each node
+   outside the largest component with all nodes of other components that a bound allows if no rare shingle is shared.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .shingles import counted, mix, shingle_hashes, word_hashes
 
 SLOTS_A_BAND = 5
 BANDS = 25
+#: A shingle that at most so many unresolved nodes hold leads to its holders directly.
+RARE = 6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,9 +178,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     wanted = small_side(open_.select(F.col("node").alias("doc_id")).distinct())
     sets = rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_rare, "node long, h long, c long")
     sets = scratch.put(sets, "sets")
-    own = sets.groupBy("h").agg(F.count("*").alias("df"), F.min("node").alias("node"), F.min("c").alias("c")).filter(F.col("df") == 1)
-    alone = own.groupBy("node").agg(F.sum("c").alias("own"), F.count("*").alias("own_n"))
-    mass = sets.groupBy("node").agg(F.sum("c").alias("mass"), F.count("*").alias("n")).join(alone, "node", "left").select("node", "mass", "n", F.coalesce("own", F.lit(0)).alias("own"), (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("free"))
+    few = sets.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE)
+    rare = scratch.put(sets.join(few.select("h"), "h").join(open_.select("node", "comp").distinct(), "node"), "rare")
+    own = rare.groupBy("node").agg(F.sum("c").alias("own"), F.count("*").alias("own_n"))
+    mass = sets.groupBy("node").agg(F.sum("c").alias("mass"), F.count("*").alias("n")).join(own, "node", "left").select("node", "mass", "n", F.coalesce("own", F.lit(0)).alias("own"), (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("free"))
+    # pairs that share a rare shingle, at most RARE nodes each; for all others no rare shingle is shared
+    sharing = rare.alias("x").join(rare.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
+    sharing = sharing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     may = mass.filter(F.col("mass") - F.col("own") >= threshold * F.col("mass"))
     able = scratch.put(open_.join(may, "node"), "able")
     x, y = able.filter(F.col("comp") != F.col("big")).alias("x"), able.alias("y")
@@ -188,7 +194,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # J_P <= 1 / (1 + ax / (mx - ax) + ay / (my - ay)), with ax, ay what cannot be shared; multiplied out
     bound = (ax < mx) & (ay < my) & ((mx - ax) * (my - ay) >= (threshold - 1e-9) * ((mx - ax) * (my - ay) + ax * (my - ay) + ay * (mx - ax)))
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & bound)
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).union(sharing).distinct()
     more = scratch.put(links(scratch.put(rest, "rest"), rows, threshold), "links")
     if more.limit(1).count():
         comp = components(found.union(more), scratch)
