@@ -70,6 +70,10 @@ def train(data: Data, model: str, **how) -> tuple[object, dict]:
 SCHEMA = "model string, repeat int, fold int, train_n int, test_n int, train_events int, test_events int, n_features int, c_index double, ibs double, null_ibs double, skill double, error string"
 
 
+def _frame(row: dict) -> pd.DataFrame:
+    return pd.DataFrame({c.split()[0]: pd.Series([row.get(c.split()[0])], dtype=object) for c in SCHEMA.split(", ")})
+
+
 def _rank(rows: list[dict]) -> list[dict]:
     rows.sort(key=lambda r: (r["c_index"] is None, -(r["c_index"] or 0), r["model"]))
     return [r | {"rank": i + 1} for i, r in enumerate(rows)]
@@ -87,7 +91,7 @@ def compare(cohort: DataFrame, features: list[str], categorical: list[str] = (),
                     row = train(data, m, seed=seed, **how)[1]
                 except ValueError as e:
                     row = {"model": m, "error": str(e)}
-                yield pd.DataFrame([row]).reindex(columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                yield _frame(row)
 
     tasks = spark.createDataFrame([(m,) for m in models], "model string").repartition(len(models), "model")
     rows = [_clean(r.asDict()) | {"evaluation_mode": data.mode} for r in tasks.mapInPandas(run, SCHEMA).collect()]
@@ -121,7 +125,7 @@ def cross_validate(cohort: DataFrame, features: list[str], categorical: list[str
                     row |= evaluate(MODELS[m](x[~test], t[~test], e[~test], seed=seed + r, **how), x[test], t[test], e[test], t[~test], e[~test])
                 except ValueError as err:
                     row["error"] = str(err)
-                yield pd.DataFrame([row]).reindex(columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                yield _frame(row)
 
     tasks = [(m, r, f) for m in models for r in range(repeats) for f in range(folds)]
     df = spark.createDataFrame(tasks, "model string, repeat int, fold int").repartition(min(len(tasks), 64), "model", "repeat", "fold")
