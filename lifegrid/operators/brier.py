@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UserInputError
-from .km import summary  # noqa: F401
 from .timegrid import grid, survival
 
 TINY = 1e-12
@@ -43,7 +42,8 @@ def brier_table(cohort: DataFrame, predictions: DataFrame, support: DataFrame |
     """
     support = cohort if support is None else support
     cens = survival(grid(support.select("time", (1 - F.col("event")).alias("event")), []), []).select("time", F.greatest("surv", F.lit(TINY)).alias("g"))
-    g = (cens.orderBy("time").toPandas().time.to_numpy(float), cens.orderBy("time").toPandas().g.to_numpy(float))
+    pdf = cens.orderBy("time").toPandas()  # a row per distinct time
+    g = (pdf.time.to_numpy(float), pdf.g.to_numpy(float))
     null = step(support)
     ts = sorted(r.t for r in predictions.select("t").distinct().collect())
     base = cohort.sparkSession.createDataFrame([(float(t), float(at(g, np.array([t]))[0]), float(at(null, np.array([t]))[0])) for t in ts], "t double, gt double, s0 double")
