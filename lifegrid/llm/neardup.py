@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_side, table
-from .pieces import groups
+from .pieces import groups, hold
 from .shingles import counted, mix, shingle_hashes, word_hashes
 
 SLOTS_A_BAND = 5
@@ -76,6 +76,7 @@ def prob_jaccard(hx: np.ndarray, cx: np.ndarray, hy: np.ndarray, cy: np.ndarray)
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slots = SLOTS_A_BAND * BANDS
+    hold(("signatures",), dict)
     for whole in batches:
         texts = whole.column("text").to_pylist()
         for a, z in groups(texts):
@@ -98,6 +99,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(("verify",), dict)
         kept: dict[int, tuple] = {}  # the sets of popular nodes come again and again
         for b in batches:
             a, z, ta, tz = (b.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))

@@ -19,6 +19,18 @@ KEEP_CHARS = 64
 GROUP_CHARS = 500_000
 
 
+_held: dict = {}
+
+
+def hold(key: tuple, make):
+    """What a worker keeps between tasks: the one thing made last, so that operators that follow each other in the
+    same worker don't pile up their stores."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .pieces import groups
+from .pieces import groups, hold
 from .shingles import shingle_hashes, word_hashes
 
 #: Kinds of bytes whose rates are features; every other byte is of the last kind.
@@ -125,7 +125,7 @@ def estimate_prior(sp: np.ndarray, su: np.ndarray) -> float:
     return float(np.clip(qu[best] / qp[best], 0.05, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, l2: float = 1e-4) -> Quality:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, l2: float = 1e-2) -> Quality:
     """Standardises by the unlabelled sample, estimates the prior on halves that the first model hasn't seen, then fits."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0)
     scale = np.maximum(scale, np.float32(0.01))
@@ -176,6 +176,7 @@ def score_documents(docs: DataFrame, model: Quality | None, limit: float = 0.3,
     keep = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(("quality",), dict)
         for whole in batches:
             texts = whole.column("_text").to_pylist()
             for a, z in groups(texts):

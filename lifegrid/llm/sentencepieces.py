@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .linededup import row_key
-from .pieces import Units, default_path, groups
+from .pieces import Units, default_path, groups, hold
 
 SPACE = "▁"
 _ODD = re.compile(f" {{2}}|^ | $|{SPACE}|\x00")
@@ -54,7 +54,7 @@ class Model:
         # units are cut before spaces; that needs that no piece has a space after another character
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece of this model crosses words")
-        self.units = Units(lambda us: [np.array(x, "<u2").tobytes() for x in self.lib.encode(us, num_threads=1)] if us else [])
+        self.units = Units(lambda us: [np.array(x, "<u2").tobytes() for x in self.lib.encode(us, num_threads=1)] if us else [], 120_000)
 
     # the library's own encoding, for all but giant texts
 
@@ -90,7 +90,7 @@ class Model:
         """Whether b may stand behind a; a = '' for the start of the text."""
         got = self.allowed.get((a, b))
         if got is None:
-            if len(self.allowed) > 500_000:
+            if len(self.allowed) > 100_000:
                 self.allowed.clear()
             got = self.allowed[a, b] = self.merge(a + b) == ([a, b] if a else [b])
         return got
@@ -171,15 +171,9 @@ def encode_scanned(model: Model, text: str, chunk: int) -> list[int]:
     return [i for a, b in zip(at, at[1:], strict=False) for i in (model.piece_ids(model.trace(s, a, b)) if a != b else [])]
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def _model(path: str | None) -> Model:
     path = path or default_path("piece_bpe_32k.model")
-    if path not in _MODELS:
-        _MODELS.clear()
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+    return hold(("pieces", path), lambda: Model(path))
 
 
 def _giant(docs: DataFrame, path: str | None, chunk: int, margin: int) -> DataFrame:

@@ -15,9 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .pieces import Units, default_path, groups, word_units
-
-_MODELS: dict = {}
+from .pieces import Units, default_path, groups, hold, word_units
 
 
 class Counter:
@@ -93,11 +91,7 @@ class Counter:
 
 
 def _counter(path: str, chunk: int, overlap: int) -> Counter:
-    key = (path, chunk, overlap)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Counter(*key)
-    return _MODELS[key]
+    return hold(("count", path, chunk, overlap), lambda: Counter(path, chunk, overlap))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, chunk: int = 65_536, overlap: int = 512, limit: int = 2048) -> DataFrame:

@@ -23,9 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, small_side, table
-from .pieces import Units, byte_units, default_path, groups
-
-_ENCODERS: dict = {}
+from .pieces import Units, byte_units, default_path, groups, hold
 
 
 def _byte_letters() -> dict[int, str]:
@@ -85,10 +83,7 @@ class Encoder:
 
 
 def _encoder(path: str, dtype: str) -> Encoder:
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, dtype] = Encoder(path, dtype)
-    return _ENCODERS[path, dtype]
+    return hold(("files", path, dtype), lambda: Encoder(path, dtype))
 
 
 def open_folder(uri: str):
