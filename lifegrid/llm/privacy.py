@@ -2,8 +2,8 @@
 (DataFrame functions only).
 
 The values found by the base patterns are the protected entities. A term t found near an entity e
-discloses it as far as it lowers e's information content: with N documents, c(e) the contexts of e
-(equal contexts, as copies have, count once), c(e, t) those with t and df(t) the documents with t,
+discloses it as far as it lowers e's information content: with N distinct texts (so that copies count
+once everywhere), c(e) those with e, c(e, t) those with t near e and df(t) those with t,
 
     IC(e) = log2(N / c(e)),   PMI(e, t) = log2(N c(e, t) / (c(e) df(t))).
 
@@ -115,20 +115,28 @@ def _context(text: Column, s: Column, n: int) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(whole_left, whole_right), term), keep)))
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, scratch: Scratch, threshold: float = 0.8, support: int = 3) -> DataFrame:
-    """(e1, e2, term): the terms that disclose an entity, over all documents and all spans."""
-    # each distinct context of an entity once, so that copies don't count
-    seen = spans.select("e1", "e2", F.xxhash64("context").alias("x"), "context").groupBy("e1", "e2", "x").agg(F.first("context").alias("context"))
-    seen = scratch.put(seen, "contexts")
-    of_entity = seen.groupBy("e1", "e2").agg(F.count("*").alias("ce")).filter(F.col("ce") >= support)
-    pairs = seen.select("e1", "e2", F.explode("context").alias("term")).groupBy("e1", "e2", "term").agg(F.count("*").alias("cet")).filter(F.col("cet") >= support)
+def text_key(text: Column) -> list[Column]:
+    """128 bits that tell texts apart: the unit of all counts, whatever rows hold the text."""
+    return [F.xxhash64(text).alias("u1"), F.xxhash64(F.lit("text"), text).alias("u2")]
+
+
+def once(texts: DataFrame, twice: DataFrame) -> DataFrame:
+    """A row for each distinct text of u1, u2, text; twice holds the keys that several rows have, so that only their texts move."""
+    twice = small_side(twice)
+    return texts.join(twice, ["u1", "u2"], "left_anti").unionByName(texts.join(twice, ["u1", "u2"], "left_semi").dropDuplicates(["u1", "u2"]))
+
+
+def disclosing_terms(texts: DataFrame, base: DataFrame, each: DataFrame, scratch: Scratch, threshold: float = 0.8, support: int = 3) -> DataFrame:
+    """(e1, e2, term): the terms that disclose an entity. Everything is counted over distinct texts: texts has u1, u2, text of
+    every row, base the keys of every row, each the entities and contexts of the spans."""
+    of_entity = each.select("u1", "u2", "e1", "e2").distinct().groupBy("e1", "e2").agg(F.count("*").alias("ce")).filter(F.col("ce") >= support)
+    pairs = each.select("u1", "u2", "e1", "e2", F.explode("context").alias("term")).distinct().groupBy("e1", "e2", "term").agg(F.count("*").alias("cet")).filter(F.col("cet") >= support)
     pairs = scratch.put(pairs.join(of_entity, ["e1", "e2"]), "pairs")
-    wanted = scratch.put(pairs.select("term").distinct(), "terms")
-    full = F.coalesce("text", F.lit(""))
-    words = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.explode(_terms(full)).alias("w")).filter(F.length("w") >= 4)
-    df = words.select("r1", "r2", term(F.col("w")).alias("term")).join(small_side(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.count()
-    total = F.lit(float(max(n, 2)))
+    units = scratch.put(base.groupBy("u1", "u2").agg(F.count("*").alias("k")), "units")
+    single = once(texts, scratch.put(units.filter("k > 1").select("u1", "u2"), "twice"))
+    words = F.array_distinct(F.transform(F.filter(_terms(F.col("text")), lambda w: F.length(w) >= 4), term))
+    df = single.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = F.lit(float(max(units.count(), 2)))
     pmi = F.log2(total * F.col("cet") / (F.col("ce") * F.col("df")))
     ic = F.log2(total / F.col("ce"))
     return pairs.join(df, "term").filter((ic > 0) & (pmi >= threshold * ic)).select("e1", "e2", "term")
@@ -143,18 +151,18 @@ def find_private(docs: DataFrame, threshold: float = 0.8, support: int = 3) -> D
     spark = docs.sparkSession
     scratch = Scratch(spark, "private")
     text = F.coalesce("text", F.lit(""))
-    base = scratch.put(docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), base_spans(text).alias("spans")), "base")
-    each = base.filter(F.size("spans") > 0).select("r1", "r2", F.explode("spans").alias("s"))
-    each = each.select("r1", "r2", F.xxhash64("s.kind", "s.value").alias("e1"), F.xxhash64(F.lit("e"), "s.value", "s.kind").alias("e2"), F.col("s.context").alias("context"))
-    shown = scratch.put(disclosing_terms(docs.select("doc_id", "text"), each, scratch, threshold, support), "shown")
-    per_row = scratch.put(each.join(small_side(shown), ["e1", "e2"]).groupBy("r1", "r2").agg(F.collect_set("term").alias("terms")), "rows")
-    ids = small_side(per_row.select("r1", "r2"))
-    texts = docs.select(text.alias("text"), *row_key(F.col("doc_id"), F.col("text"))).join(ids, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
-    found = texts.join(per_row, ["r1", "r2"]).select("r1", "r2", F.filter(matches(F.col("text"), r"[^\x20\x09-\x0D]+"), lambda s: F.array_contains(F.col("terms"), term(s["m"]))).alias("hits"))
+    base = scratch.put(docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), *text_key(text), base_spans(text).alias("spans")), "base")
+    each = base.filter(F.size("spans") > 0).select("u1", "u2", F.explode("spans").alias("s"))
+    each = each.select("u1", "u2", F.xxhash64("s.kind", "s.value").alias("e1"), F.xxhash64(F.lit("e"), "s.value", "s.kind").alias("e2"), F.col("s.context").alias("context"))
+    texts = docs.select(text.alias("text"), *text_key(text))
+    shown = scratch.put(disclosing_terms(texts, base, each, scratch, threshold, support), "shown")
+    per_text = scratch.put(each.join(small_side(shown), ["e1", "e2"]).groupBy("u1", "u2").agg(F.collect_set("term").alias("terms")), "texts")
+    held = texts.join(small_side(per_text.select("u1", "u2")), ["u1", "u2"], "left_semi").dropDuplicates(["u1", "u2"])
+    found = held.join(per_text, ["u1", "u2"]).select("u1", "u2", F.filter(matches(F.col("text"), r"[^\x20\x09-\x0D]+"), lambda s: F.array_contains(F.col("terms"), term(s["m"]))).alias("hits"))
     cut = lambda s: s["start"] + F.length(s["m"]) - F.length(F.ltrim(s["m"], F.lit(PUNCT)))
-    more = found.select("r1", "r2", F.transform("hits", lambda s: F.struct(F.lit(4).alias("kind"), cut(s).alias("start"), (cut(s) + F.length(F.btrim(s["m"], F.lit(PUNCT)))).alias("end"))).alias("more"))
+    more = found.select("u1", "u2", F.transform("hits", lambda s: F.struct(F.lit(4).alias("kind"), cut(s).alias("start"), (cut(s) + F.length(F.btrim(s["m"], F.lit(PUNCT)))).alias("end"))).alias("more"))
     plain = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return base.join(more, ["r1", "r2"], "left").select("doc_id", "r1", "r2", F.when(F.col("more").isNull(), plain).otherwise(F.concat(plain, F.col("more"))).alias("spans"))
+    return base.join(more, ["u1", "u2"], "left").select("doc_id", "r1", "r2", F.when(F.col("more").isNull(), plain).otherwise(F.concat(plain, F.col("more"))).alias("spans"))
 
 
 def sanitise(docs: DataFrame, **how) -> DataFrame:

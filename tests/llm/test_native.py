@@ -179,6 +179,16 @@ def test_private_copies_do_not_disclose(spark):
     assert not any(s.kind == 4 for r in privacy.find_private(table(spark, texts)).collect() for s in r.spans)
 
 
+def test_private_copies_do_not_suppress(spark):
+    """Copies of one of the documents that prove a disclosure don't take it back."""
+    mine = ["maple", "birch", "aspen", "cedar", "alder"]
+    texts = [f"start {w} words here common call Zanzibarius at secret@home.org now common {w}s again word" for w in mine]
+    texts += [texts[0]] * 60 + [f"common text number {i} with nothing else to see other{i}" for i in range(200)]
+    got = {r.doc_id: r.spans for r in privacy.find_private(table(spark, texts)).collect()}
+    for i in range(65):
+        assert "Zanzibarius" in {texts[i][s.start : s.end] for s in got[i] if s.kind == 4}
+
+
 def test_private_digest_of_nothing(spark, tmp_path):
     table(spark, ["no data", None]).write.parquet(str(tmp_path / "documents.parquet"))
     for r in privacy.op4_private(spark, str(tmp_path)).collect():
