@@ -1,9 +1,9 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what reveals them
 (DataFrame functions only).
 
-The values found by the base patterns are the protected entities. A term t found near an entity e
-discloses it as far as it lowers e's information content: with N distinct texts (so that copies count
-once everywhere), c(e) those with e, c(e, t) those with t near e and df(t) those with t,
+The values found by the base patterns are the protected entities. A term t (a word outside the base
+spans, in lower case and without punctuation at its ends) of a text that holds an entity e discloses it as far as it lowers e's information content: with N distinct texts (so that copies count
+once everywhere), c(e) those with e, c(e, t) those with both and df(t) those with t,
 
     IC(e) = log2(N / c(e)),   PMI(e, t) = log2(N c(e, t) / (c(e) df(t))).
 
@@ -31,7 +31,7 @@ PATTERNS = {
 #: A text without this character has no match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 PUNCT = ".,;:!?\"'()[]{}<>|*#"
-SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string,context:array<string>>>"
+SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -76,17 +76,17 @@ def valid(kind: str, m: Column) -> Column:
     return F.length(_digits(m)).between(8, 15)
 
 
-def base_spans(text: Column, context_chars: int = 120) -> Column:
-    """All valid base matches in order of kind and start, with their normalised value and the words around."""
-    return F.concat(*[_of_kind(text, k, kind, context_chars) for k, kind in enumerate(KINDS)])
+def base_spans(text: Column) -> Column:
+    """All valid base matches in order of kind and start, with their normalised value."""
+    return F.concat(*[_of_kind(text, k, kind) for k, kind in enumerate(KINDS)])
 
 
-def _of_kind(text: Column, k: int, kind: str, context_chars: int) -> Column:
+def _of_kind(text: Column, k: int, kind: str) -> Column:
     value = F.lower if kind == "email" else _digits if kind in ("card", "phone") else lambda m: m
     right = F.filter(matches(text, PATTERNS[kind]), lambda s: valid(kind, s["m"]))
     spans = F.transform(
         right,
-        lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), value(s["m"]).alias("value"), _context(text, s, context_chars).alias("context")),
+        lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), value(s["m"]).alias("value")),
     )
     if NEEDS[kind] is None:
         return spans
@@ -104,15 +104,29 @@ def _terms(chunk: Column) -> Column:
     return F.split(flat, " ")
 
 
-def _context(text: Column, s: Column, n: int) -> Column:
-    """The distinct terms within n code points around a span, without words that the window cuts."""
-    left_at = F.greatest(s["start"] - n, F.lit(0))
-    left = _terms(F.substr(text, (left_at + 1).cast("int"), (s["start"] - left_at).cast("int")))
-    right = _terms(F.substr(text, (s["end"] + 1).cast("int"), F.lit(n)))
-    whole_right = F.slice(right, F.lit(2), F.greatest(F.size(right) - 2, F.lit(0)))
-    whole_left = F.slice(left, F.lit(2), F.greatest(F.size(left) - 2, F.lit(0)))
-    keep = lambda t: (F.length(t) >= 4) & ~F.regexp_like(t, F.lit("[@0-9]"))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(whole_left, whole_right), term), keep)))
+def outside(text: Column, spans: Column) -> Column:
+    """The text with its base spans blanked, so that positions stay and a word that touches a span keeps its rest."""
+
+    def blank(t: Column, own: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(own, i)["end"], F.lit(0).cast("long"))
+        gap = lambda s, i: F.substr(t, (end(i - 1) + 1).cast("int"), (s["start"] - end(i - 1)).cast("int"))
+        done = F.transform(own, lambda s, i: F.concat(gap(s, i), F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int"))))
+        last = end(F.size(own) - 1)
+        return F.concat(F.array_join(done, ""), F.substr(t, (last + 1).cast("int"), (F.length(t) - last).cast("int")))
+
+    for k in range(len(KINDS)):  # the spans of one kind don't overlap
+        own = F.filter(spans, lambda s: s["kind"] == k)  # noqa: B023
+        text = let(F.struct(text.alias("t"), own.alias("own")), lambda x: F.when(F.size(x["own"]) == 0, x["t"]).otherwise(blank(x["t"], x["own"])))
+    return text
+
+
+def free_text(text: Column) -> Column:
+    return let(F.struct(text.alias("t"), base_spans(text).alias("s")), lambda x: F.when(F.size(x["s"]) == 0, x["t"]).otherwise(outside(x["t"], x["s"])))
+
+
+def words_outside(text: Column) -> Column:
+    """The distinct terms of a text outside its base spans."""
+    return F.filter(F.array_distinct(F.transform(_terms(free_text(text)), term)), lambda t: t != "")
 
 
 def text_key(text: Column) -> list[Column]:
@@ -128,18 +142,20 @@ def once(texts: DataFrame, twice: DataFrame) -> DataFrame:
 
 def disclosing_terms(texts: DataFrame, base: DataFrame, each: DataFrame, scratch: Scratch, threshold: float = 0.8, support: int = 3) -> DataFrame:
     """(e1, e2, term): the terms that disclose an entity. Everything is counted over distinct texts: texts has u1, u2, text of
-    every row, base the keys of every row, each the entities and contexts of the spans."""
-    of_entity = each.select("u1", "u2", "e1", "e2").distinct().groupBy("e1", "e2").agg(F.count("*").alias("ce")).filter(F.col("ce") >= support)
-    pairs = each.select("u1", "u2", "e1", "e2", F.explode("context").alias("term")).distinct().groupBy("e1", "e2", "term").agg(F.count("*").alias("cet")).filter(F.col("cet") >= support)
-    pairs = scratch.put(pairs.join(of_entity, ["e1", "e2"]), "pairs")
+    every row, base the keys of every row, each the distinct u1, u2, e1, e2 of the spans."""
+    of_entity = scratch.put(each.groupBy("e1", "e2").agg(F.count("*").alias("ce")).filter(F.col("ce") >= support), "entities")
     units = scratch.put(base.groupBy("u1", "u2").agg(F.count("*").alias("k")), "units")
     single = once(texts, scratch.put(units.filter("k > 1").select("u1", "u2"), "twice"))
-    words = F.array_distinct(F.transform(F.filter(_terms(F.col("text")), lambda w: F.length(w) >= 4), term))
-    df = single.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    holds = scratch.put(each.join(small_side(of_entity), ["e1", "e2"]), "holds")
+    near = texts.join(small_side(holds.select("u1", "u2").distinct()), ["u1", "u2"], "left_semi").dropDuplicates(["u1", "u2"]).select("u1", "u2", words_outside(F.col("text")).alias("words"))
+    pairs = near.join(holds, ["u1", "u2"]).select("e1", "e2", "ce", F.explode("words").alias("term")).groupBy("e1", "e2", "ce", "term").agg(F.count("*").alias("cet")).filter(F.col("cet") >= support)
+    pairs = scratch.put(pairs, "pairs")
+    df = single.select(F.explode(words_outside(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = F.lit(float(max(units.count(), 2)))
     pmi = F.log2(total * F.col("cet") / (F.col("ce") * F.col("df")))
     ic = F.log2(total / F.col("ce"))
-    return pairs.join(df, "term").filter((ic > 0) & (pmi >= threshold * ic)).select("e1", "e2", "term")
+    # a term in fewer texts than the support is in no pair
+    return pairs.join(df.filter(F.col("df") >= support), "term").filter((ic > 0) & (pmi >= threshold * ic)).select("e1", "e2", "term")
 
 
 def find_private(docs: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
@@ -153,12 +169,13 @@ def find_private(docs: DataFrame, threshold: float = 0.8, support: int = 3) -> D
     text = F.coalesce("text", F.lit(""))
     base = scratch.put(docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), *text_key(text), base_spans(text).alias("spans")), "base")
     each = base.filter(F.size("spans") > 0).select("u1", "u2", F.explode("spans").alias("s"))
-    each = each.select("u1", "u2", F.xxhash64("s.kind", "s.value").alias("e1"), F.xxhash64(F.lit("e"), "s.value", "s.kind").alias("e2"), F.col("s.context").alias("context"))
+    each = scratch.put(each.select("u1", "u2", F.xxhash64("s.kind", "s.value").alias("e1"), F.xxhash64(F.lit("e"), "s.value", "s.kind").alias("e2")).distinct(), "each")
     texts = docs.select(text.alias("text"), *text_key(text))
     shown = scratch.put(disclosing_terms(texts, base, each, scratch, threshold, support), "shown")
     per_text = scratch.put(each.join(small_side(shown), ["e1", "e2"]).groupBy("u1", "u2").agg(F.collect_set("term").alias("terms")), "texts")
     held = texts.join(small_side(per_text.select("u1", "u2")), ["u1", "u2"], "left_semi").dropDuplicates(["u1", "u2"])
-    found = held.join(per_text, ["u1", "u2"]).select("u1", "u2", F.filter(matches(F.col("text"), r"[^\x20\x09-\x0D]+"), lambda s: F.array_contains(F.col("terms"), term(s["m"]))).alias("hits"))
+    free = held.join(per_text, ["u1", "u2"]).select("u1", "u2", "terms", free_text(F.col("text")).alias("free"))
+    found = free.select("u1", "u2", F.filter(matches(F.col("free"), r"[^\x20\x09-\x0D]+"), lambda s: F.array_contains(F.col("terms"), term(s["m"]))).alias("hits"))
     cut = lambda s: s["start"] + F.length(s["m"]) - F.length(F.ltrim(s["m"], F.lit(PUNCT)))
     more = found.select("u1", "u2", F.transform("hits", lambda s: F.struct(F.lit(4).alias("kind"), cut(s).alias("start"), (cut(s) + F.length(F.btrim(s["m"], F.lit(PUNCT)))).alias("end"))).alias("more"))
     plain = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

@@ -189,6 +189,23 @@ def test_private_copies_do_not_suppress(spark):
         assert "Zanzibarius" in {texts[i][s.start : s.end] for s in got[i] if s.kind == 4}
 
 
+def test_private_terms_anywhere(spark):
+    """Terms at the text's ends, short ones, ones with digits, ones touching the span or far from it are candidates; the span isn't."""
+    mine = ["maple", "birch", "aspen", "cedar", "alder"]
+    far = " ".join(["plain"] * 60)
+    texts = [f"Wilberforce {w} staff A7713 Kim <{'mailto:'}{w} 李明 at x1@y.org,Quill {far} Montgomery {w}s secret@home.org Thaddeus" for w in mine]
+    texts += [f"{w} of all plain x{i} staff at <mailto:" for i, w in enumerate(mine * 40)]
+    df = table(spark, texts)
+    got = {r.doc_id: r.spans for r in privacy.find_private(df).collect()}
+    for i in range(5):
+        terms = [(s.start, s.end) for s in got[i] if s.kind == 4]
+        assert {"Wilberforce", "A7713", "Kim", "李明", "Quill", "Montgomery", "Thaddeus"} == {texts[i][a:b] for a, b in terms}
+        assert not any(a < s.end and s.start < b for a, b in terms for s in got[i] if s.kind < 4)
+    assert not any(got[i] for i in range(5, 205))
+    clean = {r.doc_id: r.text for r in privacy.sanitise(df).collect()}
+    assert not any(w in clean[0] for w in ("Kim", "Quill", "Thaddeus", "secret")) and clean[0].count("[EMAIL]") == 2
+
+
 def test_private_digest_of_nothing(spark, tmp_path):
     table(spark, ["no data", None]).write.parquet(str(tmp_path / "documents.parquet"))
     for r in privacy.op4_private(spark, str(tmp_path)).collect():
