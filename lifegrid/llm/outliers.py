@@ -150,8 +150,8 @@ def judge(stats: DataFrame, alpha: float = 1e-6, h: float = 0.75, steps: int = 3
     """Adds base_failed, d2 and kept to a written table of doc_id, lang, source and STATS.
 
     Rows that pass the base rules are estimated per (lang, source). Sources with fewer than
-    min_rows such rows are pooled within their language, then over all languages; where even
-    that pool is smaller, nothing is rejected beyond the base rules. Null lang or source form
+    min_rows such rows are judged by all such rows of their language, and where these are fewer too, by those of
+    the whole table; only a table of fewer rejects nothing beyond the base rules. Null lang or source form
     groups of their own. Concentration steps: distances from the current estimate, the h-quantile of them (exact on
     logarithms rounded to 0.01, so its state stays small), then the moments of the rows within.
     """
@@ -162,16 +162,18 @@ def judge(stats: DataFrame, alpha: float = 1e-6, h: float = 0.75, steps: int = 3
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     rows = rows.withColumns({"k1": key("lang"), "k2": key("source")})
     counts = rows.filter(~F.col("base_failed")).groupBy("k1", "k2").count()
-    by_lang = counts.withColumn("small", F.when(F.col("count") < min_rows, F.col("count")).otherwise(0)).groupBy("k1").agg(F.sum("small").alias("pool"))
-    home = scratch.put(
-        counts.join(by_lang, "k1").select(
-            "k1", "k2",
-            F.when((F.col("count") < min_rows) & (F.col("pool") < min_rows), "*").otherwise(F.col("k1")).alias("g1"),
-            F.when(F.col("count") < min_rows, "*").otherwise(F.col("k2")).alias("g2"),
-        ), "home",
-    )
-    rows = rows.join(small_side(home), ["k1", "k2"], "left").drop("k1", "k2").withColumns(transformed())
-    good = rows.filter(~F.col("base_failed"))
+    # the group that judges a row, and the groups that it is an observation of
+    sums = counts.join(counts.groupBy("k1").agg(F.sum("count").alias("of_lang")), "k1")
+    own = F.col("count") >= min_rows
+    sums = sums.withColumn("g1", F.when(own | (F.col("of_lang") >= min_rows), F.col("k1")).otherwise("*")).withColumn("g2", F.when(own, F.col("k2")).otherwise("*"))
+    home = scratch.put(sums.select("k1", "k2", "g1", "g2"), "home")
+    used = home.select("g1", "g2").distinct()
+    joins = ((F.col("x1") == F.col("g1")) | (F.col("g1") == "*")) & ((F.col("x2") == F.col("g2")) | (F.col("g2") == "*"))
+    feeds = scratch.put(home.select(F.col("k1").alias("x1"), F.col("k2").alias("x2")).join(F.broadcast(used.filter("g2 = '*'")), joins)
+                        .unionByName(home.filter("g2 <> '*'").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "g1", "g2")), "feeds")
+    rows = rows.join(small_side(home), ["k1", "k2"], "left").withColumns(transformed())
+    good = rows.filter(~F.col("base_failed")).drop("g1", "g2").join(small_side(feeds.withColumnsRenamed({"x1": "k1", "x2": "k2"})), ["k1", "k2"]).drop("k1", "k2")
+    rows = rows.drop("k1", "k2")
     # start: medians, and quartile distances as scales
     spread = lambda d, q: F.percentile(F.round(F.col(d), 3), F.lit(q))
     start = good.groupBy("g1", "g2").agg(

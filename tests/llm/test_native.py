@@ -83,6 +83,20 @@ def test_mcd_matches_numpy(spark):
     assert all(got[i].kept == (i % 9 != 0) for i in got)
 
 
+def test_small_groups_are_judged(spark):
+    """Few rows of a language or source are judged by all rows of the language or table."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(660):
+        lang, source = ("en", "big") if i < 600 else ("en", "rare") if i < 630 else (None, "big")
+        bad = i in (610, 640)
+        rows.append((i, lang, source, 200, int(200 * rng.normal(5, 0.3)), 600 if bad else int(rng.integers(0, 3)), 0, 0))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    got = {r.doc_id: r for r in outliers.judge(stats).collect()}
+    assert len(got) == 660 and all(r.d2 is not None for r in got.values())
+    assert not got[610].kept and not got[640].kept and sum(r.kept for r in got.values()) > 640
+
+
 def test_chi2_quantile():
     assert abs(outliers.chi2_quantile(0.95, 1) - 3.841458820694124) < 1e-9
     assert abs(outliers.chi2_cdf(9.487729036781154, 4) - 0.95) < 1e-12
