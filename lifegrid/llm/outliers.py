@@ -19,8 +19,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Least standard deviation of each transformed statistic, added to every scatter estimate:
-#: what differs less from the centre than a few of these is never an outlier.
-FLOORS = {"len": 0.06, "sym": 0.05, "dup": 0.04, "rep": 0.10}
+#: what differs less from the centre than a few of these is never an outlier. Each is small enough that
+#: its statistic can reject alone among the texts that pass the base rules.
+FLOORS = {"len": 0.03, "sym": 0.025, "dup": 0.02, "rep": 0.05}
 DIMS = list(FLOORS)
 
 
@@ -146,7 +147,7 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
     return t.select("g1", "g2", *[f"m{i}" for i in range(len(DIMS))], *cov)
 
 
-def judge(stats: DataFrame, alpha: float = 1e-6, h: float = 0.75, steps: int = 3, min_rows: int = 100) -> DataFrame:
+def judge(stats: DataFrame, alpha: float = 1e-3, h: float = 0.75, steps: int = 3, min_rows: int = 100) -> DataFrame:
     """Adds base_failed, d2 and kept to a written table of doc_id, lang, source and STATS.
 
     Rows that pass the base rules are estimated per (lang, source). Sources with fewer than

@@ -97,6 +97,17 @@ def test_small_groups_are_judged(spark):
     assert not got[610].kept and not got[640].kept and sum(r.kept for r in got.values()) > 640
 
 
+@pytest.mark.parametrize("column, value", [(5, 50), (6, 10), (7, 40)])
+def test_each_statistic_rejects_alone(spark, column, value):
+    """5 % symbols, a twentieth duplicate lines or 20 % repeated words, where the others have none, are outliers."""
+    rng = np.random.default_rng(3)
+    rows = [[i, "en", "a", 200, int(200 * rng.normal(5, 0.1)), 0, 0, 0] for i in range(300)]
+    rows[7][4], rows[7][column] = 1000, value
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    got = {r.doc_id: r for r in outliers.judge(stats).collect()}
+    assert not got[7].base_failed and not got[7].kept and sum(r.kept for r in got.values()) >= 298
+
+
 def test_chi2_quantile():
     assert abs(outliers.chi2_quantile(0.95, 1) - 3.841458820694124) < 1e-9
     assert abs(outliers.chi2_cdf(9.487729036781154, 4) - 0.95) < 1e-12
