@@ -82,14 +82,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
 
     Both have vec_id and embedding; a query's own vec_id is no candidate. Vectors that are null, zero or
     hold null or non-finite components take no part; vectors of different length are never compared. Fewer
-    candidates than k give fewer rows. Repeated rows are candidates each. Blocks of vectors meet blocks of queries, so no task holds
+    candidates than k give fewer rows. Repeated rows are candidates each, but one query; one vec_id with several vectors
+    is a query for each of them. Blocks of vectors meet blocks of queries, so no task holds
     more than block_rows vectors and query_rows queries, each about; every row is indexed.
     """
     def clean(t):
         v = F.col("embedding").cast("array<double>")
         return t.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size("embedding").alias("dim"))
 
-    base, asked = clean(vectors), clean(queries)
+    base = clean(vectors)
+    asked = clean(queries).dropDuplicates(["vec_id", "v"]).withColumn("h", F.xxhash64("v"))
     n, m = base.count(), asked.count()
     blocks, parts = max(1, math.ceil(n / block_rows)), max(1, math.ceil(m / query_rows))
     deal = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
@@ -102,21 +104,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
         return t.column("vec_id").to_numpy(), v.values.to_numpy(zero_copy_only=False).reshape(len(t), -1)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        out_q, out_h, out_v, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if len(a) and len(b):
             block = Block(*matrix(a), projections)
             owns, queries = matrix(b)
+            hashes = b.column("h").to_numpy()
             for at in range(0, len(owns), 64):
                 some = owns[at : at + 64]
-                for own, (ids, cos) in zip(some, block.search(some, queries[at : at + 64], k, lines, start, growth), strict=True):
+                for own, h, (ids, cos) in zip(some, hashes[at : at + 64], block.search(some, queries[at : at + 64], k, lines, start, growth), strict=True):
                     out_q.append(np.full(len(ids), own))
+                    out_h.append(np.full(len(ids), h))
                     out_v.append(ids)
                     out_s.append(cos)
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+        return pa.table({"query_id": np.concatenate(out_q), "h": np.concatenate(out_h), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
     keys = ["dim", "d", "q"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, h long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -209,6 +209,17 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_repeated_queries(spark):
+    """A query row that is there twice is one query; another vector of the same id is another."""
+    rows = [(i, [1.0, 0.1 * i]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    twice = spark.createDataFrame([rows[0], rows[0]], df.schema)
+    got = sorted(neighbours.nearest(df, twice).collect(), key=lambda r: r["rank"])
+    assert [(r["rank"], r.vec_id) for r in got] == [(i, i) for i in range(1, 6)]
+    other = neighbours.nearest(df, twice.union(spark.createDataFrame([(0, [0.0, 1.0])], df.schema))).collect()
+    assert sorted(r.vec_id for r in other) == [1, 2, 3, 4, 4, 5, 5, 6, 7, 8]
+
+
 def test_quality_learns(spark):
     rng = np.random.default_rng(3)
     good = lambda: " ".join(rng.choice(["the", "cat", "sat", "on", "mats", "with", "some", "friends"], 60))
