@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The white space of the word and line contracts: space and U+0009 to U+000D.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -23,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lifegrid-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -64,6 +65,12 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def clear(self) -> None:
         try:
             self.remove(self.root)
@@ -71,6 +78,47 @@ class Scratch:
             pass
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names for helper columns that no taken one equals, in any case of letters."""
+    low, out = {c.lower() for c in taken}, []
+    for w in wanted:
+        while w.lower() in low:
+            w += "_"
+        low.add(w.lower())
+        out.append(w)
+    return out
+
+
+def numbered(df: DataFrame, keep: list[str], *extra: Column) -> DataFrame:
+    """The kept columns as c0, c1, ... and the extra ones: what goes through Arrow code, which needs no names then."""
+    return df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], *extra)
+
+
+def numbered_schema(df: DataFrame, keep: list[str], *new: str) -> StructType:
+    """The schema of ``numbered`` and new fields, as Arrow code returns it; ``toDF`` then gives the names back."""
+    return StructType([StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(keep)] + StructType.fromDDL(", ".join(new)).fields)
+
+
+def join_heavy(left: DataFrame, right: DataFrame, on: list[str], weight: str, heavy: int = 50_000) -> DataFrame:
+    """An inner join with a written table of one row a key, where few keys may hold most rows of left.
+
+    weight is how many rows of left a key has at most. A small right side is broadcast whole. Of a large one, the keys of at least
+    1 / heavy of all weight are broadcast (there are at most ``heavy`` of them), so that no key
+    of the rest, which is joined by a shuffle, holds more than that share.
+    """
+    whole = small_side(right)
+    if whole is not right:
+        return left.join(whole, on)
+    least = (right.agg(F.sum(weight)).first()[0] or 0) / heavy
+    big, rest = right.filter(F.col(weight) >= least), right.filter(F.col(weight) < least)
+    return left.join(F.broadcast(big), on).unionByName(left.join(big.select(*on).hint("broadcast"), on, "left_anti").join(rest, on))
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the (materialised) table has at most so many rows, else the table as it is,
     which Spark then joins by shuffles that adaptive execution splits where keys are skewed."""

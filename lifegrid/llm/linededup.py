@@ -1,9 +1,10 @@
 """Line dedup by levelled sorted runs of line hashes (DataFrame functions only).
 
-Documents come in batches. Each batch's distinct line hashes are joined against the runs
-already held, which marks the hashes never seen before, and become a run of their own;
-when a level holds ``fanout`` runs they are merged into one run of the next level. A run
-holds, for each hash, in how many documents it was found and the largest of their ids.
+Documents come in batches. Each batch's distinct line hashes are anti-joined against the runs
+already held: a hash that no run holds becomes an entry of the batch's own run, the only entry that it will ever have; a hash that
+is held becomes an update of its entry. When a level holds ``fanout`` runs they are merged into one run of the
+next level. Entries and updates hold in how many documents of their batches the hash was found and the largest of their ids; a
+hash's count is its entry's with all its updates'.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, table
+from .common import BLANKS, Scratch, free_names, join_heavy, quoted, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,14 +59,16 @@ class LineRuns:
         return both
 
     def add(self, batch: DataFrame) -> None:
-        """Joins the batch's hashes against the runs, marks the fresh ones and adds the batch as a run."""
+        """Anti-joins the batch's hashes against the entries of the runs and adds the batch as a run of
+        new entries and of updates."""
         run = keyed_lines(batch, self.min_chars).groupBy("h1", "h2").agg(F.countDistinct(F.coalesce("doc_id", F.lit(-(2**63)))).alias("n"), F.max("doc_id").alias("top"))
         held = self.merged()
         if held is None:
-            run = run.withColumn("fresh", F.lit(True))
+            run = run.withColumn("entry", F.lit(True))
         else:
-            seen = held.filter("fresh").select("h1", "h2", F.lit(True).alias("seen"))
-            run = run.join(seen, ["h1", "h2"], "left").select("h1", "h2", "n", "top", F.col("seen").isNull().alias("fresh"))
+            # the anti-join's two sides in one pass: without a partner an entry, else an update
+            known = held.filter("entry").select("h1", "h2", F.lit(True).alias("known"))
+            run = run.join(known, ["h1", "h2"], "left").select("h1", "h2", "n", "top", F.col("known").isNull().alias("entry"))
         self.levels.setdefault(0, []).append(self.scratch.put(run.sortWithinPartitions("h1", "h2"), "run0"))
         self.compact()
 
@@ -75,22 +78,21 @@ class LineRuns:
             both = old[0]
             for r in old[1:]:
                 both = both.unionByName(r)
-            one = both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.bool_or("fresh").alias("fresh")).select("h1", "h2", "n", "top", "fresh")
+            one = both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.bool_or("entry").alias("entry")).select("h1", "h2", "n", "top", "entry")
             self.levels.setdefault(level + 1, []).append(self.scratch.put(one.sortWithinPartitions("h1", "h2"), f"run{level + 1}"))
             self.scratch.drop(*old)
             self.levels[level] = []
             level += 1
 
     def frequent(self, min_docs: int) -> DataFrame | None:
-        """h1, h2 and the largest document id of the lines found in min_docs documents or more."""
-        runs = self.runs()
-        if not runs:
+        """h1, h2, n and top (the largest document id) of the lines found in n >= min_docs documents."""
+        held = self.merged()
+        if held is None:
             return None
-        if len(runs) == 1:
-            total = runs[0]
-        else:
-            total = self.merged().groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-        return total.filter(F.col("n") >= min_docs).select("h1", "h2", "top")
+        entries = held.filter("entry").drop("entry")
+        more = held.filter("not entry").groupBy("h1", "h2").agg(F.sum("n").alias("m"), F.max("top").alias("last"))
+        total = entries.join(more, ["h1", "h2"], "left").select("h1", "h2", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("top", "last").alias("top"))
+        return total.filter(F.col("n") >= min_docs)
 
 
 def batches(docs: DataFrame, n: int) -> list[DataFrame]:
@@ -126,25 +128,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batch
     held = LineRuns(spark, min_chars)
     for b in batches(bare, n_batches):
         held.add(b)
-    often = held.frequent(min_docs)
-    drop = (
-        keyed_lines(bare, min_chars)
-        .join(often, ["h1", "h2"])
-        .filter(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("top")))
-        .groupBy("r1", "r2")
-        .agg(F.collect_set("at").alias("_cut"))
-    )
-    keys = row_key(F.col("doc_id"), F.col("text"))
+    often = held.scratch.put(held.frequent(min_docs), "often")
+    keyed = keyed_lines(bare, min_chars)
+    # a line is in a document once at least, so n bounds its rows but for repeats within documents
+    drop = join_heavy(keyed, often, ["h1", "h2"], "n").filter(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("top")))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    full = docs.select(*rest, *[k.alias(f"_{k_}") for k, k_ in zip(keys, ("r1", "r2"), strict=True)])
-    cut = drop.select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), "_cut")
-    out = full.join(cut, ["_r1", "_r2"], "left").withColumn("_lines", lines_of(F.col("text")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_cut"))
-    text = F.when(F.col("_cut").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    k1, k2, cut, lines = free_names(docs.columns, "r1", "r2", "cut", "lines")
+    drop = drop.groupBy("r1", "r2").agg(F.collect_set("at").alias(cut)).withColumnsRenamed({"r1": k1, "r2": k2})
+    r1, r2 = row_key(F.col("doc_id"), F.col("text"))
+    full = docs.select(*[quoted(c) for c in rest], r1.alias(k1), r2.alias(k2))
+    out = full.join(drop, [k1, k2], "left").withColumn(lines, lines_of(F.col("text")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
+    text = F.when(F.col(cut).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     return out.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in rest],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(F.size("_cut")).cast("long").alias("n_dropped"),
+        *[text.alias("text") if c == "text" else quoted(c) for c in rest],
+        F.size(lines).cast("long").alias("n_lines"),
+        F.when(F.col(cut).isNull(), F.lit(0)).otherwise(F.size(cut)).cast("long").alias("n_dropped"),
     )
 
 
