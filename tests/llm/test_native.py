@@ -156,8 +156,10 @@ def test_line_runs_levels(spark):
     assert {k: len(v) for k, v in runs.levels.items() if v} == {0: 1, 2: 1}
     often = runs.frequent(5).collect()
     assert len(often) == 1 and often[0].top == 4
-    total = runs.merged().agg(F.sum(F.col("fresh").cast("int"))).first()[0]
-    assert total == 6  # each line is fresh once
+    held = runs.merged().collect()
+    assert sum(r.entry for r in held) == 6  # each line has one entry
+    # the count of the common line comes from its one entry and its updates, which only the anti-join tells apart
+    assert [r.n for r in held if r.entry and r.n > 1] == [4] and sum(not r.entry for r in held) == 1 and often[0].n == 5
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -231,6 +233,85 @@ def test_private_terms_anywhere(spark):
     assert not any(w in clean[0] for w in ("Kim", "Quill", "Thaddeus", "secret")) and clean[0].count("[EMAIL]") == 2
 
 
+def brute_terms(texts, threshold, support, pooled):
+    """Term spans with what is put there, from the definitions, counting over distinct texts."""
+    def spans(t):
+        out = []
+        for kind, p in [*PATTERNS.items(), ("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}")]:
+            for m in re.finditer(p, t):
+                v = m.group()
+                d = re.sub("[^0-9]", "", v)
+                if kind == "secret":
+                    if len(d) >= 4 and len(re.sub("[0-9_]", "", v)) >= 4:
+                        out.append((kind, *m.span(), v))
+                elif f"{kind}:{m.start()}:{m.end()}" in brute_private(t):
+                    out.append((kind, *m.span(), v.lower() if kind == "email" else v if kind == "ip" else d))
+        return out
+
+    def reveals(kind, v):
+        group = v.split("@")[-1] if kind == "email" else ".".join(v.split(".")[:2]) if kind == "ip" else v[:6] if kind == "card" else v[:4]
+        return {("value", kind, v), ("group", kind, group), ("kind", kind, "")}
+
+    def blanked(t):
+        for _, a, b, _ in spans(t):
+            t = t[:a] + " " * (b - a) + t[b:]
+        return t
+
+    bare = lambda w: w.lower().strip(privacy.PUNCT)
+    once = sorted(set(texts))
+    words = {t: {bare(w) for w in blanked(t).split()} - {""} for t in once}
+    ents = {t: set().union(*(reveals(k, v) for k, _, _, v in spans(t))) for t in once}
+    n = len(once)
+    df, ce, cet = Counter(w for t in once for w in words[t]), Counter(e for t in once for e in ents[t]), Counter((e, w) for t in once for e in ents[t] for w in words[t])
+    low = defaultdict(int)
+    for w, k in df.items():
+        for size in (1, 2, 3):
+            if len(w) > size and k >= support:
+                low[w[:size]] = max(low[w[:size]], k)
+    put = {}
+    for (e, w), k in cet.items():
+        need = support if e[0] == "value" else pooled
+        ic = np.log2(n / ce[e])
+        if k >= need and ic > 0 and np.log2(n * k / (ce[e] * df[w])) >= threshold * ic:
+            fit = [w[:size] for size in (3, 2, 1) if len(w) > size and low[w[:size]] and np.log2(n / low[w[:size]]) < threshold * ic]
+            put[e, w] = fit[0] + "*" if fit else ""
+    out = {}
+    for t in once:
+        found = set()
+        for m in re.finditer(r"\S+", blanked(t)):
+            ways = [put[e, bare(m.group())] for e in ents[t] if (e, bare(m.group())) in put]
+            if ways:
+                a = m.start() + len(m.group()) - len(m.group().lstrip(privacy.PUNCT))
+                found.add((a, a + len(bare(m.group())), min(ways, key=len)))
+        out[t] = found
+    return out
+
+
+def test_private_terms_brute(spark):
+    """Pointwise mutual information by value, group and kind, generalisation and removal, against the definitions."""
+    rng = np.random.default_rng(8)
+    vocab = [f"{a}{b}{c}" for a in "pqr" for b in "ae" for c in ("lo", "mix", "stu")] + ["common", "cat"]
+    hints = {"email": "Mailbox", "ip": "server:", "phone": "(calling)", "secret": "token"}
+    texts = []
+    for i in range(260):
+        w = list(rng.choice(vocab, int(rng.integers(4, 12))))
+        kind = str(rng.choice(["email", "ip", "phone", "secret", "none", "none", "none", "none"]))
+        value = {"email": f"u{rng.integers(0, 40)}@mail{rng.integers(0, 3)}.org", "ip": f"10.{rng.integers(0, 3)}.7.{rng.integers(0, 20)}", "phone": f"+49 30 555-{rng.integers(100, 130)}", "secret": f"ab{rng.integers(0, 9)}cd0123456789ef012345", "none": ""}[kind]
+        w.insert(int(rng.integers(0, len(w))), value)
+        if kind != "none" and rng.random() < 0.9:
+            w.insert(int(rng.integers(0, len(w))), hints[kind])
+        if rng.random() < 0.4:
+            w.append("tomato")
+        texts.append(" ".join(w))
+    texts += texts[:30]
+    for how in ({"threshold": 0.8, "support": 3, "pooled": 8}, {"threshold": 0.4, "support": 2, "pooled": 4}):
+        want = brute_terms(texts, **how)
+        got = {r.doc_id: {(s.start, s.end, s.put) for s in r.spans if s.kind == privacy.TERM} for r in privacy.find_private(table(spark, texts), **how).collect()}
+        assert got == {i: want[t] for i, t in enumerate(texts)}
+        puts = {p for found in want.values() for _, _, p in found}
+        assert "to*" in puts or "tok*" in puts
+
+
 def test_private_digest_of_nothing(spark, tmp_path):
     table(spark, ["no data", None]).write.parquet(str(tmp_path / "documents.parquet"))
     for r in privacy.op4_private(spark, str(tmp_path)).collect():
