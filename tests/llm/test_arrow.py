@@ -209,6 +209,26 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_verify_few():
+    """On vectors without any structure, the hardest case, one in twenty is verified and nine in ten neighbours are found."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((4000, 64))
+    block = neighbours.Block(np.arange(4000), v, 256, 1.9, 5)
+    norm, hit = np.sqrt((v * v).sum(1)), 0
+    for q, (ids, _) in zip(range(0, 4000, 100), block.search(np.arange(0, 4000, 100), v[::100], 1.02), strict=True):
+        s = (v @ v[q]) / (norm * norm[q])
+        s[q] = -9
+        hit += len(set(ids.tolist()) & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.9 * 5 * 40 and block.verified <= 0.05 * 4000 * block.asked
+
+
+def test_neighbours_extreme_lengths_and_own_rows(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 2e-200]), (2, [5e-324, 0.0]), (0, [1e200, 1e200]), (0, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as `a.b`", "2 as rank")
+    got = [(r.vec_id, round(r.score, 12)) for r in sorted(neighbours.nearest(df, df.filter("vec_id = 0").limit(1)).collect(), key=lambda r: r["rank"])]
+    assert got == [(0, 1.0), (1, round(3 / 10**0.5, 12)), (0, round(0.5**0.5, 12)), (2, round(0.5**0.5, 12))]
+
+
 def test_repeated_queries(spark):
     """A query row that is there twice is one query; another vector of the same id is another."""
     rows = [(i, [1.0, 0.1 * i]) for i in range(9)]
