@@ -1,20 +1,21 @@
 """Token counts by overlap resynchronisation.
 
-A huge text is encoded in overlapping chunks with offsets. Two neighbours are spliced in their
-overlap at a boundary that both have and that is proven stable: a token edge at white space,
-where the tokenizer cuts whatever stands around, with the same tokens on both sides up to the
-middle of the overlap. If an overlap has none, it is widened until one is found or the chunks are one.
+A huge text is encoded in overlapping chunks with offsets, and the tokens of each chunk's own encoding between its two
+splices are counted. Two neighbours are spliced in their overlap at a boundary that both have and that is proven stable: a
+token edge at white space, where the tokenizer cuts whatever stands around, with the same token before and after it
+in both. If an overlap has none, it is widened until one is found or the chunks are one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, numbered_schema, table
 from .pieces import Units, default_path, groups, hold, word_units
 
 
@@ -31,15 +32,10 @@ class Counter:
         self.units = Units(lambda us: [len(e.ids) for e in self.lib.encode_batch_fast(us, add_special_tokens=False)])
         self.widened = 0
 
-    def edges(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, id) of each token, in code points of text."""
-        e = self.lib.encode(text, add_special_tokens=False)
-        return [(a, b, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
-
-    def short(self, text: str) -> int:
-        units = word_units(text)
-        self.units.load(units)
-        return sum(self.units.values(units))
+    def encoded(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of a chunk encoded by itself: (start, end) in code points of the whole text, and ids."""
+        e = self.lib.encode(text[start:end], add_special_tokens=False)
+        return np.array(e.offsets, np.int64).reshape(-1, 2) + start, np.array(e.ids, np.int64)
 
     def count(self, texts: list[str | None]) -> list[int]:
         out = []
@@ -51,43 +47,44 @@ class Counter:
         return out
 
     def spliced(self, text: str) -> int:
-        """Each chunk's tokens between the splices at its two ends."""
-        total, start, n = 0, 0, len(text)
-        while True:
-            end = start + self.chunk
-            if end >= n:
-                return total + self.short(text[start:])
-            lap = self.overlap
-            while True:
-                at = self.splice(text, start, end, lap)
-                if at is not None:
-                    break
-                self.widened += 1
-                if end + lap >= n:  # the rest is one chunk
-                    return total + self.short(text[start:])
-                lap *= 2
-                end = min(end + lap, n)
-            total += self.short(text[start:at])
-            start = at
-
-    def splice(self, text: str, start: int, end: int, lap: int) -> int | None:
-        """A stable boundary in the overlap [end - lap, end) of the chunk that ends there and the next, or None.
-
-        The left chunk is seen from lap before the overlap on, the right one to lap behind it; either
-        encoding knows nothing of what the other has beyond.
-        """
-        lo = max(start, end - lap)
-        left_from = max(start, lo - lap)
-        left = [(a + left_from, b + left_from, i) for a, b, i in self.edges(text[left_from:end])]
-        right = [(a + lo, b + lo, i) for a, b, i in self.edges(text[lo : end + lap])]
-        mine = {t for t in left if t[0] >= lo}
-        same = [t for t in right if t[1] <= end and t in mine]
-        middle, best = (lo + end) // 2, None
-        for (_, b, _), (a2, _, _) in zip(same, same[1:], strict=False):
-            # the two tokens stand next to each other in both, with a cut at a space or line end between them
-            if a2 > b and text[b:a2].strip(" \n") == "" and (best is None or abs(b - middle) < abs(best - middle)):
-                best = b
-        return best if best is not None and best > start else None
+        """The tokens of each chunk's encoding between the splices at its two ends."""
+        n, start, end, cut, total = len(text), 0, self.chunk, 0, 0
+        left = self.encoded(text, start, end)
+        while end < n:
+            lap, at = self.overlap, None
+            while at is None and end - lap > start:
+                begin = end - lap
+                right = self.encoded(text, begin, begin + self.chunk + lap)
+                at = self.splice(text, left, right, max(begin, cut), end)
+                if at is None:
+                    self.widened += 1
+                    lap *= 2
+            if at is None:  # nothing is proven in the whole chunk: it and the next one are one
+                end = min(n, end + self.chunk)
+                left = self.encoded(text, start, end)
+                continue
+            spans = left[0]
+            total += int(((spans[:, 0] >= cut) & (spans[:, 0] < at)).sum())
+            start, end, cut, left = begin, begin + self.chunk + lap, at, right
+        return total + int((left[0][:, 0] >= cut).sum())
+
+    def splice(self, text: str, left: tuple, right: tuple, begin: int, end: int) -> int | None:
+        """A stable boundary in the overlap [begin, end), nearest to its middle, or None; it is the start of a token."""
+
+        def inside(side: tuple) -> list[tuple[int, int, int]]:
+            spans, ids = side
+            k = np.flatnonzero((spans[:, 0] >= begin) & (spans[:, 1] <= end))
+            return [(int(a), int(b), int(i)) for (a, b), i in zip(spans[k], ids[k], strict=True)]
+
+        mine, theirs = inside(left), inside(right)
+        follows = set(zip(mine, mine[1:], strict=False))
+        middle, best = (begin + end) // 2, None
+        for pair in zip(theirs, theirs[1:], strict=False):
+            (_, b, _), (a, _, _) = pair
+            # neighbours in both encodings, with a space or line end between them
+            if pair in follows and a > b and text[b:a].strip(" \n") == "" and (best is None or abs(a - middle) < abs(best - middle)):
+                best = a
+        return best
 
 
 def _counter(path: str, chunk: int, overlap: int) -> Counter:
@@ -103,18 +100,18 @@ def count_tokens(docs: DataFrame, path: str | None = None, chunk: int = 65_536,
     """
     new = ["n_bytes", "n_tokens", "over_limit"]
     keep = [c for c in docs.columns if c != "text" and c not in new]
+    rows = numbered(docs, keep, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path or default_path("word_bpe_49k.json"), chunk, overlap)
         for b in batches:
             texts = b.column("text").to_pylist()
             counts = counter.count(texts)
-            cols = [b.column(c) for c in keep]
             n_bytes = [len(t.encode()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], [*keep, *new])
+            cols = [*b.columns[: len(keep)], pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[: len(keep)], *new])
 
-    fields = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes long", "n_tokens long", "over_limit boolean"])
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
+    return rows.mapInArrow(run, numbered_schema(docs, keep, "n_bytes long", "n_tokens long", "over_limit boolean")).toDF(*keep, *new)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
