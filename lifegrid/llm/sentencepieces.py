@@ -7,9 +7,10 @@ also happen in the pair alone. So encoding is a best-path problem whose path sco
 
 A giant text is split into chunks. Each chunk, alone, yields the transfer matrix between the
 pieces that may cross its left edge and those that may cross its right edge, over (max, +).
-Matrices of neighbours combine associatively; a scan of them fixes the piece at every edge, and
-each chunk is then traced again independently between its two fixed pieces. Other texts are
-encoded by the library in units that no piece can cross.
+Matrices of neighbours combine associatively, so a tree does: going up, each ``FAN`` neighbours become one matrix, until
+a text is one; going down, the pieces at the two ends of a node fix those at the edges of its
+children. Each chunk is then traced again independently between its two fixed pieces. No task holds more than FAN
+matrices of a text at once. Other texts are encoded by the library in units that no piece can cross.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, numbered, numbered_schema, table
 from .linededup import row_key
 from .pieces import Units, default_path, groups, hold
 
@@ -35,6 +36,8 @@ _ODD = re.compile(f" {{2}}|^ | $|{SPACE}|\x00")
 State = tuple[int, int]  # a piece's start and end, in code points of the normalised text
 Matrix = dict[State, frozenset[State]]  # the entries that are 0; all others are minus infinity
 START: State = (-1, 0)
+#: Neighbours that a node of the tree combines.
+FAN = 32
 
 
 class Model:
@@ -147,15 +150,28 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return {x: frozenset().union(*(b.get(y, frozenset()) for y in mid)) for x, mid in a.items()}
 
 
-def edges(chunks: list[Matrix], n: int) -> list[State]:
-    """The piece at every edge: prefix products say what the start reaches, then one step back from the end at a time."""
-    prefix = [m[START] for m in accumulate(chunks, combine)]
-    at = next(x for x in prefix[-1] if x[1] == n)
-    out = [at]
+def between(chunks: list[Matrix], left: State, right: State) -> list[State]:
+    """The piece at every edge of neighbouring chunks from left to right: prefix products say what left reaches, then one
+    step back from right at a time."""
+    prefix = [m.get(left, frozenset()) for m in accumulate(chunks, combine)]
+    at, out = right, [right]
     for k in range(len(chunks) - 1, 0, -1):
         at = next(x for x in prefix[k - 1] if at in chunks[k].get(x, ()))
         out.append(at)
-    return [START, *out[::-1]]
+    return [left, *out[::-1]]
+
+
+def ending_at(whole: Matrix, n: int) -> State:
+    """The last piece of a text of n characters, from its whole matrix."""
+    return next(x for x in whole[START] if x[1] == n)
+
+
+def pack(m: Matrix) -> str:
+    return json.dumps([[x, sorted(ys)] for x, ys in sorted(m.items())])
+
+
+def unpack(m: str) -> Matrix:
+    return {tuple(x): frozenset(map(tuple, ys)) for x, ys in json.loads(m)}
 
 
 def normalised(text: str) -> str:
@@ -167,7 +183,8 @@ def encode_scanned(model: Model, text: str, chunk: int) -> list[int]:
     s = normalised(text)
     cuts = [*range(0, max(len(s) - 1, 1), chunk), len(s)]
     spans = list(zip(cuts, cuts[1:], strict=False))
-    at = edges([model.matrix(s, p, q) for p, q in spans], len(s))
+    chunks = [model.matrix(s, p, q) for p, q in spans]
+    at = between(chunks, START, ending_at(reduce(combine, chunks), len(s)))
     return [i for a, b in zip(at, at[1:], strict=False) for i in (model.piece_ids(model.trace(s, a, b)) if a != b else [])]
 
 
@@ -176,16 +193,38 @@ def _model(path: str | None) -> Model:
     return hold(("pieces", path), lambda: Model(path))
 
 
+def _chunks(chunk: int, margin: int):
+    """Cuts texts into chunks with margins; a text is held by one task, its chunks go on one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["r1", "r2", "k", "n", "p", "q", "off", "part"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        for b in batches:
+            for r1, r2, text in zip(*(b.column(c).to_pylist() for c in ("r1", "r2", "text")), strict=True):
+                s = normalised(text)
+                n, rows = len(s), []
+                for k, p in enumerate(range(0, max(n - 1, 1), chunk)):
+                    # the last chunk ends with the text, also where one character is left over
+                    q, off = (n if p + chunk >= n - 1 else p + chunk), max(0, p - margin)
+                    rows.append((r1, r2, k, n, p, q, off, s[off : q + margin]))
+                    if len(rows) == 64:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return run
+
+
 def _giant(docs: DataFrame, path: str | None, chunk: int, margin: int) -> DataFrame:
     """r1, r2 and ids of the giant texts, whose chunks are spread over tasks."""
-    norm = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
-    whole = docs.dropDuplicates(["r1", "r2"]).select("r1", "r2", norm.alias("s")).withColumn("n", F.length("s"))
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 2, F.lit(0)), F.lit(chunk))
-    each = whole.select("r1", "r2", "n", "s", F.posexplode(starts).alias("k", "p"))
-    off = F.greatest(F.col("p") - margin, F.lit(0))
-    # the last chunk ends with the text, also where one character is left over
-    q = F.when(F.col("p") + chunk >= F.col("n") - 1, F.col("n")).otherwise(F.col("p") + chunk)
-    parts = each.select("r1", "r2", "k", "n", "p", q.alias("q"), off.alias("off"), F.substr("s", off + 1, q - off + margin).alias("part")).repartition("r1", "r2", "k")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "giant")
+    parts = scratch.put(docs.dropDuplicates(["r1", "r2"]).mapInArrow(_chunks(chunk, margin), "r1 long, r2 long, k int, n long, p long, q long, off long, part string"), "parts")
+    size = parts.agg(F.count("*"), F.max("k")).first()
+    # a number of partitions that is given isn't merged by adaptive execution: four chunks a task
+    tasks = min(20_000, max(1, size[0] // 4))
+    spread = lambda t: t.repartition(tasks, "r1", "r2", "k")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(path)
@@ -193,15 +232,37 @@ def _giant(docs: DataFrame, path: str | None, chunk: int, margin: int) -> DataFr
             out = []
             for p, q, off, part in zip(*(b.column(c).to_pylist() for c in ("p", "q", "off", "part")), strict=True):
                 # positions are kept in those of the whole text
-                got = m.matrix(part, p - off, q - off)
-                out.append(json.dumps([[[x[0] + off if x != START else -1, x[1] + off if x != START else 0], [[a + off, c + off] for a, c in ys]] for x, ys in got.items()]))
-            yield pa.RecordBatch.from_arrays([b.column("r1"), b.column("r2"), b.column("k"), b.column("n"), pa.array(out, pa.string())], ["r1", "r2", "k", "n", "m"])
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        mats = [{tuple(x): frozenset(map(tuple, ys)) for x, ys in json.loads(m)} for m in pdf.m]
-        at = edges(mats, int(pdf.n.iloc[0]))
-        return pd.DataFrame({"r1": pdf.r1, "r2": pdf.r2, "k": pdf.k, "a0": [x[0] for x in at[:-1]], "a1": [x[1] for x in at[:-1]], "b0": [x[0] for x in at[1:]], "b1": [x[1] for x in at[1:]]})
+                move = lambda x: x if x == START else (x[0] + off, x[1] + off)  # noqa: B023, E731
+                out.append(pack({move(x): frozenset(map(move, ys)) for x, ys in m.matrix(part, p - off, q - off).items()}))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("r1", "r2", "k", "n")), pa.array(out, pa.string())], ["r1", "r2", "k", "n", "m"])
+
+    def up(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        whole = reduce(combine, map(unpack, t.column("m").to_pylist()))
+        return pa.table({"r1": t.column("r1")[:1], "r2": t.column("r2")[:1], "k": t.column("up")[:1], "n": t.column("n")[:1], "m": [pack(whole)]})
+
+    def down(nodes: pa.Table, over: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("k")
+        left, right = ((over.column(a)[0].as_py(), over.column(b)[0].as_py()) for a, b in (("a0", "a1"), ("b0", "b1")))
+        at = np.array(between(list(map(unpack, nodes.column("m").to_pylist())), left, right), np.int64)
+        return pa.table({"r1": nodes.column("r1"), "r2": nodes.column("r2"), "k": nodes.column("k"), "a0": at[:-1, 0], "a1": at[:-1, 1], "b0": at[1:, 0], "b1": at[1:, 1]})
+
+    def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last = np.array([ending_at(unpack(m), n) for m, n in zip(b.column("m").to_pylist(), b.column("n").to_pylist(), strict=True)], np.int64).reshape(-1, 2)
+            one = lambda x: pa.array(np.full(b.num_rows, x), pa.int64())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([b.column("r1"), b.column("r2"), b.column("k"), one(START[0]), one(START[1]), pa.array(last[:, 0]), pa.array(last[:, 1])], ["r1", "r2", "k", "a0", "a1", "b0", "b1"])
+
+    matrix, states = "r1 long, r2 long, k int, n long, m string", "r1 long, r2 long, k int, a0 long, a1 long, b0 long, b1 long"
+    levels, nodes = [], int(size[1] or 0) + 1
+    levels.append(scratch.put(spread(parts).mapInArrow(matrices, matrix), "matrices"))
+    over = lambda t: t.withColumn("up", F.floor(F.col("k") / FAN).cast("int"))
+    while nodes > 1:
+        levels.append(scratch.put(over(levels[-1]).groupBy("r1", "r2", "up").applyInArrow(up, matrix), "nodes"))
+        nodes = -(-nodes // FAN)
+    at = levels[-1].mapInArrow(root, states)
+    for below in reversed(levels[:-1]):
+        at = over(below).groupBy("r1", "r2", "up").cogroup(scratch.put(at, "states").withColumnRenamed("k", "up").groupBy("r1", "r2", "up")).applyInArrow(down, states)
 
     def retrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(path)
@@ -213,8 +274,7 @@ def _giant(docs: DataFrame, path: str | None, chunk: int, margin: int) -> DataFr
                 out.append(np.array(m.piece_ids(m.trace(part, left, right)) if left != right else [], "<u2").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("r1"), b.column("r2"), b.column("k"), pa.array(out, pa.binary())], ["r1", "r2", "k", "ids"])
 
-    at = parts.mapInArrow(matrices, "r1 long, r2 long, k int, n int, m string").groupBy("r1", "r2").applyInPandas(scan, "r1 long, r2 long, k int, a0 int, a1 int, b0 int, b1 int")
-    traced = parts.join(at, ["r1", "r2", "k"]).mapInArrow(retrace, "r1 long, r2 long, k int, ids binary")
+    traced = scratch.put(spread(parts.join(at, ["r1", "r2", "k"])).mapInArrow(retrace, "r1 long, r2 long, k int, ids binary"), "ids")
     whole_ids = F.array_sort(F.collect_list(F.struct("k", F.hex("ids").alias("h"))))
     return traced.groupBy("r1", "r2").agg(F.unhex(F.array_join(F.transform(whole_ids, lambda x: x["h"]), "")).alias("ids"))
 
@@ -227,21 +287,22 @@ def encode_documents(docs: DataFrame, path: str | None = None, giant: int = 65_5
     round_trip says that decoding gives the text back. A null text is empty and has no ids. Repeated rows
     give repeated rows; columns of docs named like the new ones are replaced. margin must be the longest piece at least.
     """
-    new = ["ids"] * with_ids + ["n_tokens", "ids_crc32", "round_trip"]
-    keep = [c for c in docs.columns if c != "text" and c not in ("ids", "n_tokens", "ids_crc32", "round_trip")]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("text"))
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [{"ids": "ids array<int>", "n_tokens": "n_tokens long", "ids_crc32": "ids_crc32 long", "round_trip": "round_trip boolean"}[c] for c in new])
+    made = {"ids": "ids array<int>", "n_tokens": "n_tokens long", "ids_crc32": "ids_crc32 long", "round_trip": "round_trip boolean"}
+    new = [c for c in made if with_ids or c != "ids"]
+    keep = [c for c in docs.columns if c != "text" and c not in made]
+    rows = numbered(docs, keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    schema = numbered_schema(docs, keep, *[made[c] for c in new])
+    inner = [f"c{i}" for i in range(len(keep))]
 
     def finish(b: pa.RecordBatch, texts: list[str], ids: list[bytes], m: Model) -> pa.RecordBatch:
         wide = [np.frombuffer(x, "<u2") for x in ids]
-        cols = [b.column(c) for c in keep]
+        cols = [b.column(c) for c in inner]
         if with_ids:
             flat = np.concatenate([*wide, np.empty(0, "<u2")]).astype(np.int32)
             cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in wide])]).astype(np.int32)), pa.array(flat)))
         cols += [pa.array([len(x) for x in wide], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in wide], pa.int64())]
         cols.append(pa.array([a == c for a, c in zip(m.decode(ids) if ids else [], texts, strict=True)], pa.bool_()))
-        return pa.RecordBatch.from_arrays(cols, [*keep, *new])
+        return pa.RecordBatch.from_arrays(cols, [*inner, *new])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(path)
@@ -253,12 +314,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, giant: int = 65_5
     def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(path)
         for b in batches:
-            yield finish(b, b.column("text").to_pylist(), b.column("_ids").to_pylist(), m)
+            yield finish(b, b.column("text").to_pylist(), b.column("given").to_pylist(), m)
 
     small = rows.filter(F.length("text") <= giant).mapInArrow(plain, schema)
     large = rows.filter(F.length("text") > giant).select("*", *row_key(F.lit(0), F.col("text")))
-    ids = _giant(large.select("r1", "r2", "text"), path, chunk, margin).withColumnRenamed("ids", "_ids")
-    return small.unionByName(large.join(ids, ["r1", "r2"]).select(*[F.col(f"`{c}`") for c in keep], "text", "_ids").mapInArrow(given, schema))
+    ids = _giant(large.select("r1", "r2", "text"), path, chunk, margin).withColumnRenamed("ids", "given")
+    return small.unionByName(large.join(ids, ["r1", "r2"]).select(*inner, "text", "given").mapInArrow(given, schema)).toDF(*keep, *new)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,8 @@ def test_combine_is_associative(model):
 
 
 @pytest.mark.parametrize("giant", [10**6, 30])
-def test_sentencepiece(spark, model, giant):
+def test_sentencepiece(spark, model, giant, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "FAN", 4)  # several levels of the tree
     got = {r.doc_id: r for r in sentencepieces.encode_documents(docs(spark), giant=giant, chunk=17).collect()}
     for i, t in enumerate(TEXTS):
         ids = model.lib.encode(t or "")
@@ -82,6 +83,17 @@ def test_sentencepiece(spark, model, giant):
     assert sentencepieces.encode_documents(docs(spark).limit(0)).count() == 0
 
 
+def test_huge_texts_are_counted_from_their_chunks(word_bpe, monkeypatch):
+    """The count of a huge text comes from the chunk encodings alone, and widening finds splices in long words."""
+    rng = np.random.default_rng(6)
+    text = " ".join("".join(rng.choice(list("abcdeé"), int(rng.integers(1, 12)))) for _ in range(3000)) + "x" * 700 + " tail " + "y z " * 300
+    c = tokencount.Counter(pieces.default_path("word_bpe_49k.json"), 512, 16)
+    monkeypatch.setattr(c, "units", None)
+    assert c.spliced(text) == len(word_bpe.encode(text, add_special_tokens=False).ids) and c.widened > 3
+    monkeypatch.setattr(c, "splice", lambda text, left, right, begin, end: end)  # nothing proven
+    assert c.spliced(text) != len(word_bpe.encode(text, add_special_tokens=False).ids)
+
+
 def test_token_counts(spark, word_bpe):
     got = {r.doc_id: r for r in tokencount.count_tokens(docs(spark), chunk=100, overlap=8, limit=50).collect()}
     for i, t in enumerate(TEXTS):
