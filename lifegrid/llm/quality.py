@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, numbered_schema, table
 from .pieces import groups, hold
 from .shingles import shingle_hashes, word_hashes
 
@@ -96,19 +96,20 @@ class Quality:
 def _minimise(p: np.ndarray, u: np.ndarray, prior: float, steps: int, l2: float, rate: float = 0.02) -> tuple[np.ndarray, float]:
     """Non-negative risk with the logistic loss, by Adam on whole gradients. Where the negative part falls below
     zero, a step is made against it alone, as the method has it."""
-    w, bias = np.zeros(p.shape[1], np.float32), 0.0
+    p, u, w, bias = p.astype(np.float32, copy=False), u.astype(np.float32, copy=False), np.zeros(p.shape[1], np.float32), 0.0
     m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
     for k in range(1, steps + 1):
-        zp, zu = p @ w + bias, u @ w + bias
+        zp, zu = p @ w + np.float32(bias), u @ w + np.float32(bias)
         sp, su = (1 / (1 + np.exp(-np.clip(z, -60, 60))) for z in (zp, zu))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gu, gn = su / len(u), sp * (prior / len(p))
+        # all in single precision: a double vector would make a double copy of the whole matrix
+        gu, gn = su / np.float32(len(u)), sp * np.float32(prior / len(p))
         if negative < 0:
             gw, gb = -(u.T @ gu - p.T @ gn), -(gu.sum() - gn.sum())
         else:
-            gp = (sp - 1) * (prior / len(p))
+            gp = (sp - 1) * np.float32(prior / len(p))
             gw, gb = p.T @ (gp - gn) + u.T @ gu, gp.sum() - gn.sum() + gu.sum()
-        g = np.append(gw + l2 * w, gb)
+        g = np.append(gw + np.float32(l2) * w, gb)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, bias = w - step[:-1].astype(np.float32), bias - float(step[-1])
@@ -148,43 +149,61 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("positive").slice(a, z - a), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
 
 
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model as one row, from all rows of positive and x; none if there are only positives or none."""
+    hold(("fit",), dict)
+    flags, parts = [np.empty(0, bool)], [np.empty((0, WIDTH), np.float32)]
+    for b in batches:
+        flags.append(np.asarray(b.column("positive").to_pylist(), bool))
+        parts.append(np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(-1, WIDTH))
+    flag, x = np.concatenate(flags), np.concatenate(parts)
+    parts.clear()
+    if not flag.any() or flag.all():
+        return
+    order = np.lexsort((x[:, 5], x[:, 0], x[:, DENSE - 10]))  # an order that doesn't depend on the partitions
+    m = fit(x[order[flag[order]]], x[order[~flag[order]]])
+    row = [pa.array([a.astype("<f4").tobytes()], pa.binary()) for a in (m.mean, m.scale, m.weights)]
+    yield pa.RecordBatch.from_arrays([*row, pa.array([m.bias]), pa.array([m.prior])], ["mean", "scale", "weights", "bias", "prior"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Quality | None:
     """Fits on at most ``sample`` positives (labels.quality = 1) and ``sample`` documents taken as unlabelled text,
-    those of the least hashes of doc_id; held-out ids are left out of both. No model without a positive."""
+    those of the least hashes of doc_id; held-out and null ids are left out of both. No model without a positive.
+
+    One task fits on these at most 2 * sample rows of features (4 KB each); only the model goes to the driver.
+    """
     first = lambda t: t.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     one = first(labels.filter(F.col("quality") == 1)).select("doc_id", F.lit(True).alias("p"))
     any_ = first(docs).select("doc_id", F.lit(True).alias("u"))
     wanted = F.broadcast(one.join(any_, "doc_id", "full"))  # at most twice sample rows of three small columns
     chosen = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", F.explode(F.array_compact(F.array(F.when(F.col("p"), True), F.when(F.col("u"), False)))).alias("positive"))
-    got = chosen.mapInArrow(_vectors, "positive boolean, x binary").toArrow()
-    flag = np.asarray(got.column("positive").to_pylist(), bool)
-    if not flag.any() or flag.all():
+    rows = chosen.mapInArrow(_vectors, "positive boolean, x binary").repartition(1)
+    got = rows.mapInArrow(_fit_rows, "mean binary, scale binary, weights binary, bias double, prior double").collect()
+    if not got:
         return None
-    raw = got.column("x").to_pylist()
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), WIDTH)
-    x = x[np.lexsort((x[:, 5], x[:, 0], x[:, DENSE - 10], flag))]  # an order that doesn't depend on the partitions
-    flag = np.sort(flag)
-    return fit(x[flag], x[~flag])
+    m = got[0]
+    return Quality(*[np.frombuffer(bytes(m[c]), "<f4") for c in ("mean", "scale", "weights")], m.bias, m.prior)
 
 
 def score_documents(docs: DataFrame, model: Quality | None, limit: float = 0.3, keep_text: bool = False) -> DataFrame:
     """docs (without text unless asked) plus score and predicted. Null and empty texts are scored as empty ones.
 
     Without a model (no trusted positives) every score is 0.5. Repeated rows give repeated rows; columns of docs
-    named like the new ones are replaced.
+    named like the new ones are replaced, all others pass through.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != "text")]
+    inner = [f"c{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(("quality",), dict)
         for whole in batches:
-            texts = whole.column("_text").to_pylist()
+            texts = whole.column("text").to_pylist()
             for a, z in groups(texts):
                 s = model.score(features(texts[a:z])) if model else np.full(z - a, 0.5)
-                yield pa.RecordBatch.from_arrays([*[whole.column(c).slice(a, z - a) for c in keep], pa.array(s, pa.float64()), pa.array((s >= limit).astype(np.int32), pa.int32())], [*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*[whole.column(c).slice(a, z - a) for c in inner], pa.array(s, pa.float64()), pa.array((s >= limit).astype(np.int32), pa.int32())], [*inner, "score", "predicted"])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double", "predicted int"])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, schema)
+    rows = numbered(docs, keep, F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, numbered_schema(docs, keep, "score double", "predicted int")).toDF(*keep, "score", "predicted")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The operators with Arrow code against libraries and brute force, and their edge cases."""
 
+import math
 import zlib
 
 import numpy as np
@@ -269,6 +270,53 @@ def test_quality_learns(spark):
     assert quality.score_documents(df.limit(0), model).count() == 0
 
 
+def slow_risk(w, b, p, u, prior):
+    """The risk's two parts, a row at a time."""
+    loss = lambda z: math.log1p(math.exp(-z))
+    z = lambda x: sum(float(a) * float(c) for a, c in zip(x, w, strict=True)) + b
+    plus = prior * sum(loss(z(x)) for x in p) / len(p)
+    minus = sum(loss(-z(x)) for x in u) / len(u) - prior * sum(loss(-z(x)) for x in p) / len(p)
+    return plus, minus
+
+
+def slow_fit(p, u, prior, steps, l2, rate=0.02):
+    """The non-negative risk by Adam, with gradients by differences; says how often it stepped against the negative part."""
+    dim = p.shape[1] + 1
+    at, m, v, back = np.zeros(dim), np.zeros(dim), np.zeros(dim), 0
+    for k in range(1, steps + 1):
+        negative = slow_risk(at[:-1], at[-1], p, u, prior)[1] < 0
+        back += negative
+        goal = lambda t: -slow_risk(t[:-1], t[-1], p, u, prior)[1] if negative else sum(slow_risk(t[:-1], t[-1], p, u, prior))  # noqa: B023, E731
+        g = np.array([(goal(at + 1e-5 * e) - goal(at - 1e-5 * e)) / 2e-5 for e in np.eye(dim)]) + l2 * np.append(at[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        at = at - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return at, back
+
+
+@pytest.mark.parametrize("prior, corrected", [(0.1, False), (0.4, True), (0.95, True)])
+def test_risk_against_differences(prior, corrected):
+    rng = np.random.default_rng(2)
+    p = rng.normal(1, 1, (30, 3)).astype(np.float32)
+    u = np.concatenate([rng.normal(1, 1, (20, 3)), rng.normal(-1, 1, (30, 3))]).astype(np.float32)
+    want, back = slow_fit(p, u, prior, 60, 0.01, 0.05)
+    w, b = quality._minimise(p, u, prior, 60, 0.01, 0.05)
+    np.testing.assert_allclose(np.append(w, b), want, atol=5e-3)
+    assert (back > 0) == corrected
+
+
+def test_prior_of_scores():
+    rng = np.random.default_rng(7)
+    sp = rng.normal(2, 1, 4000)
+    for prior in (0.2, 0.6, 0.9):
+        n = int(4000 * prior)
+        su = np.concatenate([rng.normal(2, 1, n), rng.normal(-3, 1, 4000 - n)])
+        cuts = [c for c in np.quantile(sp, np.linspace(0, 0.98, 99))]
+        slack = 2 * math.sqrt(math.log(40) / 8000)
+        ways = [((su >= c).mean() / (sp >= c).mean(), slack / (sp >= c).mean()) for c in cuts]
+        want = min(ways, key=sum)[0]
+        assert quality.estimate_prior(sp, su) == pytest.approx(want) and abs(want - prior) < 0.05
+
+
 def test_held_out(spark):
     from pyspark.sql import functions as F
 
