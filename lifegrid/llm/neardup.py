@@ -98,30 +98,42 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(threshold: float):
+    """Rows of a, b, text in order: a leader's row (b is null), then those that it is compared with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(("verify",), dict)
-        kept: dict[int, tuple] = {}  # the sets of popular nodes come again and again
-        for b in batches:
-            a, z, ta, tz = (b.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
-            hit = []
-            for i in range(b.num_rows):
-                if a[i] not in kept:
-                    if len(kept) >= 64:
-                        kept.clear()
-                    kept[a[i]] = weighted_sets([ta[i]])[1:]
-                hit.append(prob_jaccard(*kept[a[i]], *weighted_sets([tz[i]])[1:]) >= threshold)
-            keep = pa.array(hit, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+        leader: tuple = ()
+        for whole in batches:
+            a, b, texts = (whole.column(c).to_pylist() for c in ("a", "b", "text"))
+            hit = np.zeros(len(a), bool)
+            for start, end in groups(texts):
+                d, h, c = weighted_sets(texts[start:end])
+                edge = np.searchsorted(d, np.arange(end - start + 1))
+                for i in range(start, end):
+                    mine = slice(edge[i - start], edge[i - start + 1])
+                    if b[i] is None:
+                        leader = (h[mine].copy(), c[mine].copy())
+                    else:
+                        hit[i] = prob_jaccard(*leader, h[mine], c[mine]) >= threshold
+            keep = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([whole.column("a").filter(keep), whole.column("b").filter(keep)], ["a", "b"])
 
     return run
 
 
-def links(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of node ids whose exact similarity is at least threshold."""
+def links(pairs: DataFrame, docs: DataFrame, threshold: float, at_once: int = 200) -> DataFrame:
+    """The pairs (a, b) of node ids whose exact similarity is at least threshold.
+
+    The text of b goes with its pair; that of a goes once for each about at_once of its pairs, before them in the order in
+    which tasks read, so that a popular a is spread over tasks and is hashed once in each.
+    """
     need = small_side(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long")
+    texts = docs.select("doc_id", "text").join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / at_once).cast("int").alias("slots"))
+    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("s"), "b")
+    others = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "s", "b", "text")
+    leaders = many.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("s"), F.lit(None).cast("long").alias("b"), "text")
+    return others.unionByName(leaders).repartition("a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first()).mapInArrow(_verify(threshold), "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -155,7 +167,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     A class is a connected component of links: J_P of the weighted 5-word shingle sets >= threshold,
     among pairs that share a band (at similarity 0.8 a pair shares none with probability 5e-5). A text of 1 to 4 words has
     one shingle of all its words; texts without words (null, empty, blank) are alone in their class. doc_id identifies a
-    document: rows repeated with the same id are one. Rows of null id come back with class null.
+    document: rows repeated with the same id are one, and of different texts of one id the least is compared. Rows of null id come back with
+    class null. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
