@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,14 +37,16 @@ class Scratch:
     """Tables written once under the shared folder, so that nothing behind them is computed twice.
 
     A written table survives lost executors, unlike cached blocks. ``drop`` frees a table
-    early; what is left goes when the driver's Python ends.
+    early; what is left goes when the driver's Python ends, or a ``released`` block that it was made in.
     """
 
+    all: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.n = spark, 0
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
-        atexit.register(self.clear)
+        self.open = True
+        Scratch.all.append(self)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -52,7 +56,6 @@ class Scratch:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
@@ -65,17 +68,31 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.clear()
-
     def clear(self) -> None:
-        try:
-            self.remove(self.root)
-        except Exception:  # the JVM may be gone by now
-            pass
+        if self.open:
+            self.open = False
+            try:
+                self.remove(self.root)
+            except Exception:  # the JVM may be gone by now
+                pass
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Drops, at the end of the block, the scratch tables that operators made in it: for results that are written by then."""
+    before = len(Scratch.all)
+    try:
+        yield
+    finally:
+        for s in Scratch.all[before:]:
+            s.clear()
+        del Scratch.all[before:]
+
+
+@atexit.register
+def _clear_all() -> None:
+    for s in Scratch.all:
+        s.clear()
 
 
 def quoted(name: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, small_side, table, words_of
+from .common import Scratch, free_names, quoted, small_side, table, words_of
 
 LEVELS = ["domain", "lang", "source"]
 #: Buckets of a leaf's order, so that no task orders a whole leaf; the first three hexadecimal digits.
@@ -81,8 +81,8 @@ def mix(docs: DataFrame, seed: int = 7, budget_part: float = 0.8, epochs: int =
     docs has doc_id, lang, source and tokens; null lang or source count as ''. The budget is budget_part of all tokens.
     In epoch e a leaf's documents are ordered by md5 of 'seed:e:doc_id', then doc_id; a document is taken in epoch e
     while the tokens before it, in this and earlier epochs, are less than the leaf's share. So a leaf gets its share or up to one document
-    more. Documents without tokens are never taken. Rows repeated with the same id are each taken or left
-    together with equal ties in no fixed order; epochs are at most ``epochs``.
+    more. Documents without tokens are never taken. Rows repeated with the same id stand next to each other, those of fewer
+    tokens first; rows of null id count as such repeats of one id. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, seed: int = 7, budget_part: float = 0.8, epochs: int =
     upto = Window.partitionBy(*LEVELS, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(small_side(share), LEVELS)
     starts = starts.withColumn("start", F.col("start") + F.col("epoch") * F.col("tokens")).filter(F.col("start") < F.col("share")).select(*LEVELS, "epoch", "bucket", "start", "share")
-    within = Window.partitionBy(*LEVELS, "epoch", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*LEVELS, "epoch", "bucket").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     at = lists.join(starts, [*LEVELS, "epoch", "bucket"]).withColumn("before", F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     return at.filter(F.col("before") < F.col("share")).select("doc_id", *LEVELS, "tokens", "epoch")
 
@@ -112,10 +112,14 @@ def with_tokens(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose ids the mix selects, once for each epoch they are selected in; all columns of docs."""
-    chosen = mix(with_tokens(docs), **how).groupBy("doc_id").agg(F.countDistinct("epoch").cast("int").alias("_times"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(chosen, "doc_id").select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    """The rows of docs whose ids the mix selects, once for each epoch they are selected in; all columns of docs.
+
+    Where the mix takes one of the rows of an id, null included, all rows of that id come.
+    """
+    own, times, copy = free_names(docs.columns, "own", "times", "copy")
+    chosen = mix(with_tokens(docs), **how).groupBy(F.col("doc_id").alias(own)).agg(F.countDistinct("epoch").cast("int").alias(times))
+    both = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(own)))
+    return both.select(*[quoted(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +160,7 @@ WITH d AS (
   SELECT r.*, e.epoch, md5('{seed}:' || CAST(e.epoch AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
   FROM r CROSS JOIN (SELECT unnest(range({epochs})) AS epoch) e
 ), c AS (
-  SELECT o.*, s3.share, o.epoch * s3.n + coalesce(sum(tokens) OVER (PARTITION BY o.domain, o.lang, o.source, o.epoch ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT o.*, s3.share, o.epoch * s3.n + coalesce(sum(tokens) OVER (PARTITION BY o.domain, o.lang, o.source, o.epoch ORDER BY k, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM o JOIN s3 ON o.domain = s3.domain AND o.lang = s3.lang AND o.source = s3.source
 )
 SELECT doc_id, domain, lang, source, tokens, CAST(epoch AS INTEGER) AS epoch FROM c WHERE before < share
