@@ -9,8 +9,11 @@ Texts of equal weighted sets are one node. Nodes that share a band form a bucket
 so that every pair in a bucket is either verified, already connected, or proven unlike:
 
 1. Each bucket's most popular node (whose buckets hold the most) is verified with all others.
-2. In buckets still in several components, nodes that share a rare shingle are verified with each other, and each node
-   outside the largest component with all nodes of other components that a bound allows if no rare shingle is shared.
+2. For nodes of buckets still in several components, rarest shingles first, let the first shingle that two of them share
+   have the mass p before it in a node of mass m. What stands before it isn't shared, so that
+   J_P <= 1 / (1 + p / (m - p) + q / (n - q)) for masses m, n and p, q before it. Pairs of different components that share a shingle where this allows the
+   threshold are compared; so only a node's first fifth of mass is looked at, and no other pair can be alike. Then a bitmap of each
+   set says how much of either is not in the other at least, which puts the same bound on them. What both allow is verified.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, small_side, table
 from .pieces import groups, hold
@@ -28,8 +32,8 @@ from .shingles import counted, mix, shingle_hashes, word_hashes
 
 SLOTS_A_BAND = 5
 BANDS = 25
-#: A shingle that at most so many unresolved nodes hold leads to its holders directly.
-RARE = 6
+#: Longs in the bitmap of a set of shingles.
+MAP = 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,12 +157,49 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return label.select("node", "comp")
 
 
-def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a text: its shingles, how often it holds each, and a bitmap in which each shingle sets one bit."""
     for whole in batches:
-        texts, ids = whole.column("text").to_pylist(), np.asarray(whole.column("doc_id").to_pylist(), np.int64)
+        texts = whole.column("text").to_pylist()
         for a, z in groups(texts):
             d, h, c = weighted_sets(texts[a:z])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:z][d]), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["node", "h", "c"])
+            ends = np.searchsorted(d, np.arange(z - a + 1)).astype(np.int32)
+            bits = np.zeros((z - a, MAP), np.uint64)
+            spot = h % np.uint64(MAP * 64)
+            np.bitwise_or.at(bits, (d, (spot // np.uint64(64)).astype(np.int64)), np.uint64(1) << (spot % np.uint64(64)))
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (h.view(np.int64), c.astype(np.int64))]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (z - a) * MAP + 1, MAP, dtype=np.int32)), pa.array(bits.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(a, z - a), *lists, flat], ["node", "h", "c", "bits"])
+
+
+def may_be_alike(p: Column, m: Column, q: Column, n: Column, threshold: float) -> Column:
+    """Whether 1 / (1 + p / (m - p) + q / (n - q)), the most that J_P can be if masses p of m and q of n aren't shared, reaches
+    the threshold. As p / (m - p) = m / (m - p) - 1, each term stands here once."""
+    return m / (m - p + 1e-9) + n / (n - q + 1e-9) <= 1 / threshold + 1 + 1e-6
+
+
+def alike_by_prefix(sets: DataFrame, comps: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes of different components that may be alike: see step 2 above.
+
+    sets is the written table of ``_sets``, comps a row (node, comp) for each node.
+    """
+    each = sets.select("node", F.explode(F.arrays_zip("h", "c")).alias("s")).select("node", "s.h", "s.c")
+    df = each.groupBy("h").agg(F.count("*").alias("df"))
+    inside = Window.partitionBy("node")
+    before = F.coalesce(F.sum("c").over(inside.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = each.join(df, "h").select("node", "h", "df", before.cast("double").alias("p"), F.sum("c").over(inside).cast("double").alias("m"))
+    zero = F.lit(0.0)
+    first = first.filter(may_be_alike(F.col("p"), F.col("m"), zero, F.col("m"), threshold) & (F.col("df") > 1)).drop("df").join(comps, "node")
+    first = scratch.put(first, "prefixes")
+    mixed = scratch.put(first.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h"), "mixed")
+    first = first.join(mixed, "h", "left_semi").join(sets.select("node", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(MAP)]), "node")
+    x, y = first.alias("x"), first.alias("y")
+    col = lambda t, c: F.col(f"{t}.{c}")
+    lacks = lambda s, t: sum((F.bit_count(col(s, f"b{i}").bitwiseAND(F.bitwise_not(col(t, f"b{i}")))) for i in range(MAP)), F.lit(0)).cast("double")
+    other = (col("x", "h") == col("y", "h")) & (col("x", "node") < col("y", "node")) & (col("x", "comp") != col("y", "comp"))
+    by_order = may_be_alike(col("x", "p"), col("x", "m"), col("y", "p"), col("y", "m"), threshold)
+    by_bits = may_be_alike(lacks("x", "y"), col("x", "m"), lacks("y", "x"), col("y", "m"), threshold)
+    return x.join(y, other & by_order & by_bits).select(col("x", "node").alias("a"), col("y", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -188,29 +229,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # buckets that are not one component yet; in those of two nodes the only pair is verified
     parts = ranked.filter(F.col("size") > 2).join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     parts = scratch.put(parts, "parts")
-    largest = parts.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("comp", F.struct("count", "comp")).alias("big")).filter(F.col("n") > 1)
-    open_ = scratch.put(parts.join(largest.select("bucket", "big"), "bucket"), "open")
-    wanted = small_side(open_.select(F.col("node").alias("doc_id")).distinct())
-    sets = rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_rare, "node long, h long, c long")
-    sets = scratch.put(sets, "sets")
-    few = sets.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE)
-    rare = scratch.put(sets.join(few.select("h"), "h").join(open_.select("node", "comp").distinct(), "node"), "rare")
-    own = rare.groupBy("node").agg(F.sum("c").alias("own"), F.count("*").alias("own_n"))
-    mass = sets.groupBy("node").agg(F.sum("c").alias("mass"), F.count("*").alias("n")).join(own, "node", "left").select("node", "mass", "n", F.coalesce("own", F.lit(0)).alias("own"), (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("free"))
-    # pairs that share a rare shingle, at most RARE nodes each; for all others no rare shingle is shared
-    sharing = rare.alias("x").join(rare.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
-    sharing = sharing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    may = mass.filter(F.col("mass") - F.col("own") >= threshold * F.col("mass"))
-    able = scratch.put(open_.join(may, "node"), "able")
-    x, y = able.filter(F.col("comp") != F.col("big")).alias("x"), able.alias("y")
-    ax = F.greatest(F.col("x.own"), F.col("x.n") - F.col("y.free")).cast("double")
-    ay = F.greatest(F.col("y.own"), F.col("y.n") - F.col("x.free")).cast("double")
-    mx, my = F.col("x.mass"), F.col("y.mass")
-    # J_P <= 1 / (1 + ax / (mx - ax) + ay / (my - ay)), with ax, ay what cannot be shared; multiplied out
-    bound = (ax < mx) & (ay < my) & ((mx - ax) * (my - ay) >= (threshold - 1e-9) * ((mx - ax) * (my - ay) + ax * (my - ay) + ay * (mx - ax)))
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & bound)
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).union(sharing).distinct()
-    more = scratch.put(links(scratch.put(rest, "rest"), rows, threshold), "links")
+    mixed = parts.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
+    open_ = scratch.put(parts.join(mixed, "bucket", "left_semi").select("node", "comp").distinct(), "open")
+    wanted = small_side(open_.select(F.col("node").alias("doc_id")))
+    texts = rows.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = scratch.put(texts.mapInArrow(_sets, "node long, h array<long>, c array<long>, bits array<long>"), "sets")
+    rest = scratch.put(alike_by_prefix(sets, open_, threshold, scratch), "rest")
+    more = scratch.put(links(rest, rows, threshold), "links")
     if more.limit(1).count():
         comp = components(found.union(more), scratch)
     by_set = nodes.select("f1", "f2", "node").join(comp, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("class_id"))

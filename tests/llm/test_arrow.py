@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lifegrid.llm.common import Scratch
 from lifegrid.llm import neardup, neighbours, pieces, quality, sentencepieces, shingles, tokencount, tokenfiles
 
 RNG = np.random.default_rng(11)
@@ -179,6 +180,32 @@ def test_near_duplicates(spark):
     assert kept == sorted(set(label))
 
 
+def test_near_duplicates_of_one_template(spark):
+    """Many copies of one text with changed words: all links between different components are found without all pairs being verified."""
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 400, 130)]
+    texts = []
+    for i in range(160):
+        t = list(base)
+        for p in rng.integers(0, 130, int(rng.integers(1, 9))):
+            t[p] = f"n{rng.integers(0, 60 if i % 2 else 100000)}"
+        texts.append(" ".join(t))
+    label = list(range(160))
+    d, h, c = neardup.weighted_sets(texts)
+    part = [(h[d == i], c[d == i]) for i in range(160)]
+    alike = {(i, j) for i in range(160) for j in range(i) if neardup.prob_jaccard(*part[i], *part[j]) >= 0.8}
+    for i, j in sorted(alike):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < 150
+    # each node a component of its own: every link is among the pairs that the bounds allow, and few others are
+    scratch = Scratch(spark, "t")
+    sets = scratch.put(docs(spark, texts, False).mapInArrow(neardup._sets, "node long, h array<long>, c array<long>, bits array<long>"), "sets")
+    pairs = {(r.b, r.a) for r in neardup.alike_by_prefix(sets, sets.selectExpr("node", "node as comp"), 0.8, scratch).collect()}
+    assert alike <= pairs and len(alike) < len(pairs) < 3 * len(alike) < 160 * 159 / 16
+
+
 def test_near_duplicates_odd_rows(spark):
     t = "a b c d e f g"
     df = spark.createDataFrame([(None, t), (4, t), (4, t), (2, t + " h"), (9, t)], "doc_id long, text string")
