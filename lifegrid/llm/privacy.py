@@ -9,6 +9,10 @@ everywhere), c(e) those with e, c(e, t) those with both and df(t) those with t,
 
     IC(e) = log2(N / c(e)),   PMI(e, t) = log2(N c(e, t) / (c(e) df(t))).
 
+Near copies of one text would make all of its words disclose what it holds. So texts get a sketch, two least hashes of three
+neighbouring terms, which most near copies share; the texts with e and t must have enough different sketches, and half as
+many as there are texts.
+
 Where PMI(e, t) >= threshold * IC(e), with support in enough texts, t is generalised in the documents that hold e, or removed. Its
 generalisations are its first 3, 2 and 1 characters: the first one that discloses less than the threshold whatever it
 co-occurs with. A prefix g is in at least as many texts as the most frequent term that begins with it, low(g), so that
@@ -170,21 +174,29 @@ def prefixes(t: Column) -> Column:
     return F.filter(F.array(*[F.substring(t, 1, k) for k in PREFIXES]), lambda g: F.length(g) < F.length(t))
 
 
-def disclosing_terms(texts: DataFrame, base: DataFrame, each: DataFrame, scratch: Scratch, threshold: float = 0.8, support: int = 3, pooled: int = 8) -> DataFrame:
+def sketch(words: Column) -> Column:
+    """The least of two hashes each of three neighbouring terms (of all, if fewer): texts of similarity J share it in J squared of all cases."""
+    at = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    some = F.when(F.size(words) > 2, F.slice(at, F.lit(1), F.size(words) - 2)).otherwise(F.array(F.xxhash64(words)))
+    return let(some, lambda h: F.xxhash64(F.array_min(h), F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(1))))))
+
+
+def disclosing_terms(near: DataFrame, texts: DataFrame, base: DataFrame, each: DataFrame, scratch: Scratch, threshold: float = 0.8, support: int = 3, pooled: int = 8) -> DataFrame:
     """e1, e2, term, put: the terms that disclose an entity, and the prefix that each is generalised to ('' to remove it).
 
-    Everything is counted over distinct texts: texts has u1, u2, text of every row, base the keys of every row, each the
-    distinct u1, u2, e1, e2, pooled of the spans. A term and a value must be in ``support`` texts together, a term and a group
-    or kind in ``pooled`` ones, as chance brings those together more often.
+    Everything is counted over distinct texts: near has u1, u2, words of those with spans, texts has u1, u2, text of every row, base the
+    keys of every row, each the distinct u1, u2, e1, e2, pooled of the spans. A term and a value must be in ``support`` texts of
+    different sketches together, a term and a group or kind in ``pooled`` ones, as chance brings those together more often.
     """
     least = F.when(F.col("pooled"), pooled).otherwise(support)
     of_entity = scratch.put(each.groupBy("e1", "e2", "pooled").agg(F.count("*").alias("ce")).filter(F.col("ce") >= least), "entities")
     units = scratch.put(base.groupBy("u1", "u2").agg(F.count("*").alias("k")), "units")
     single = once(texts, scratch.put(units.filter("k > 1").select("u1", "u2"), "twice"))
     holds = scratch.put(each.join(small_side(of_entity), ["e1", "e2", "pooled"]), "holds")
-    near = texts.join(small_side(holds.select("u1", "u2").distinct()), ["u1", "u2"], "left_semi").dropDuplicates(["u1", "u2"]).select("u1", "u2", words_outside(F.col("text")).alias("words"))
-    pairs = near.join(holds, ["u1", "u2"]).select("e1", "e2", "pooled", "ce", F.explode("words").alias("term"))
-    pairs = scratch.put(pairs.groupBy("e1", "e2", "pooled", "ce", "term").agg(F.count("*").alias("cet")).filter(F.col("cet") >= least), "pairs")
+    pairs = near.withColumn("sketch", sketch(F.col("words"))).join(holds, ["u1", "u2"]).select("e1", "e2", "pooled", "ce", "sketch", F.explode("words").alias("term"))
+    keys = ["e1", "e2", "pooled", "ce", "term"]
+    pairs = pairs.groupBy(*keys, "sketch").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("cet"), F.count("*").alias("sketches"))
+    pairs = scratch.put(pairs.filter((F.col("sketches") >= least) & (2 * F.col("sketches") >= F.col("cet"))), "pairs")
     # a term in fewer texts than the support is in no pair
     df = single.select(F.explode(words_outside(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min(support, pooled))
     df = scratch.put(df, "terms")
@@ -212,9 +224,15 @@ def find_private(docs: DataFrame, **how) -> DataFrame:
     each = base.filter(F.size("spans") > 0).select("u1", "u2", F.explode(F.array_distinct(F.flatten(F.transform("spans", entities)))).alias("e"))
     each = scratch.put(each.select("u1", "u2", "e.*").distinct(), "each")
     texts = docs.select(text.alias("text"), *text_key(text))
-    shown = scratch.put(disclosing_terms(texts, base, each, scratch, **how), "shown")
+    holders = small_side(scratch.put(each.select("u1", "u2").distinct(), "holders"))
+    near = texts.join(holders, ["u1", "u2"], "left_semi").dropDuplicates(["u1", "u2"]).select("u1", "u2", words_outside(F.col("text")).alias("words"))
+    near = scratch.put(near, "near")
+    shown = scratch.put(disclosing_terms(near, texts, base, each, scratch, **how), "shown")
+    # only a text's own words are looked up, so that rows grow with texts and not with texts times terms
+    own = near.join(each.join(small_side(shown.select("e1", "e2").distinct()), ["e1", "e2"], "left_semi"), ["u1", "u2"])
+    own = own.select("u1", "u2", "e1", "e2", F.explode("words").alias("term")).join(small_side(shown), ["e1", "e2", "term"])
     # of the prefixes that a text's entities ask for, the most general one is right for all of them
-    terms = each.join(small_side(shown), ["e1", "e2"]).groupBy("u1", "u2", "term").agg(F.min_by("put", F.length("put")).alias("put"))
+    terms = own.groupBy("u1", "u2", "term").agg(F.min_by("put", F.length("put")).alias("put"))
     per_text = scratch.put(terms.groupBy("u1", "u2").agg(F.map_from_entries(F.collect_list(F.struct("term", "put"))).alias("terms")), "texts")
     held = texts.join(small_side(per_text.select("u1", "u2")), ["u1", "u2"], "left_semi").dropDuplicates(["u1", "u2"])
     free = held.join(per_text, ["u1", "u2"]).select("u1", "u2", "terms", free_text(F.col("text")).alias("free"))
