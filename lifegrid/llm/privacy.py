@@ -157,7 +157,7 @@ def once(texts: DataFrame, twice: DataFrame) -> DataFrame:
 
 
 def entities(span: Column) -> Column:
-    """What a span reveals: its value, its group and its kind, as structs of e1, e2 (128 bits) and whether many values are pooled."""
+    """What a span reveals: its value, its group and its kind, as structs of e (a hash) and whether many values are pooled."""
     value, kind = span["value"], span["kind"]
     group = (
         F.when(kind == NAMES.index("email"), F.substring_index(value, "@", -1))
@@ -166,7 +166,7 @@ def entities(span: Column) -> Column:
         .otherwise(F.substring(value, 1, 4))
     )
     named = [(value, "value", False), (group, "group", True), (F.lit(""), "kind", True)]
-    return F.array(*[F.struct(F.xxhash64(kind, F.lit(w), v).alias("e1"), F.xxhash64(F.lit(w), v, kind).alias("e2"), F.lit(pooled).alias("pooled")) for v, w, pooled in named])
+    return F.array(*[F.struct(F.xxhash64(kind, F.lit(w), v).alias("e"), F.lit(pooled).alias("pooled")) for v, w, pooled in named])
 
 
 def prefixes(t: Column) -> Column:
@@ -182,32 +182,32 @@ def sketch(words: Column) -> Column:
 
 
 def disclosing_terms(near: DataFrame, texts: DataFrame, base: DataFrame, each: DataFrame, scratch: Scratch, threshold: float = 0.8, support: int = 3, pooled: int = 8) -> DataFrame:
-    """e1, e2, term, put: the terms that disclose an entity, and the prefix that each is generalised to ('' to remove it).
+    """e, term, put: the terms that disclose an entity, and the prefix that each is generalised to ('' to remove it).
 
     Everything is counted over distinct texts: near has u1, u2, words of those with spans, texts has u1, u2, text of every row, base the
-    keys of every row, each the distinct u1, u2, e1, e2, pooled of the spans. A term and a value must be in ``support`` texts of
+    keys of every row, each the distinct u1, u2, e, pooled of the spans. A term and a value must be in ``support`` texts of
     different sketches together, a term and a group or kind in ``pooled`` ones, as chance brings those together more often.
     """
     least = F.when(F.col("pooled"), pooled).otherwise(support)
-    of_entity = scratch.put(each.groupBy("e1", "e2", "pooled").agg(F.count("*").alias("ce")).filter(F.col("ce") >= least), "entities")
+    of_entity = scratch.put(each.groupBy("e", "pooled").agg(F.count("*").alias("ce")).filter(F.col("ce") >= least), "entities")
     units = scratch.put(base.groupBy("u1", "u2").agg(F.count("*").alias("k")), "units")
     single = once(texts, scratch.put(units.filter("k > 1").select("u1", "u2"), "twice"))
-    holds = scratch.put(each.join(small_side(of_entity), ["e1", "e2", "pooled"]), "holds")
-    pairs = near.withColumn("sketch", sketch(F.col("words"))).join(holds, ["u1", "u2"]).select("e1", "e2", "pooled", "ce", "sketch", F.explode("words").alias("term"))
-    keys = ["e1", "e2", "pooled", "ce", "term"]
-    pairs = pairs.groupBy(*keys, "sketch").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("cet"), F.count("*").alias("sketches"))
-    pairs = scratch.put(pairs.filter((F.col("sketches") >= least) & (2 * F.col("sketches") >= F.col("cet"))), "pairs")
+    holds = each.join(small_side(of_entity.select("e")), "e", "left_semi").groupBy("u1", "u2").agg(F.collect_list("e").alias("es"))
+    pairs = near.withColumn("sketch", sketch(F.col("words"))).join(holds, ["u1", "u2"]).select("es", "sketch", F.explode("words").alias("term")).select(F.explode("es").alias("e"), "term", "sketch")
+    pairs = pairs.groupBy("e", "term", "sketch").agg(F.count("*").alias("n")).groupBy("e", "term").agg(F.sum("n").alias("cet"), F.count("*").alias("sketches"))
+    pairs = pairs.filter((F.col("sketches") >= min(support, pooled)) & (2 * F.col("sketches") >= F.col("cet"))).join(small_side(of_entity), "e").filter(F.col("sketches") >= least)
+    pairs = scratch.put(pairs, "pairs")
     # a term in fewer texts than the support is in no pair
     df = single.select(F.explode(words_outside(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min(support, pooled))
     df = scratch.put(df, "terms")
     total = F.lit(float(max(units.count(), 2)))
     pmi = F.log2(total * F.col("cet") / (F.col("ce") * F.col("df")))
     ic = F.log2(total / F.col("ce"))
-    shown = scratch.put(pairs.join(df, "term").filter((ic > 0) & (pmi >= threshold * ic)).select("e1", "e2", "term", ic.alias("ic")), "disclosing")
+    shown = scratch.put(pairs.join(df, "term").filter((ic > 0) & (pmi >= threshold * ic)).select("e", "term", ic.alias("ic")), "disclosing")
     low = df.select("df", F.explode(prefixes(F.col("term"))).alias("g")).groupBy("g").agg(F.max("df").alias("low"))
-    safe = shown.select("e1", "e2", "term", "ic", F.explode(prefixes(F.col("term"))).alias("g")).join(low, "g").filter(F.log2(total / F.col("low")) < threshold * F.col("ic"))
-    put = safe.groupBy("e1", "e2", "term").agg(F.max_by("g", F.length("g")).alias("g"))
-    return shown.join(put, ["e1", "e2", "term"], "left").select("e1", "e2", "term", F.coalesce(F.concat("g", F.lit("*")), F.lit("")).alias("put"))
+    safe = shown.select("e", "term", "ic", F.explode(prefixes(F.col("term"))).alias("g")).join(low, "g").filter(F.log2(total / F.col("low")) < threshold * F.col("ic"))
+    put = safe.groupBy("e", "term").agg(F.max_by("g", F.length("g")).alias("g"))
+    return shown.join(put, ["e", "term"], "left").select("e", "term", F.coalesce(F.concat("g", F.lit("*")), F.lit("")).alias("put"))
 
 
 def find_private(docs: DataFrame, **how) -> DataFrame:
@@ -228,9 +228,10 @@ def find_private(docs: DataFrame, **how) -> DataFrame:
     near = texts.join(holders, ["u1", "u2"], "left_semi").dropDuplicates(["u1", "u2"]).select("u1", "u2", words_outside(F.col("text")).alias("words"))
     near = scratch.put(near, "near")
     shown = scratch.put(disclosing_terms(near, texts, base, each, scratch, **how), "shown")
-    # only a text's own words are looked up, so that rows grow with texts and not with texts times terms
-    own = near.join(each.join(small_side(shown.select("e1", "e2").distinct()), ["e1", "e2"], "left_semi"), ["u1", "u2"])
-    own = own.select("u1", "u2", "e1", "e2", F.explode("words").alias("term")).join(small_side(shown), ["e1", "e2", "term"])
+    # each text's own words are looked up, so that rows grow with the words of texts and not with texts times terms
+    held_by = each.groupBy("u1", "u2").agg(F.collect_list("e").alias("es"))
+    own = near.join(held_by, ["u1", "u2"]).select("u1", "u2", "es", F.explode("words").alias("term"))
+    own = own.join(small_side(shown), "term").filter(F.array_contains("es", F.col("e")))
     # of the prefixes that a text's entities ask for, the most general one is right for all of them
     terms = own.groupBy("u1", "u2", "term").agg(F.min_by("put", F.length("put")).alias("put"))
     per_text = scratch.put(terms.groupBy("u1", "u2").agg(F.map_from_entries(F.collect_list(F.struct("term", "put"))).alias("terms")), "texts")
