@@ -59,6 +59,10 @@ class CoxFit:
         return {"loglik": self.loglik, "null_loglik": self.null_loglik, "lr_chisq": lr, "lr_p": chi2_upper(lr, k), "aic": 2 * k - 2 * self.loglik, "bic": k * math.log(self.n) - 2 * self.loglik, "events_per_variable": self.events / k, "n": self.n, "events": self.events, "iterations": self.iterations}
 
 
+#: Levels of a categorical covariate; each but one is a column of the fit. More are refused, none is left out.
+MAX_LEVELS = 1_000
+
+
 def design(df: DataFrame, covariates: list[str], categorical: list[str] = ()) -> tuple[DataFrame, list[str]]:
     """Dummy columns of categorical covariates against their reference level; other covariates as they are."""
     check_covariates(covariates)
@@ -68,7 +72,9 @@ def design(df: DataFrame, covariates: list[str], categorical: list[str] = ()) ->
         if c not in categorical and kinds[c] != "string":
             names.append(c)
             continue
-        levels = ordered_levels(c, [r[0] for r in df.select(c).dropna().distinct().limit(200).collect()])
+        levels = ordered_levels(c, [r[0] for r in df.select(f"`{c}`").dropna().distinct().limit(MAX_LEVELS + 1).collect()])
+        if len(levels) > MAX_LEVELS:
+            raise UserInputError(f'"{c}" has more than {MAX_LEVELS} levels; its dummy columns would be more than a fit can hold')
         if len(levels) < 2:
             raise UserInputError(f'"{c}" is constant')
         for v in levels[1:]:

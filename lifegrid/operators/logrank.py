@@ -84,9 +84,16 @@ def two_group_statistics(cohort: DataFrame, group: str, kind: str = "logrank", f
     return sums.select(*keys, "observed", "expected", (F.col("u") ** 2 / F.col("v")).alias("chisq"))
 
 
+#: Groups that are compared pair by pair.
+MAX_GROUPS = 200
+
+
 def pairwise(cohort: DataFrame, group: str, kind: str = "logrank", fh_p: float = 1.0) -> list[dict]:
-    """Every pair of groups on its own two-group subset, in one plan, with adjusted p-values."""
-    labels = ordered_levels(group, [r[0] for r in cohort.select(group).distinct().limit(51).collect()])
+    """Every pair of groups on its own two-group subset, in one plan, with adjusted p-values. Pairs grow with the square of
+    the groups, so more than MAX_GROUPS are refused."""
+    labels = ordered_levels(group, [r[0] for r in cohort.select(group).distinct().limit(MAX_GROUPS + 2).collect()])
+    if len(labels) > MAX_GROUPS:
+        raise UserInputError(f'"{group}" has more than {MAX_GROUPS} groups to compare in pairs')
     pairs = list(combinations(labels, 2))
     if not pairs:
         return []
@@ -94,8 +101,11 @@ def pairwise(cohort: DataFrame, group: str, kind: str = "logrank", fh_p: float =
     mine = F.filter(named, lambda x: (x["a"] == F.col(group).cast("string")) | (x["b"] == F.col(group).cast("string")))
     rows = cohort.select(group, "time", "event", F.explode(mine).alias("x")).select(F.col("x.pair").alias("pair"), group, "time", "event")
     stats = {r.pair: r.chisq for r in two_group_statistics(rows, group, kind, fh_p, "pair").collect()}
-    out = [{"comparison": f"{a} vs {b}", "chisq": stats[f"{a} vs {b}"], "p_value": chi2_upper(stats[f"{a} vs {b}"], 1)} for a, b in pairs]
-    for row, p in zip(out, bh_adjust([r["p_value"] for r in out]), strict=True):
+    # a pair without any event has no statistic
+    chisq = {f"{a} vs {b}": stats.get(f"{a} vs {b}") for a, b in pairs}
+    out = [{"comparison": k, "chisq": x, "p_value": None if x is None else chi2_upper(x, 1), "p_adjusted": None} for k, x in chisq.items()]
+    known = [row for row in out if row["p_value"] is not None]
+    for row, p in zip(known, bh_adjust([r["p_value"] for r in known]), strict=True):
         row["p_adjusted"] = p
     return out
 

@@ -302,3 +302,17 @@ def test_exports():
     assert exports.to_csv(rows_, caption="t") == "# t\na,b\n'=1+1,0.5\nx|y_%,\n"
     assert "x\\|y_%" in exports.to_markdown(rows_) and r"x|y\_\%" in exports.to_latex(rows_)
     assert exports.to_docx(rows_)[:2] == b"PK"
+
+
+def test_many_levels_and_groups(spark):
+    """No level or group is left out: 300 levels give 299 columns, 60 groups all their pairs; too many are refused."""
+    df = spark.range(3000).selectExpr("id as _row_id", "cast(1 + id % 97 as double) as time", "cast(id % 3 = 0 as int) as event", "concat('site', id % 300) as site", "concat('g', id % 60) as g", "concat('x', id) as many")
+    _, names = cox.design(df, ["site"])
+    assert len(names) == 299 and len(set(names)) == 299
+    with pytest.raises(UserInputError):
+        cox.design(df, ["many"])
+    pairs = logrank.pairwise(df, "g")
+    known = [p for p in pairs if p["p_value"] is not None]  # two in three groups have no event here
+    assert len(pairs) == 60 * 59 // 2 and len(known) == len(pairs) - 40 * 39 // 2 and all(0 <= p["p_value"] <= p["p_adjusted"] <= 1 for p in known)
+    with pytest.raises(UserInputError):
+        logrank.pairwise(df, "site")
