@@ -127,10 +127,14 @@ def estimate_prior(sp: np.ndarray, su: np.ndarray) -> float:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, l2: float = 1e-2) -> Quality:
-    """Standardises by the unlabelled sample, estimates the prior on halves that the first model hasn't seen, then fits."""
+    """Standardises by the unlabelled sample (in place), estimates the prior on halves that the first model hasn't seen, then fits."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0)
     scale = np.maximum(scale, np.float32(0.01))
-    p, u = (np.clip((x - mean) / scale, -8, 8).astype(np.float32) for x in (positive, unlabelled))
+    p, u = positive, unlabelled
+    for x in (p, u):
+        x -= mean
+        x /= scale
+        np.clip(x, -8, 8, out=x)
     w, b = _minimise(p[::2], u[::2], 0.5, steps // 2, 1e-3)
     prior = estimate_prior(p[1::2] @ w + b, u[1::2] @ w + b)
     w, b = _minimise(p, u, prior, steps, l2)
@@ -161,7 +165,9 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not flag.any() or flag.all():
         return
     order = np.lexsort((x[:, 5], x[:, 0], x[:, DENSE - 10]))  # an order that doesn't depend on the partitions
-    m = fit(x[order[flag[order]]], x[order[~flag[order]]])
+    p, u = x[order[flag[order]]], x[order[~flag[order]]]
+    del x
+    m = fit(p, u)
     row = [pa.array([a.astype("<f4").tobytes()], pa.binary()) for a in (m.mean, m.scale, m.weights)]
     yield pa.RecordBatch.from_arrays([*row, pa.array([m.bias]), pa.array([m.prior])], ["mean", "scale", "weights", "bias", "prior"])
 
