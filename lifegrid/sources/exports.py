@@ -23,16 +23,21 @@ def _columns(rows: list[dict], columns: list[str] | None) -> list[str]:
     return columns or list(dict.fromkeys(k for r in rows for k in r))
 
 
+def plain_text(s: str) -> str:
+    """Text that a spreadsheet would take for a formula, blanks before it or not, with a leading apostrophe."""
+    risky = s[:1] in ("\t", "\r") or s.lstrip()[:1] in ("=", "+", "-", "@")
+    return "'" + s if risky and s.strip() and not _number(s) else s
+
+
 def to_csv(rows: list[dict], columns: list[str] | None = None, caption: str = "", notes: list[str] = ()) -> str:
     """Caption and notes as # lines; text that a spreadsheet would take for a formula gets a leading apostrophe."""
-    safe = lambda s: "'" + s if s[:1] in ("=", "+", "-", "@", "\t", "\r") and not _number(s) else s
     out = io.StringIO()
     for line in [caption, *notes]:
         if line:
             out.write("# " + " ".join(line.split()) + "\n")
     cols, w = _columns(rows, columns), csv.writer(out, lineterminator="\n")
-    w.writerow([safe(c) for c in cols])
-    w.writerows([safe(cell(r.get(c), 10)) for c in cols] for r in rows)
+    w.writerow([plain_text(c) for c in cols])
+    w.writerows([plain_text(cell(r.get(c), 10)) for c in cols] for r in rows)
     return out.getvalue()
 
 
@@ -46,8 +51,8 @@ def _number(s: str) -> bool:
 
 def to_markdown(rows: list[dict], columns: list[str] | None = None, caption: str = "", notes: list[str] = (), template: str = "default") -> str:
     cols = _columns(rows, columns)
-    line = lambda xs: "| " + " | ".join(x.replace("|", "\\|").replace("\n", " ") for x in xs) + " |"
-    body = [line(cols), line(["---"] * len(cols)), *[line([cell(r.get(c)) for c in cols]) for r in rows]]
+    line = lambda xs: "| " + " | ".join(plain_text(x).replace("|", "\\|").replace("\n", " ") for x in xs) + " |"
+    body = [line(cols), "| " + " | ".join(["---"] * len(cols)) + " |", *[line([cell(r.get(c)) for c in cols]) for r in rows]]
     head = {"default": f"**{caption}**\n\n", "compact": "", "journal": f"**Table.** {caption}\n\n", "supplement": f"### {caption}\n\n"}[template] if caption else ""
     tail = "" if not notes else "\n\n" + ("Notes: " + " ".join(notes) if template == "journal" else "\n".join(f"- {n}" for n in notes))
     return head + "\n".join(body) + tail + "\n"
@@ -97,7 +102,7 @@ def to_xlsx(rows: list[dict], columns: list[str] | None = None, caption: str = "
         raise DependencyError("XLSX export needs openpyxl") from e
     book, cols = Workbook(), _columns(rows, columns)
     for line in [[caption]] * bool(caption) + [cols] + [[r.get(c) for c in cols] for r in rows] + [[n] for n in notes]:
-        book.active.append(line)
+        book.active.append([plain_text(x) if isinstance(x, str) else x for x in line])
     out = io.BytesIO()
     book.save(out)
     return out.getvalue()

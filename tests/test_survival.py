@@ -302,6 +302,9 @@ def test_exports():
     assert exports.to_csv(rows_, caption="t") == "# t\na,b\n'=1+1,0.5\nx|y_%,\n"
     assert "x\\|y_%" in exports.to_markdown(rows_) and r"x|y\_\%" in exports.to_latex(rows_)
     assert exports.to_docx(rows_)[:2] == b"PK"
+    for text, safe in ((" =cmd", "' =cmd"), ("-1.5", "-1.5"), ("@x", "'@x"), ("- ", "'- "), ("a=b", "a=b"), ("", ""), (" ", " ")):
+        assert exports.plain_text(text) == safe
+    assert "| ' =cmd |\n" in exports.to_markdown([{"a": " =cmd"}]) and "| --- |" in exports.to_markdown([{"a": " =cmd"}])
 
 
 def test_many_levels_and_groups(spark):
