@@ -160,6 +160,7 @@ def resample_rule(c: pd.DataFrame, rid: int, combo: tuple[int, ...], op: str, ho
 
 def stability_score(row: dict, size: int) -> float:
     """Evidence, effect and support, less a price for length and a weak permutation p."""
+    # The coefficients.
     bh, hr = row["p_adjusted"], row.get("hazard_ratio")
     score = min(-math.log10(max(bh, 1e-300)), 10.0)
     score += 0.35 * abs(math.log(hr)) if hr and hr > 0 else 0.0

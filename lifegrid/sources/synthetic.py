@@ -25,6 +25,7 @@ def _choice(u: Column, shares: dict[str, float]) -> Column:
 
 def make_cohort(spark: SparkSession, n: int = 360, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """patient_id, os and pfs times and events, age, sex, stage, treatment, smoking_status, biomarker_score, immune_index."""
+    # The shares, means, spreads, risks and shapes of the distributions.
     u, z = (lambda name: _uniform(seed, name)), (lambda name: _normal(seed, name))
     age = F.round(F.greatest(F.lit(29.0), F.least(F.lit(87.0), 61.5 + 10.2 * z("age"))), 1)
     df = spark.range(0, n, 1, partitions or max(1, n // 1_000_000)).select(
