@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UserInputError
-from .timegrid import grid, survival
+from .timegrid import grid, survival, survival_at
 
 TINY = 1e-12
 
@@ -38,18 +38,15 @@ def brier_table(cohort: DataFrame, predictions: DataFrame, support: DataFrame |
 
     A row with an event by t adds S^2 / G(time), one still at risk after t adds (1 - S)^2 / G(t), others 0, over all rows; G is
     the censoring curve of the support cohort, at least 1e-12. The null prediction is the support's own curve.
-    G and the null curve are looked up on time grids, joined by equal times, so no row-wise search is needed.
+    G and the null curve are taken on time grids that hold the asked times too and joined by equal times; none reaches the driver.
     """
     support = cohort if support is None else support
-    cens = survival(grid(support.select("time", (1 - F.col("event")).alias("event")), []), []).select("time", F.greatest("surv", F.lit(TINY)).alias("g"))
-    pdf = cens.orderBy("time").toPandas()  # a row per distinct time
-    g = (pdf.time.to_numpy(float), pdf.g.to_numpy(float))
-    null = step(support)
-    ts = sorted(r.t for r in predictions.select("t").distinct().collect())
-    base = cohort.sparkSession.createDataFrame([(float(t), float(at(g, np.array([t]))[0]), float(at(null, np.array([t]))[0])) for t in ts], "t double, gt double, s0 double")
-    own = [r[0] for r in cohort.select("time").distinct().collect()]
-    rows_g = cohort.sparkSession.createDataFrame([(float(t), float(max(TINY, x))) for t, x in zip(own, at(g, np.array(own, float)), strict=True)], "time double, gi double")
-    x = predictions.join(cohort.select("_row_id", "time", "event"), "_row_id").join(F.broadcast(base), "t").join(rows_g, "time")
+    asked = predictions.select(F.col("t").cast("double").alias("time")).distinct()
+    flipped = support.select("time", (1 - F.col("event")).alias("event"))
+    cens = survival_at(flipped, asked.union(cohort.select(F.col("time").cast("double")).distinct())).select("time", F.greatest("surv", F.lit(TINY)).alias("g"))
+    base = asked.join(cens, "time").join(survival_at(support, asked), "time").select(F.col("time").alias("t"), F.col("g").alias("gt"), F.col("surv").alias("s0"))
+    rows = cohort.select("_row_id", F.col("time").cast("double").alias("time"), "event").join(cens.withColumnRenamed("g", "gi"), "time")
+    x = predictions.withColumn("t", F.col("t").cast("double")).join(base, "t").join(rows, "_row_id")
     dead, alive = (F.col("time") <= F.col("t")) & (F.col("event") == 1), F.col("time") > F.col("t")
     score = lambda s: F.when(dead, s * s / F.col("gi")).when(alive, (1 - s) ** 2 / F.col("gt")).otherwise(0.0)
     return x.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.avg(score(F.col("surv"))).alias("brier"), F.avg(score(F.col("s0"))).alias("null_brier"))

@@ -1,51 +1,48 @@
 """Harrell's concordance and its bootstrap interval.
 
 Pairs count where the earlier time is an event and the other time is strictly later; equal risks count one half.
-Equal (time, event, risk) rows are first merged to one with a count, by a distributed aggregation; the pair counts then
-come from one sweep from late to early times over a Fenwick tree of risks, in one task.
+Equal (time, event, risk) rows are first merged to one with a count. Times and risks are then cut into ranges, and each pair is
+counted once: inside its range of times; else inside its range of risks, from counts by range of times; else from the
+table of both ranges. No task holds more than a range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .timegrid import range_cuts, range_number
 
 def pair_counts(time: np.ndarray, event: np.ndarray, risk: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float, float]:
-    """(concordant, tied, comparable) pairs, with rows counted weight times."""
-    weight = np.ones(len(time)) if weight is None else np.asarray(weight, float)
-    values, rank = np.unique(risk, return_inverse=True)
-    n = len(values)
-    tree, exact = [0.0] * (n + 1), [0.0] * n
-    order = np.argsort(-time, kind="stable")
-    t, e, r, w = time[order].tolist(), event[order].tolist(), rank[order].tolist(), weight[order].tolist()
-    conc = tied = comp = later = 0.0
-    i, size = 0, len(t)
-    while i < size:
-        j = i
-        while j < size and t[j] == t[i]:
-            j += 1
-        for k in range(i, j):
-            if e[k] == 1:
-                pos, below = r[k], 0.0
-                while pos > 0:
-                    below += tree[pos]
-                    pos -= pos & -pos
-                conc += w[k] * below
-                tied += w[k] * exact[r[k]]
-                comp += w[k] * later
-        for k in range(i, j):
-            pos = r[k] + 1
-            exact[r[k]] += w[k]
-            later += w[k]
-            while pos <= n:
-                tree[pos] += w[k]
-                pos += pos & -pos
-        i = j
+    """(concordant, tied, comparable) pairs, with rows counted weight times.
+
+    Two times part at one bit of their rank: for each bit, the rows with it unset look up the rows of the same higher bits
+    with it set, in order of risk.
+    """
+    if not len(time):
+        return 0.0, 0.0, 0.0
+    t, r = np.unique(time, return_inverse=True)[1], np.unique(risk, return_inverse=True)[1]
+    w = np.ones(len(t)) if weight is None else np.asarray(weight, float)
+    order = np.argsort(r, kind="stable")
+    t, r, w, dead = t[order].astype(np.int64), r[order].astype(np.int64), w[order], np.asarray(event)[order] == 1
+    levels = int(r[-1]) + 1
+    conc = tied = comp = 0.0
+    for bit in range(int(t.max()).bit_length()):
+        late = (t >> bit) & 1 == 1
+        ask = ~late & dead
+        key = (t[late] >> (bit + 1)) * levels + r[late]
+        place = np.argsort(key, kind="stable")
+        key, upto = key[place], np.concatenate([[0.0], np.cumsum(w[late][place])])
+        base = (t[ask] >> (bit + 1)) * levels
+        start, end = (upto[np.searchsorted(key, b)] for b in (base, base + levels))
+        low, high = (upto[np.searchsorted(key, base + r[ask], side)] for side in ("left", "right"))
+        conc += float(w[ask] @ (low - start))
+        tied += float(w[ask] @ (high - low))
+        comp += float(w[ask] @ (end - start))
     return conc, tied, comp
 
 
@@ -54,19 +51,47 @@ def index_of(counts: tuple[float, float, float]) -> float | None:
     return (conc + 0.5 * tied) / comp if comp else None
 
 
-def pair_table(df: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """keys, concordant, tied, comparable, c_index of a table of time, event and risk. Rows without a finite risk don't count."""
-    keys = list(keys)
-    ok = F.col("risk").isNotNull() & ~F.isnan("risk") & F.col("time").isNotNull() & F.col("event").isNotNull()
-    merged = df.filter(ok).groupBy(*keys, "time", "event", "risk").agg(F.count(F.lit(1)).alias("k"))
+def counted(df: DataFrame) -> DataFrame:
+    """The rows that count: with a time, an event and a finite risk."""
+    return df.filter(F.col("risk").isNotNull() & ~F.isnan("risk") & F.col("time").isNotNull() & F.col("event").isNotNull())
+
+
+def ranges(df: DataFrame) -> tuple[list[float], list[float]]:
+    """Cuts of times and of risks, over the distinct (time, risk) of df."""
+    times, risks = range_cuts(counted(df).select("time", "risk").distinct(), ["time", "risk"])
+    return times, risks
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pair_counts(pdf.time.to_numpy(float), pdf.event.to_numpy(), pdf.risk.to_numpy(float), pdf.k.to_numpy(float))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "concordant": [int(c[0])], "tied": [int(c[1])], "comparable": [int(c[2])], "c_index": [index_of(c)]})
 
+def pair_table(df: DataFrame, keys: list[str] = (), weight: str | None = None, cuts: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """keys, concordant, tied, comparable, c_index of a table of time, event and risk. Rows without a finite risk don't count;
+    others count once, or weight times. The cuts come from ranges() unless given; they never change a result."""
+    keys = list(keys)
+    times, risks = ranges(df) if cuts is None else cuts
+    merged = counted(df).groupBy(*keys, F.col("time").cast("double").alias("time"), "event", F.col("risk").cast("double").alias("risk"))
+    merged = merged.agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("k"))
+    marked = merged.withColumns({"tr": range_number(F.col("time"), times), "rr": range_number(F.col("risk"), risks)})
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "concordant long, tied long, comparable long, c_index double"
-    return merged.groupBy(*keys).applyInPandas(run, schema) if keys else merged.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, schema)
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "concordant double, tied double, comparable double"
+
+    def counts(rows: DataFrame, inside: list[str], time: str, risk: str, use: tuple[int, int, int]) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            c = pair_counts(pdf[time].to_numpy(float), pdf.event.to_numpy(), pdf[risk].to_numpy(float), pdf.k.to_numpy(float))
+            return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, **{n: [x * u] for n, x, u in zip(("concordant", "tied", "comparable"), c, use, strict=True)}})
+
+        return rows.groupBy(*keys, *inside).applyInPandas(run, schema)
+
+    # an odd range of times has one time, so no pair inside it
+    parts = counts(marked.filter("tr % 2 = 0"), ["tr"], "time", "risk", (1, 1, 1))
+    if times:
+        coarse = marked.groupBy(*keys, "rr", "risk", "tr", "event").agg(F.sum("k").alias("k"))
+        cells = marked.groupBy(*keys, "rr", "tr", "event").agg(F.sum("k").alias("k"))
+        table = counts(cells.withColumn("_all", F.lit(0)), ["_all"], "tr", "rr", (1, 0, 1))
+        parts = parts.unionByName(counts(coarse, ["rr"], "tr", "risk", (1, 1, 0))).unionByName(table)
+    sums = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("concordant", "tied", "comparable")])
+    if not keys:
+        sums = sums.filter(F.col("comparable").isNotNull())
+    share = F.when(F.col("comparable") > 0, (F.col("concordant") + 0.5 * F.col("tied")) / F.col("comparable"))
+    return sums.select(*keys, *[F.col(c).cast("long").alias(c) for c in ("concordant", "tied", "comparable")], share.alias("c_index"))
 
 
 def c_index(df: DataFrame) -> float | None:
@@ -74,25 +99,26 @@ def c_index(df: DataFrame) -> float | None:
     return None if r is None else r.c_index
 
 
-def bootstrap_interval(df: DataFrame, resamples: int = 200, confidence: float = 0.95, seed: int = 42, most_rows: int = 20_000) -> tuple[float, float] | None:
-    """Percentile interval over resampled rows with their risks fixed; None for under 10 rows, under 5 events, too few valid
-    resamples, or more than most_rows rows, where the sampling error is below the digits shown."""
-    pdf = df.select("time", "event", "risk").limit(most_rows + 1).toPandas()
-    if len(pdf) < 10 or pdf.event.sum() < 5 or len(pdf) > most_rows:
+def resample_weight(row: Column, resample: Column, seed: int) -> Column:
+    """A Poisson draw of mean 1, from the hash of row, resample and seed: how often the row is in the resample."""
+    u = F.shiftrightunsigned(F.xxhash64(row, resample, F.lit(seed)), 11) * F.lit(2.0**-53)
+    below = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(17)])
+    weight = F.lit(0)
+    for p in below.tolist():
+        weight = weight + (u >= p).cast("int")
+    return weight
+
+
+def bootstrap_interval(df: DataFrame, resamples: int = 200, confidence: float = 0.95, seed: int = 42) -> tuple[float, float] | None:
+    """Percentile interval over resampled rows with their risks fixed, at any number of rows; df has _row_id, time, event, risk.
+    None for under 10 rows, under 5 events or too few valid resamples. Each row is drawn by its own Poisson weight, so that
+    no task needs the others."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e")).first()
+    if size.n < 10 or size.e is None or size.e < 5:
         return None
-    pdf = pdf.sort_values(["time", "event", "risk"])
-    t, e, r = pdf.time.to_numpy(float), pdf.event.to_numpy(), pdf.risk.to_numpy(float)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = []
-            for i in b.id:
-                k = np.bincount(np.random.default_rng([seed, int(i)]).integers(0, len(t), len(t)), minlength=len(t))
-                got.append(index_of(pair_counts(t[k > 0], e[k > 0], r[k > 0], k[k > 0])))
-            yield pd.DataFrame({"c": pd.array(got, dtype="Float64")})
-
-    spark = df.sparkSession
-    got = [x.c for x in spark.range(0, resamples, 1, min(resamples, 16)).mapInPandas(run, "c double").collect() if x.c is not None]
+    drawn = df.select("_row_id", "time", "event", "risk", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
+    drawn = drawn.withColumn("times_drawn", resample_weight(F.col("_row_id"), F.col("resample"), seed)).filter("times_drawn > 0")
+    got = [r.c_index for r in pair_table(drawn, ["resample"], "times_drawn", ranges(df)).select("c_index").collect() if r.c_index is not None]
     if len(got) < max(10, 0.3 * resamples):
         return None
     low = (1 - confidence) / 2

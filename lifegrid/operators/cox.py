@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..errors import UserInputError
 from ..functions.levels import ordered_levels
 from ..functions.stats import chi2_upper, fisher_combined, normal_quantile, normal_two_sided, student_two_sided
-from .timegrid import by
+from .timegrid import by, range_cuts, range_number, running
 
 #: Cells of the grid that the driver takes in; times finer than that are to be rounded first.
 MAX_GRID_CELLS = 50_000_000
@@ -143,6 +143,15 @@ def fit(df: DataFrame, names: list[str], strata: list[str] = (), max_iter: int =
         raise UserInputError("a column can't be both a covariate and a stratum")
     if not names:
         raise UserInputError("choose at least one covariate")
+    rows = df.select(*strata, "time", "event", *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).persist()  # every step reads it
+    try:
+        return newton(rows, names, strata, max_iter, tol)
+    finally:
+        rows.unpersist()
+
+
+def newton(df: DataFrame, names: list[str], strata: list[str], max_iter: int, tol: float) -> CoxFit:
+    """The steps of fit, each half as long as long as it overshoots."""
     cols = [F.col(f"`{c}`").cast("double") for c in names]
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)], F.approx_count_distinct(F.struct(*strata, "time")).alias("g")).first()
     if not r.e:
@@ -185,10 +194,10 @@ def baseline_hazard(df: DataFrame, fitted: CoxFit) -> DataFrame:
     w = F.exp(fitted.linear())
     rows = df.select(*strata, "time", "event", w.alias("w"), *[(w * F.col(f"`{c}`")).alias(f"wx{i}") for i, c in enumerate(names)])
     g = rows.groupBy(*strata, "time").agg(F.sum("event").cast("long").alias("d"), F.sum("w").alias("w"), *[F.sum(f"wx{i}").alias(f"wx{i}") for i in range(len(names))])
-    back = by(strata).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumns({"s0": F.sum("w").over(back), **{f"xbar{i}": F.sum(f"wx{i}").over(back) / F.sum("w").over(back) for i in range(len(names))}})
-    upto = by(strata).orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.select(*strata, "time", "d", "s0", *[f"xbar{i}" for i in range(len(names))], (F.col("d") / F.col("s0")).alias("hazard"), F.sum(F.col("d") / F.col("s0")).over(upto).alias("cumulative_hazard"))
+    xs = [f"xbar{i}" for i in range(len(names))]
+    g = running(g, strata, {"s0": F.col("w"), **{x: F.col(f"wx{i}") for i, x in enumerate(xs)}}, back=True)
+    g = g.withColumns({"hazard": F.col("d") / F.col("s0"), **{x: F.col(x) / F.col("s0") for x in xs}})
+    return running(g, strata, {"cumulative_hazard": F.col("hazard")}).select(*strata, "time", "d", "s0", *xs, "hazard", "cumulative_hazard")
 
 
 def martingale_residuals(df: DataFrame, fitted: CoxFit) -> DataFrame:
@@ -211,32 +220,40 @@ def schoenfeld(df: DataFrame, fitted: CoxFit) -> DataFrame:
     return ev.select("_row_id", "time", *scaled)
 
 
-def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Average ranks over the whole table without one task holding it: counts of ranges, then ranks within each range."""
-    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_k")).repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
-    counts = counts.select("_v", "_k", "_p")
-    parts = counts.groupBy("_p").agg(F.sum("_k").alias("_n"))
-    starts = parts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))  # one row a partition
-    upto = Window.partitionBy("_p").orderBy("_v")
-    ranks = counts.join(F.broadcast(starts), "_p").select(F.col("_v").alias(column), (F.col("_s") + F.sum("_k").over(upto) - (F.col("_k") - 1) / 2.0).alias(out))
-    return df.join(ranks, column)
+def average_ranks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, part, v and rank, the average rank of each value v of each key, from counts of its ranges (part) and counts within
+    a range; no task holds more than a range."""
+    counts = df.groupBy(*keys, "part", "v").agg(F.count(F.lit(1)).alias("k"))
+    sizes = counts.groupBy(*keys, "part").agg(F.sum("k").alias("size"))
+    starts = sizes.select(*keys, "part", (F.sum("size").over(by(keys).orderBy("part")) - F.col("size")).alias("start"))
+    within = F.sum("k").over(Window.partitionBy(*keys, "part").orderBy("v"))
+    # at most 2 * MAX_RANGES rows a key
+    return counts.join(F.broadcast(starts), [*keys, "part"]).select(*keys, "part", "v", (F.col("start") + within - (F.col("k") - 1) / 2.0).alias("rank"))
 
 
 def ph_tests(df: DataFrame, fitted: CoxFit) -> dict:
-    """Spearman's correlation of scaled residuals with time for each term (at least 4 events), and Fisher's combination."""
-    res = schoenfeld(df, fitted).cache()
+    """Spearman's correlation of scaled residuals with time for each term (at least 4 events), and Fisher's combination. Times
+    are ranked once, the residuals of all terms together."""
+    terms = range(len(fitted.names))
+    res = schoenfeld(df, fitted).select("time", *[F.round(f"r{i}", 12).alias(f"r{i}") for i in terms]).persist()
+    times, *cuts = range_cuts(res, ["time", *[f"r{i}" for i in terms]])
+    timed = res.withColumns({"v": F.col("time").cast("double"), "part": range_number(F.col("time"), times)})
+    timed = timed.join(average_ranks(timed, []).withColumnRenamed("rank", "rt"), ["part", "v"])
+    parts = timed.select("rt", *[F.struct(F.lit(i).alias("term"), range_number(F.col(f"r{i}"), cuts[i]).alias("part"), F.col(f"r{i}").alias("v")).alias(f"x{i}") for i in terms])
+    long = parts.select("rt", F.explode(F.array(*[f"x{i}" for i in terms])).alias("x")).select("rt", "x.*")
+    both = long.join(average_ranks(long, ["term"]).withColumnRenamed("rank", "rr"), ["term", "part", "v"])
+    found = {r.term: r for r in both.groupBy("term").agg(F.corr("rt", "rr").alias("rho"), F.count(F.lit(1)).alias("n"), F.min("rr").alias("lo"), F.max("rr").alias("hi")).collect()}
+    res.unpersist()
     rows = []
     for i, c in enumerate(fitted.names):
-        r = average_rank(average_rank(res.select("time", F.round(f"r{i}", 12).alias("r")), "time", "rt"), "r", "rr")
-        s = r.agg(F.corr("rt", "rr").alias("rho"), F.count(F.lit(1)).alias("n"), F.min("rr").alias("lo"), F.max("rr").alias("hi")).first()
-        if s.n < 4 or s.rho is None or s.lo == s.hi:
+        s = found.get(i)
+        if s is None or s.n < 4 or s.rho is None or s.lo == s.hi:
             rows.append({"term": c, "rho": None, "p_value": None})
             continue
         rho = max(-1.0, min(1.0, s.rho))
         rows.append({"term": c, "rho": rho, "p_value": 0.0 if abs(rho) == 1 else student_two_sided(rho * math.sqrt((s.n - 2) / (1 - rho * rho)), s.n - 2)})
-    res.unpersist()
-    both = fisher_combined([r["p_value"] for r in rows if r["p_value"] is not None])
-    return {"terms": rows, "global": None if both is None else {"chisq": both[0], "p_value": both[1]}}
+    combined = fisher_combined([r["p_value"] for r in rows if r["p_value"] is not None])
+    return {"terms": rows, "global": None if combined is None else {"chisq": combined[0], "p_value": combined[1]}}
 
 
 def lowess(x: np.ndarray, y: np.ndarray, frac: float | None = None) -> np.ndarray:
@@ -301,6 +318,6 @@ def analyse(df: DataFrame, covariates: list[str], categorical: list[str] = (), s
     ph, table, stats = ph_tests(d, fitted), fitted.table(confidence), fitted.statistics()
     out = {"fit": fitted, "table": table, "statistics": stats, "ph": ph, "stability": stable, "c_index": None, "c_index_interval": None, "narrative": narrative(table, stats, ph, stable)}
     if not strata:
-        risk = d.select("time", "event", fitted.linear().alias("risk"))
+        risk = d.select("_row_id", "time", "event", fitted.linear().alias("risk"))
         out |= {"c_index": c_index(risk), "c_index_interval": bootstrap_interval(risk)}
     return out

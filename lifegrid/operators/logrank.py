@@ -45,7 +45,8 @@ def score_terms(cohort: DataFrame, group: str, kind: str = "logrank", fh_p: floa
     g = grid(cohort, [*keys, group])
     times = pooled(cohort, pair).filter(F.col("td") > 0)
     labels = g.select(*keys, group).distinct()
-    slots = labels.join(F.broadcast(times), keys) if keys else labels.crossJoin(F.broadcast(times))  # groups x distinct event times
+    # the few groups go to the times, whose number has no bound
+    slots = times.join(F.broadcast(labels), keys) if keys else times.crossJoin(F.broadcast(labels))
     full = slots.join(g, [*keys, group, "time"], "full")
     back = by([*keys, group]).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = full.withColumn("n", F.sum(F.coalesce("c", F.lit(0))).over(back)).filter(F.col("td").isNotNull())
@@ -58,10 +59,13 @@ def logrank(cohort: DataFrame, group: str, kind: str = "logrank", fh_p: float =
     share = F.col("n") / F.col("tn")
     spread = F.when(F.col("tn") > 1, F.col("w") ** 2 * F.col("td") * (F.col("tn") - F.col("td")) / (F.col("tn") - 1)).otherwise(0.0)
     one = terms.select(F.col(group).alias("a"), "time", "w", share.alias("pa"), spread.alias("v"), (F.col("w") * (F.col("d") - F.col("td") * share)).alias("u"))
-    u = {r.a: r.u for r in one.groupBy("a").agg(F.sum("u").alias("u")).collect()}
-    two = one.join(one.select(F.col("a").alias("b"), "time", F.col("pa").alias("pb")), "time")
-    cov = two.groupBy("a", "b").agg(F.sum(F.col("v") * F.col("pa") * (F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0) - F.col("pb"))).alias("v"))
-    v = {(r.a, r.b): r.v for r in cov.collect()}
+    # one row a time with its groups, which are few; so the terms are computed once for the vector and its covariance
+    each = one.groupBy("time").agg(F.first("v").alias("v"), F.collect_list(F.struct("a", "pa", "u")).alias("x"))
+    two = each.select("v", "x", F.explode("x").alias("l")).select("v", "l", F.explode("x").alias("r"))
+    same = F.col("l.a") == F.col("r.a")
+    share_of_both = F.col("v") * F.col("l.pa") * (F.when(same, 1.0).otherwise(0.0) - F.col("r.pa"))
+    sums = two.groupBy(F.col("l.a").alias("a"), F.col("r.a").alias("b")).agg(F.sum(share_of_both).alias("v"), F.sum(F.when(same, F.col("l.u"))).alias("u")).collect()
+    u, v = {r.a: r.u for r in sums if r.a == r.b}, {(r.a, r.b): r.v for r in sums}
     return {"test": kind, **chi_square(u, v)}
 
 

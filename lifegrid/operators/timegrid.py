@@ -6,10 +6,38 @@ sums are windows over that grid, partitioned by group, never over raw rows.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows that a range of values is made for, and the most ranges of a column.
+RANGE_ROWS = 50_000
+MAX_RANGES = 1_000
+
+
+def range_cuts(df: DataFrame, columns: list[str]) -> list[list[float]]:
+    """Quantiles of each column that cut df into ranges of about RANGE_ROWS rows; they only spread work, no result depends on them."""
+    shares = F.array(*[F.lit(i / MAX_RANGES) for i in range(1, MAX_RANGES)])
+    got = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, shares, F.lit(10_000)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    parts = min(MAX_RANGES, math.ceil(got.n / RANGE_ROWS))
+    picks = [i * MAX_RANGES // parts - 1 for i in range(1, parts)] if parts else []
+    return [sorted({float(got[f"q{i}"][k]) for k in picks}) if got[f"q{i}"] else [] for i in range(len(columns))]
+
+
+def range_number(value: Column, cuts: list[float]) -> Column:
+    """Twice the cuts below the value, one more at a cut itself: a value that many rows share is a range of its own."""
+    edges = np.array(cuts)
+
+    @F.pandas_udf("int")
+    def number(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, x, "left") + np.searchsorted(edges, x, "right")).astype("int32")
+
+    return number(value.cast("double")) if cuts else F.lit(0)
+
 
 def grid(cohort: DataFrame, groups: list[str], time: str = "time", event: str = "event") -> DataFrame:
     """groups, time, d (events) and c (rows); the partial aggregation runs before the shuffle."""
@@ -20,24 +48,62 @@ def by(groups: list[str]):
     return Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
 
 
+#: Ranges of times in each doubling.
+OCTAVE_RANGES = 1_024
+
+
+def time_range(t: Column) -> Column:
+    """A number that never falls as t grows: ranges of equal width within each doubling, all times up to 0 in one. It needs no
+    look at the data, so it is the same in every evaluation."""
+    power = F.floor(F.log2(t))
+    return F.when(t > 0, F.floor(OCTAVE_RANGES * (power + t / F.pow(F.lit(2.0), power)))).otherwise(F.lit(-(2**40)))
+
+
+def running(g: DataFrame, groups: list[str], sums: dict[str, Column], least: dict[str, Column] | None = None, back: bool = False) -> DataFrame:
+    """Adds running sums and minima along time, or from the last time back, this row included.
+
+    A grid without groups would go through one task: there, ranges of times are summed first, and each range starts from
+    the sums of those before it.
+    """
+    least = least or {}
+    way = F.desc if back else F.asc
+    if groups:
+        upto = by(groups).orderBy(way("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return g.withColumns({**{k: F.sum(c).over(upto) for k, c in sums.items()}, **{k: F.min(c).over(upto) for k, c in least.items()}})
+    x = g.withColumn("_range", time_range(F.col("time").cast("double")))
+    whole = x.groupBy("_range").agg(*[F.sum(c).alias(k) for k, c in sums.items()], *[F.min(c).alias(k) for k, c in least.items()])
+    before = Window.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = whole.select("_range", *[F.sum(k).over(before).alias(f"_from_{k}") for k in sums], *[F.min(k).over(before).alias(f"_from_{k}") for k in least])
+    upto = Window.partitionBy("_range").orderBy(way("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.join(starts, "_range").withColumns({
+        **{k: F.coalesce(F.col(f"_from_{k}"), F.lit(0)) + F.sum(c).over(upto) for k, c in sums.items()},
+        **{k: F.least(F.col(f"_from_{k}"), F.min(c).over(upto)) for k, c in least.items()},
+    })
+    return x.drop("_range", *[f"_from_{k}" for k in (*sums, *least)])
+
+
 def at_risk(g: DataFrame, groups: list[str]) -> DataFrame:
     """Adds n, the rows with time >= this time."""
-    back = by(groups).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.withColumn("n", F.sum("c").over(back))
+    return running(g, groups, {"n": F.col("c")}, back=True)
+
 
+def survival(g: DataFrame, groups: list[str]) -> DataFrame:
+    """Adds n, surv (after the time), surv_before, and gw, Greenwood's running sum (null once a risk set is exhausted).
 
-def product_limit(n: Column, d: Column, window) -> Column:
-    """prod(1 - d / n) up to the current row: zero from the first exhausted risk set on."""
-    logs = F.sum(F.when(d < n, F.log1p(-d / n)).otherwise(0.0)).over(window)
-    return F.when(F.min(n - d).over(window) <= 0, 0.0).otherwise(F.exp(logs))
+    surv is the product of 1 - d / n, zero from the first exhausted risk set on.
+    """
+    n, d = F.col("n"), F.col("d")
+    log = F.when(d < n, F.log1p(-d / n)).otherwise(0.0)
+    term = F.coalesce(F.when(n > d, d / (n.cast("double") * (n - d))), F.lit(0.0))
+    left = F.when(d > 0, n - d)
+    s = running(at_risk(g, groups), groups, {"_log": log, "_gw": term}, {"_left": left})
+    gone, now = F.coalesce(F.col("_left") <= 0, F.lit(False)), F.coalesce(left <= 0, F.lit(False))
+    s = s.withColumns({"surv": F.when(gone, 0.0).otherwise(F.exp("_log")), "surv_before": F.when(gone & ~now, 0.0).otherwise(F.exp(F.col("_log") - log)), "gw": F.when(~gone, F.col("_gw"))})
+    return s.drop("_log", "_gw", "_left")
 
 
-def survival(g: DataFrame, groups: list[str]) -> DataFrame:
-    """Adds n, surv (after the time), surv_before, and gw, Greenwood's running sum (null once a risk set is exhausted)."""
-    upto = by(groups).orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = at_risk(g, groups)
-    term = F.when(F.col("n") > F.col("d"), F.col("d") / (F.col("n").cast("double") * (F.col("n") - F.col("d"))))
-    s = s.withColumns({"surv": product_limit(F.col("n"), F.col("d"), upto), "_gw": F.sum(F.coalesce(term, F.lit(0.0))).over(upto)})
-    gone = F.col("surv") == 0
-    s = s.withColumn("gw", F.when(~gone, F.col("_gw"))).drop("_gw")
-    return s.withColumn("surv_before", F.lag("surv", 1, 1.0).over(by(groups).orderBy("time")))
+def survival_at(cohort: DataFrame, times: DataFrame) -> DataFrame:
+    """time and surv, the cohort's curve at its own times and at those of the table times, which needn't be its own."""
+    slots = times.select(F.col("time").cast("double").alias("time"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("c"))
+    own = grid(cohort, []).withColumn("time", F.col("time").cast("double"))
+    return survival(own.unionByName(slots).groupBy("time").agg(F.sum("d").alias("d"), F.sum("c").alias("c")), []).select("time", "surv")

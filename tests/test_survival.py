@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lifegrid.errors import NotFoundError, UserInputError
 from lifegrid.functions import levels, outcomes, stats
-from lifegrid.operators import cohort, concordance, cox, cutpoint, encode, grouping, km, local, logrank, profile, signature, split, table_one
+from lifegrid.operators import cohort, concordance, cox, cutpoint, encode, grouping, km, local, logrank, profile, signature, split, table_one, timegrid
 from lifegrid.operators.learners import deep, models
 from lifegrid.sources import exports, readers, store, synthetic
 
@@ -155,6 +155,67 @@ def test_concordance(spark):
     assert low < naive_c(t, e, r) < high
 
 
+def test_concordance_by_ranges(spark, monkeypatch):
+    """Many small ranges, with a time and a risk that a third of the rows share, count the same pairs; so do weights and keys."""
+    monkeypatch.setattr(timegrid, "RANGE_ROWS", 20)
+    rng = np.random.default_rng(5)
+    n = 300
+    t, e, r = rng.exponential(9, n).round(1) + 1, rng.integers(0, 2, n), rng.normal(size=n).round(1)
+    t[::3], r[1::3] = 7.0, 0.5
+    df = rows(spark, t, e, risk=r.tolist(), side=[str(i % 2) for i in range(n)])
+    cuts = concordance.ranges(df)
+    assert len(cuts[0]) > 3 and 7.0 in cuts[0] and 0.5 in cuts[1]
+    assert concordance.c_index(df) == pytest.approx(naive_c(t, e, r), abs=1e-12)
+    got = {x.side: x.c_index for x in concordance.pair_table(df, ["side"], cuts=cuts).collect()}
+    assert got == {str(k): pytest.approx(naive_c(t[k::2], e[k::2], r[k::2]), abs=1e-12) for k in (0, 1)}
+    twice = concordance.pair_table(df.withColumn("k", F.lit(2)), weight="k").first()
+    assert twice.c_index == pytest.approx(naive_c(t, e, r), abs=1e-12) and twice.comparable == 4 * concordance.pair_table(df).first().comparable
+    empty = df.filter("time < 0")
+    assert concordance.c_index(empty) is None and concordance.bootstrap_interval(empty, 10) is None
+
+
+def test_bootstrap_weights_are_poisson(spark):
+    w = spark.range(20_000).select(concordance.resample_weight(F.col("id"), F.lit(1), 42).alias("w")).toPandas().w
+    assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06 and abs((w == 0).mean() - np.exp(-1)) < 0.015
+
+
+def test_running_sums_without_groups_equal_grouped_ones(spark):
+    rng = np.random.default_rng(6)
+    t, e = np.concatenate([rng.exponential(900, 400), [1, 2, 4, 8, 8 - 1e-12, 1024.0, 1e-9]]), rng.integers(0, 2, 407)
+    e[np.argmax(t)] = 1  # the last risk set is exhausted
+    df = rows(spark, t, e, g=["x"] * 407)
+    order = ["n", "d", "surv", "surv_before", "gw"]
+    one = timegrid.survival(timegrid.grid(df, []), [])
+    a = one.orderBy("time").toPandas()
+    b = timegrid.survival(timegrid.grid(df, ["g"]), ["g"]).orderBy("time").toPandas()
+    np.testing.assert_allclose(a[order].to_numpy(float), b[order].to_numpy(float), rtol=1e-9)
+    assert a.surv.iloc[-1] == 0 and np.isnan(a.gw.iloc[-1])
+    # every window over the grid has a range to be partitioned by; the others run over one row a range
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    own = [line for line in plan.splitlines() if "Window [" in line and "_from_" not in line]
+    assert own and all("_range" in line for line in own)
+    later = timegrid.survival_at(df, spark.createDataFrame([(0.0,), (5.0,), (1e6,)], "time double")).toPandas().set_index("time").surv
+    times, s = local.survival_curve(t, e)
+    assert later[0.0] == 1 and later[1e6] == 0 and later[5.0] == pytest.approx(s[np.searchsorted(times, 5.0, side="right") - 1])
+
+
+def test_time_range_never_falls(spark):
+    t = np.sort(np.concatenate([np.geomspace(1e-6, 1e9, 5_000), *[[2.0**k, np.nextafter(2.0**k, 0), np.nextafter(2.0**k, 1e300)] for k in range(-20, 30)]]))
+    got = spark.createDataFrame([(float(x),) for x in t], "t double").select("t", timegrid.time_range(F.col("t")).alias("r")).toPandas().sort_values("t").r.to_numpy()
+    assert (np.diff(got) >= 0).all()
+
+
+def test_average_ranks_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(timegrid, "RANGE_ROWS", 15)
+    v = np.random.default_rng(7).integers(0, 40, 200).astype(float)
+    v[::3] = 11.0
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    (cuts,) = timegrid.range_cuts(df, ["v"])
+    assert len(cuts) > 3
+    got = cox.average_ranks(df.withColumn("part", timegrid.range_number(F.col("v"), cuts)), []).toPandas().set_index("v")["rank"].to_dict()
+    assert got == {x: stats.average_ranks(v.tolist())[v.tolist().index(x)] for x in set(v.tolist())}
+
+
 def test_cox_matches_local_newton(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 2))
