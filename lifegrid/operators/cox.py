@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..errors import UserInputError
 from ..functions.levels import ordered_levels
 from ..functions.stats import chi2_upper, fisher_combined, normal_quantile, normal_two_sided, student_two_sided
-from .timegrid import by, range_cuts, range_number, running
+from .timegrid import by, kept, range_cuts, range_number, running
 
 #: Cells of the grid that the driver takes in; times finer than that are to be rounded first.
 MAX_GRID_CELLS = 50_000_000
@@ -195,7 +195,7 @@ def baseline_hazard(df: DataFrame, fitted: CoxFit) -> DataFrame:
     rows = df.select(*strata, "time", "event", w.alias("w"), *[(w * F.col(f"`{c}`")).alias(f"wx{i}") for i, c in enumerate(names)])
     g = rows.groupBy(*strata, "time").agg(F.sum("event").cast("long").alias("d"), F.sum("w").alias("w"), *[F.sum(f"wx{i}").alias(f"wx{i}") for i in range(len(names))])
     xs = [f"xbar{i}" for i in range(len(names))]
-    g = running(g, strata, {"s0": F.col("w"), **{x: F.col(f"wx{i}") for i, x in enumerate(xs)}}, back=True)
+    g = running(kept(g, strata), strata, {"s0": F.col("w"), **{x: F.col(f"wx{i}") for i, x in enumerate(xs)}}, back=True)
     g = g.withColumns({"hazard": F.col("d") / F.col("s0"), **{x: F.col(x) / F.col("s0") for x in xs}})
     return running(g, strata, {"cumulative_hazard": F.col("hazard")}).select(*strata, "time", "d", "s0", *xs, "hazard", "cumulative_hazard")
 
@@ -236,7 +236,7 @@ def ph_tests(df: DataFrame, fitted: CoxFit) -> dict:
     are ranked once, the residuals of all terms together."""
     terms = range(len(fitted.names))
     res = schoenfeld(df, fitted).select("time", *[F.round(f"r{i}", 12).alias(f"r{i}") for i in terms]).persist()
-    times, *cuts = range_cuts(res, ["time", *[f"r{i}" for i in terms]])
+    times, *cuts = range_cuts(res, ["time", *[f"r{i}" for i in terms]], fitted.events)
     timed = res.withColumns({"v": F.col("time").cast("double"), "part": range_number(F.col("time"), times)})
     timed = timed.join(average_ranks(timed, []).withColumnRenamed("rank", "rt"), ["part", "v"])
     parts = timed.select("rt", *[F.struct(F.lit(i).alias("term"), range_number(F.col(f"r{i}"), cuts[i]).alias("part"), F.col(f"r{i}").alias("v")).alias(f"x{i}") for i in terms])

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,24 +17,30 @@ RANGE_ROWS = 50_000
 MAX_RANGES = 1_000
 
 
-def range_cuts(df: DataFrame, columns: list[str]) -> list[list[float]]:
-    """Quantiles of each column that cut df into ranges of about RANGE_ROWS rows; they only spread work, no result depends on them."""
-    shares = F.array(*[F.lit(i / MAX_RANGES) for i in range(1, MAX_RANGES)])
-    got = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, shares, F.lit(10_000)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    parts = min(MAX_RANGES, math.ceil(got.n / RANGE_ROWS))
-    picks = [i * MAX_RANGES // parts - 1 for i in range(1, parts)] if parts else []
-    return [sorted({float(got[f"q{i}"][k]) for k in picks}) if got[f"q{i}"] else [] for i in range(len(columns))]
+def range_cuts(df: DataFrame, columns: list[str], rows: int | None = None) -> list[list[float]]:
+    """Quantiles of each column that cut df, of about so many rows, into ranges of about RANGE_ROWS rows; they only spread work,
+    no result depends on them."""
+    rows = df.count() if rows is None else rows
+    parts = min(MAX_RANGES, math.ceil(rows / RANGE_ROWS))
+    if parts < 2:
+        return [[] for _ in columns]
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    got = df.agg(*[F.percentile_approx(c, shares, F.lit(10_000)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return [sorted({float(x) for x in got[f"q{i}"] or []}) for i in range(len(columns))]
 
 
 def range_number(value: Column, cuts: list[float]) -> Column:
-    """Twice the cuts below the value, one more at a cut itself: a value that many rows share is a range of its own."""
-    edges = np.array(cuts)
+    """Twice the cuts below the value, one more at a cut itself: a value that many rows share is a range of its own. A
+    balanced tree of comparisons."""
+    v = value.cast("double")
 
-    @F.pandas_udf("int")
-    def number(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, x, "left") + np.searchsorted(edges, x, "right")).astype("int32")
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(2 * low)
+        middle = (low + high) // 2
+        return F.when(v < cuts[middle], among(low, middle)).when(v == cuts[middle], 2 * middle + 1).otherwise(among(middle + 1, high))
 
-    return number(value.cast("double")) if cuts else F.lit(0)
+    return among(0, len(cuts))
 
 
 def grid(cohort: DataFrame, groups: list[str], time: str = "time", event: str = "event") -> DataFrame:
@@ -82,9 +86,15 @@ def running(g: DataFrame, groups: list[str], sums: dict[str, Column], least: dic
     return x.drop("_range", *[f"_from_{k}" for k in (*sums, *least)])
 
 
+def kept(g: DataFrame, groups: list[str]) -> DataFrame:
+    """A grid without groups is read several times by running(), so it stays in storage, a row per distinct time, until the
+    session clears its cache; the cohort is read once."""
+    return g if groups else g.persist()
+
+
 def at_risk(g: DataFrame, groups: list[str]) -> DataFrame:
     """Adds n, the rows with time >= this time."""
-    return running(g, groups, {"n": F.col("c")}, back=True)
+    return running(kept(g, groups), groups, {"n": F.col("c")}, back=True)
 
 
 def survival(g: DataFrame, groups: list[str]) -> DataFrame:
