@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .linededup import OP10_SQL, op10_line_dedup
+from .merkle import OP13_SQL, op13_merkle
 from .mixing import OP8_SQL, op8_mixing
 from .neardup import op3_prob_minhash
 from .neighbours import op6_neighbours
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle": op13_merkle,
 }
 SQL = {
     "op8_mixing": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op13_merkle": OP13_SQL,
 }
