@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
+from .chat import OP12_SQL, op12_chat
 from .linededup import OP10_SQL, op10_line_dedup
 from .merkle import OP13_SQL, op13_merkle
 from .mixing import OP8_SQL, op8_mixing
@@ -25,10 +27,13 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_alignment": op11_alignment,
+    "op12_chat": op12_chat,
     "op13_merkle": op13_merkle,
 }
 SQL = {
     "op8_mixing": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_chat": OP12_SQL,
     "op13_merkle": OP13_SQL,
 }
