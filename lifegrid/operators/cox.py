@@ -1,7 +1,6 @@
 """Cox proportional hazards with Efron ties by a distributed Newton method.
 
-Each iteration is one aggregation to (stratum, time): sums of w, w x and w x x' over all rows and over event rows, with
-w = exp(x b). Only that grid reaches the driver, which takes the sums from behind and the Efron steps.
+The rows are sorted over partitions once; each step adds up the partitions' shares of score and information (see ``likelihood``).
 """
 
 from __future__ import annotations
@@ -17,10 +16,9 @@ from pyspark.sql.window import Window
 from ..errors import UserInputError
 from ..functions.levels import ordered_levels
 from ..functions.stats import chi2_upper, fisher_combined, normal_quantile, normal_two_sided, student_two_sided
+from .likelihood import Sorted
 from .timegrid import by, kept, range_cuts, range_number, running
 
-#: Cells of the grid that the driver takes in; times finer than that are to be rounded first.
-MAX_GRID_CELLS = 50_000_000
 STAGE_COLUMNS = {"stage", "stage_group", "pathologic_stage"}
 
 
@@ -89,98 +87,61 @@ def check_covariates(covariates: list[str]) -> None:
         raise UserInputError("These covariates overlap: " + ", ".join(stages))
 
 
-def moments(df: DataFrame, names: list[str], strata: list[str], beta: np.ndarray, center: np.ndarray, scale: np.ndarray) -> DataFrame:
-    """Per (strata, time): d, and s0, s1, s2 over all rows (a) and event rows (e), of standardised covariates."""
-    x = [(F.col(f"`{c}`").cast("double") - float(m)) / float(s) for c, m, s in zip(names, center, scale, strict=True)]
-    eta = F.lit(0.0)
-    for c, b in zip(x, beta, strict=True):
-        eta = eta + c * float(b)
-    rows = df.select(*strata, "time", "event", *[c.alias(f"x{i}") for i, c in enumerate(x)], F.exp(eta).alias("w"), eta.alias("eta"))
-    xs, w, e = [F.col(f"x{i}") for i in range(len(names))], F.col("w"), F.col("event") == 1
-    aggs = [F.sum("event").cast("long").alias("d"), F.sum(F.when(e, F.col("eta")).otherwise(0.0)).alias("eta")]
-    aggs += [F.sum(F.when(e, c).otherwise(0.0)).alias(f"ex{i}") for i, c in enumerate(xs)]
-    terms = [w, *[w * c for c in xs], *[w * xs[i] * xs[j] for i in range(len(xs)) for j in range(i + 1)]]
-    for k, t in enumerate(terms):
-        aggs += [F.sum(t).alias(f"a{k}"), F.sum(F.when(e, t).otherwise(0.0)).alias(f"e{k}")]
-    return rows.groupBy(*strata, "time").agg(*aggs)
-
-
-def efron(grid: dict[str, np.ndarray], ids: np.ndarray, p: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, score and information from the grid; ids number the strata."""
-    k = 1 + p + p * (p + 1) // 2
-    order = np.lexsort((-grid["time"], ids))
-    a = np.stack([grid[f"a{i}"] for i in range(k)], axis=1)[order]
-    e = np.stack([grid[f"e{i}"] for i in range(k)], axis=1)[order]
-    d, s = grid["d"][order].astype(int), ids[order]
-    risk = np.cumsum(a, axis=0)
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    before = np.concatenate([np.zeros((1, k)), risk])[first]
-    risk = risk - np.repeat(before, np.diff(np.concatenate([first, [len(s)]])), axis=0)
-    keep = d > 0
-    risk, e, d = risk[keep], e[keep], d[keep]
-    loglik = float(grid["eta"].sum())
-    score = np.array([grid[f"ex{i}"].sum() for i in range(p)])
-    info = np.zeros((p, p))
-    lower = np.tril_indices(p)
-    for step in range(int(d.max()) if len(d) else 0):
-        m = d > step
-        phi = risk[m] - (step / d[m])[:, None] * e[m]
-        s0, s1, s2 = phi[:, 0], phi[:, 1 : p + 1], phi[:, p + 1 :]
-        loglik -= float(np.log(s0).sum())
-        mean = s1 / s0[:, None]
-        score -= mean.sum(axis=0)
-        full = np.zeros((p, p))
-        full[lower] = (s2 / s0[:, None]).sum(axis=0)
-        full = full + np.tril(full, -1).T
-        info += full - mean.T @ mean
-    return loglik, score, info
-
-
-def fit(df: DataFrame, names: list[str], strata: list[str] = (), max_iter: int = 30, tol: float = 1e-9) -> CoxFit:
-    """Fits numeric columns; df has time, event and the strata. Constant columns and a singular information are refused."""
+def evaluate(df: DataFrame, names: list[str], beta: np.ndarray, strata: list[str] = (), cells: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood, score and information of Efron's partial likelihood at beta, on the covariates' own scale."""
+    rows = Sorted(df, [F.col(f"`{c}`") for c in names], list(strata), df.count(), cells)
+    try:
+        return rows.evaluate(np.asarray(beta, float))
+    finally:
+        rows.release()
+
+
+def fit(df: DataFrame, names: list[str], strata: list[str] = (), max_iter: int = 30, tol: float = 1e-9, cells: int | None = None) -> CoxFit:
+    """Fits numeric columns; df has time, event and the strata. Constant columns and a singular information are refused.
+
+    Any number of distinct times will do: no grid of times is made (see ``likelihood``). cells bounds the numbers that a task holds.
+    """
     strata = list(strata)
     if set(strata) & set(names):
         raise UserInputError("a column can't be both a covariate and a stratum")
     if not names:
         raise UserInputError("choose at least one covariate")
-    rows = df.select(*strata, "time", "event", *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).persist()  # every step reads it
-    try:
-        return newton(rows, names, strata, max_iter, tol)
-    finally:
-        rows.unpersist()
-
-
-def newton(df: DataFrame, names: list[str], strata: list[str], max_iter: int, tol: float) -> CoxFit:
-    """The steps of fit, each half as long as long as it overshoots."""
-    cols = [F.col(f"`{c}`").cast("double") for c in names]
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)], F.approx_count_distinct(F.struct(*strata, "time")).alias("g")).first()
+    cols, p = [F.col(f"`{c}`").cast("double") for c in names], len(names)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     if not r.e:
         raise UserInputError("The cohort has no events.")
     flat = [c for i, c in enumerate(names) if not r[f"s{i}"]]
     if flat:
         raise UserInputError("These covariates are constant: " + ", ".join(flat))
-    p = len(names)
-    if r.g * p * (p + 3) > MAX_GRID_CELLS:
-        raise UserInputError("The times are too fine for this many covariates; round them first.")
     center, scale = np.array([r[f"m{i}"] for i in range(p)]), np.array([r[f"s{i}"] for i in range(p)])
-    beta, last, null = np.zeros(p), -math.inf, 0.0
-    step = np.zeros(p)
+    rows = Sorted(df, [(c - float(m)) / float(s) for c, m, s in zip(cols, center, scale, strict=True)], strata, int(r.n), cells)
+    try:
+        beta, info, loglik, null, steps = newton(rows, max_iter, tol)
+    finally:
+        rows.release()
+    return CoxFit(list(names), strata, beta / scale, np.linalg.inv(info) / np.outer(scale, scale), loglik, null, steps, int(r.n), int(r.e), center)
+
+
+def newton(rows: Sorted, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray, float, float, int]:
+    """The steps of fit, each half as long as long as it overshoots: beta, information, log likelihood, that of beta 0, steps.
+
+    Once the likelihood is flat, one more step takes beta to full precision, as steps converge with the square.
+    """
+    beta, step, last, null, flat = np.zeros(rows.p), np.zeros(rows.p), -math.inf, 0.0, False
     for it in range(1, max_iter + 1):
-        t = moments(df, names, strata, beta, center, scale).toPandas()
-        ids = t.groupby(strata, dropna=False).ngroup().to_numpy() if strata else np.zeros(len(t), int)
-        loglik, score, info = efron({c: t[c].to_numpy(dtype=float) for c in t.columns if c not in strata}, ids, p)
+        loglik, score, info = rows.evaluate(beta)
         if it == 1:
             null = loglik
         if not math.isfinite(loglik) or loglik < last - 1e-9 * abs(last):  # overshot: half the step
             step = step / 2
             beta = beta - step
             continue
-        if np.linalg.cond(info) > 1e12:
+        if not np.isfinite(info).all() or np.linalg.cond(info) > 1e12:
             raise UserInputError("The model can't be estimated: covariates are collinear or separate the events.")
-        if abs(loglik - last) <= tol * (1 + abs(loglik)) and it > 1:
-            cov = np.linalg.inv(info) / np.outer(scale, scale)
-            return CoxFit(list(names), strata, beta / scale, cov, loglik, null, it, int(r.n), int(r.e), center)
+        was, flat = flat, it > 1 and abs(loglik - last) <= tol * (1 + abs(loglik))
         last, step = loglik, np.linalg.solve(info, score)
+        if flat and (was or score @ step < 1e-18):
+            return beta, info, loglik, null, it
         beta = beta + step
         if np.abs(beta).max() > 50:
             raise UserInputError("The model did not converge: a covariate separates the events.")
@@ -308,9 +269,10 @@ def narrative(table: list[dict], stats: dict, ph: dict, stable: dict) -> dict:
     return {"status": status, "strengths": [f"{r['term']}: hazard ratio {r['hazard_ratio']:.3g}, p = {r['p_value']:.3g}" for r in strong if r["hazard_ratio"] is not None], "cautions": cautions}
 
 
-def analyse(df: DataFrame, covariates: list[str], categorical: list[str] = (), strata: list[str] = (), confidence: float = 0.95) -> dict:
-    """The whole Cox request: ratios, statistics, proportional-hazards tests, stability, concordance (unstratified only)."""
-    from .concordance import bootstrap_interval, c_index
+def analyse(df: DataFrame, covariates: list[str], categorical: list[str] = (), strata: list[str] = (), confidence: float = 0.95, resamples: int = 0) -> dict:
+    """The whole Cox request: ratios, statistics, proportional-hazards tests, stability, concordance (unstratified only) with
+    its interval by influence, or by so many resamples if asked."""
+    from .concordance import bootstrap_interval, c_index, jackknife_interval
 
     d, names = design(df, covariates, categorical)
     stable = stability(d, names, list(strata))
@@ -319,5 +281,5 @@ def analyse(df: DataFrame, covariates: list[str], categorical: list[str] = (), s
     out = {"fit": fitted, "table": table, "statistics": stats, "ph": ph, "stability": stable, "c_index": None, "c_index_interval": None, "narrative": narrative(table, stats, ph, stable)}
     if not strata:
         risk = d.select("_row_id", "time", "event", fitted.linear().alias("risk"))
-        out |= {"c_index": c_index(risk), "c_index_interval": bootstrap_interval(risk)}
+        out |= {"c_index": c_index(risk), "c_index_interval": bootstrap_interval(risk, resamples, confidence) if resamples else jackknife_interval(risk, confidence)}
     return out

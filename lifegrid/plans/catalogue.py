@@ -294,6 +294,7 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 import numpy as np  # noqa: E402
 
 from ..operators import brier, concordance, cox, cutpoint  # noqa: E402
+from .newton_sql import cox_sql  # noqa: E402
 
 BETA = 2e-6
 
@@ -312,8 +313,8 @@ SELECT round(loglik, 4) AS loglik, round(score, 4) AS score, round(info, 4) AS i
 def cox_score_test_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = order_gap(spark, sf_dir)
     m = gap.agg(F.avg("o_totalprice").alias("a"), F.stddev_pop("o_totalprice").alias("s")).first()
-    g = cox.moments(gap, ["o_totalprice"], [], np.zeros(1), np.array([m.a]), np.array([m.s])).toPandas()
-    loglik, score, info = cox.efron({c: g[c].to_numpy(float) for c in g.columns}, np.zeros(len(g), int), 1)
+    scaled = gap.withColumn("x", (F.col("o_totalprice") - m.a) / m.s)
+    loglik, score, info = cox.evaluate(scaled, ["x"], np.zeros(1))
     return rounded(spark.createDataFrame([(loglik, float(score[0]), float(info[0, 0]), float(score[0] ** 2 / info[0, 0]))], "loglik double, score double, info double, chisq double"), 4)
 
 
@@ -337,7 +338,10 @@ def martingale_residuals_fixed_beta(spark: SparkSession, sf_dir: str) -> DataFra
     return rounded(cox.martingale_residuals(order_gap(spark, sf_dir), _fixed()).select("_row_id", "residual"))
 
 
-@query("cox_fit_priority")
+LEVELS = ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("cox_fit_priority", cox_sql(ORDER_GAP.strip(), "gap", {**{f"o_orderpriority[{v}]": f"o_orderpriority = '{v}'" for v in LEVELS}, "o_totalprice": "o_totalprice", "c_acctbal": "c_acctbal"}))
 def cox_fit_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, names = cox.design(order_gap(spark, sf_dir), ["o_orderpriority", "o_totalprice", "c_acctbal"])
     rows = cox.fit(d, names).table()
@@ -351,6 +355,22 @@ def cox_ph_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([(x["term"], x["rho"], x["p_value"]) for x in r["terms"]], "term string, rho double, p_value double"))
 
 
+@query(
+    "concordance_standard_error",
+    f"""WITH {ORDER_GAP}, p AS (SELECT a._row_id AS i, b._row_id AS j, CASE WHEN a.o_totalprice > b.o_totalprice THEN 1.0 WHEN a.o_totalprice = b.o_totalprice THEN 0.5 ELSE 0 END AS s FROM gap a JOIN gap b ON b.time > a.time WHERE a.event = 1),
+r AS (SELECT sum(n) AS n, sum(c) AS c FROM (SELECT i, sum(s) AS n, count(*) AS c FROM p GROUP BY i UNION ALL SELECT j, sum(s), count(*) FROM p GROUP BY j) GROUP BY i),
+t AS (SELECT sum(n) / sum(c) AS c_index, sum(c) / 2 AS pairs FROM r),
+e AS (SELECT any_value(c_index) AS c_index, sqrt(sum((n - c_index * c) ** 2)) / any_value(pairs) AS se FROM r, t)
+SELECT round(c_index, 6) AS c_index, round(se, 8) AS std_error, round(greatest(0, c_index - {Z} * se), 6) AS ci_lower, round(least(1, c_index + {Z} * se), 6) AS ci_upper FROM e""",
+)
+def concordance_standard_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    risk = order_gap(spark, sf_dir).select("_row_id", "time", "event", F.col("o_totalprice").alias("risk"))
+    got = concordance.influence(risk)
+    half = float(Z) * got["std_error"]
+    row = (round(got["c_index"], 6), round(got["std_error"], 8), round(max(0.0, got["c_index"] - half), 6), round(min(1.0, got["c_index"] + half), 6))
+    return spark.createDataFrame([row], "c_index double, std_error double, ci_lower double, ci_upper double")
+
+
 @query(
     "concordance_totalprice",
     f"""WITH {ORDER_GAP}, p AS (SELECT CAST(sum(CASE WHEN a.o_totalprice > b.o_totalprice THEN 1 ELSE 0 END) AS BIGINT) AS concordant,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lifegrid.errors import NotFoundError, UserInputError
 from lifegrid.functions import levels, outcomes, stats
-from lifegrid.operators import cohort, concordance, cox, cutpoint, encode, grouping, km, local, logrank, profile, signature, split, table_one, timegrid
+from lifegrid.operators import cohort, concordance, cox, cutpoint, encode, grouping, km, likelihood, local, logrank, profile, signature, split, table_one, timegrid
 from lifegrid.operators.learners import deep, models
 from lifegrid.sources import exports, readers, store, synthetic
 
@@ -380,3 +380,94 @@ def test_many_levels_and_groups(spark):
     assert len(pairs) == 60 * 59 // 2 and len(known) == len(pairs) - 40 * 39 // 2 and all(0 <= p["p_value"] <= p["p_adjusted"] <= 1 for p in known)
     with pytest.raises(UserInputError):
         logrank.pairwise(df, "site")
+
+
+def tied(spark, n=600, seed=8):
+    """Rows with many ties, one time that a third shares, fine times and a hot stratum."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 2)).round(2)
+    t = np.where(rng.random(n) < 0.5, rng.integers(1, 9, n), rng.exponential(5, n) + 0.1)
+    t[::3] = 4.0
+    e = rng.integers(0, 2, n)
+    g = np.array([["hot", "hot", "hot", "b", None, "c"][i % 6] if i > 9 else f"single{i}" for i in range(n)], dtype=object)
+    df = spark.createDataFrame([(i, float(a), int(b), float(c), float(d), h) for i, (a, b, (c, d), h) in enumerate(zip(t, e, x, g, strict=True))], "_row_id long, time double, event int, a double, b double, g string")
+    return df.repartition(3), t, e, x, g
+
+
+def naive_efron(t, e, x, g, beta):
+    loglik, score, info = 0.0, np.zeros(2), np.zeros((2, 2))
+    w = np.exp(x @ beta)
+    names = [str(v) for v in g]
+    for s in set(names):
+        of = np.array([v == s for v in names])
+        for time in set(t[of & (e == 1)]):
+            risk, dead = of & (t >= time), of & (t == time) & (e == 1)
+            d = dead.sum()
+            loglik += (x[dead] @ beta).sum()
+            score += x[dead].sum(axis=0)
+            for k in range(d):
+                part = np.where(dead, 1 - k / d, 1.0) * risk * w
+                s0, s1 = part.sum(), part @ x
+                loglik -= np.log(s0)
+                score -= s1 / s0
+                info += (x * part[:, None]).T @ x / s0 - np.outer(s1, s1) / s0**2
+    return loglik, score, info
+
+
+@pytest.mark.parametrize("strata", [[], ["g"]])
+@pytest.mark.parametrize("cells", [60, 900, None])
+def test_likelihood_over_partitions(spark, strata, cells, monkeypatch):
+    """Partitions of ten rows, through which ties and strata run, give the sums of the definition."""
+    monkeypatch.setattr(likelihood, "ADDED", 8)
+    monkeypatch.setattr(likelihood, "TIE_STEPS", 50)
+    df, t, e, x, g = tied(spark)
+    beta = np.array([0.4, -0.3])
+    got = cox.evaluate(df, ["a", "b"], beta, strata, cells)
+    want = naive_efron(t, e, x, g if strata else ["all"] * len(t), beta)
+    for a, b in zip(got, want, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-10, atol=1e-9)
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    df, t, e, x, _ = tied(spark)
+    one, many = cox.fit(df, ["a", "b"]), cox.fit(df, ["a", "b"], cells=300)
+    beta, cov, ll = local.cox_newton(x, t, e)
+    for f in (one, many):
+        np.testing.assert_allclose(f.beta, beta, rtol=1e-8)
+        np.testing.assert_allclose(f.cov, cov, rtol=1e-7)
+        assert f.loglik == pytest.approx(ll, rel=1e-12)
+    assert one.iterations == many.iterations
+
+
+def test_influence_of_concordance(spark, monkeypatch):
+    """Row counts by ranges equal the naive ones; the error is near that of resampling."""
+    monkeypatch.setattr(timegrid, "RANGE_ROWS", 25)
+    rng = np.random.default_rng(9)
+    n = 300
+    t, e, r = rng.exponential(9, n).round(1) + 1, rng.integers(0, 2, n), rng.normal(size=n).round(1)
+    t[::3], r[1::3] = 7.0, 0.5
+    agree, comparable = np.zeros(n), np.zeros(n)
+    for i in range(n):
+        for j in range(n):
+            if e[i] and t[j] > t[i]:
+                s = 1.0 if r[i] > r[j] else 0.5 if r[i] == r[j] else 0.0
+                for k in (i, j):
+                    agree[k] += s
+                    comparable[k] += 1
+    c = agree.sum() / comparable.sum()
+    want = np.sqrt(((agree - c * comparable) ** 2).sum()) / (comparable.sum() / 2)
+    df = rows(spark, t, e, risk=r.tolist())
+    assert len(concordance.ranges(df)[0]) > 3
+    for cuts in (None, ([], [])):
+        got = concordance.influence(df, cuts)
+        assert got["c_index"] == pytest.approx(c, abs=1e-12) and got["std_error"] == pytest.approx(want, rel=1e-9)
+    a, b = concordance.jackknife_interval(df), concordance.bootstrap_interval(df, 200)
+    assert (a[1] - a[0]) == pytest.approx(b[1] - b[0], rel=0.2)
+    assert concordance.influence(df.filter("time < 0")) is None and concordance.jackknife_interval(df.limit(5)) is None
+
+
+def test_row_counts_add_up_to_pairs():
+    rng = np.random.default_rng(3)
+    t, e, r, w = rng.integers(0, 30, 500), rng.integers(0, 2, 500), rng.integers(0, 20, 500), rng.integers(1, 4, 500).astype(float)
+    by_row = concordance.row_counts(t, e, r, w)
+    assert [float(w @ x) / 2 for x in by_row] == pytest.approx(concordance.pair_counts(t, e, r, w))
