@@ -228,6 +228,8 @@ def _giant(docs: DataFrame, path: str | None, chunk: int, margin: int) -> DataFr
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(path)
+        if m.longest > margin:
+            raise ValueError(f"margin must be at least {m.longest}, the longest piece of this model")
         for b in batches:
             out = []
             for p, q, off, part in zip(*(b.column(c).to_pylist() for c in ("p", "q", "off", "part")), strict=True):
@@ -285,7 +287,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, giant: int = 65_5
     The ids are those of the sentencepiece library, without begin and end ids. Texts of more than ``giant`` code
     points go through the scan. ids_crc32 is over the ids as little-endian unsigned 32-bit integers;
     round_trip says that decoding gives the text back. A null text is empty and has no ids. Repeated rows
-    give repeated rows; columns of docs named like the new ones are replaced. margin must be the longest piece at least.
+    give repeated rows; columns of docs named like the new ones are replaced; an empty
+    table gives an empty one. margin must be the longest piece at least; a shorter one is refused.
     """
     made = {"ids": "ids array<int>", "n_tokens": "n_tokens long", "ids_crc32": "ids_crc32 long", "round_trip": "round_trip boolean"}
     new = [c for c in made if with_ids or c != "ids"]

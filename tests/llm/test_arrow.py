@@ -91,9 +91,49 @@ def test_huge_texts_are_counted_from_their_chunks(word_bpe, monkeypatch):
     text = " ".join("".join(rng.choice(list("abcdeé"), int(rng.integers(1, 12)))) for _ in range(3000)) + "x" * 700 + " tail " + "y z " * 300
     c = tokencount.Counter(pieces.default_path("word_bpe_49k.json"), 512, 16)
     monkeypatch.setattr(c, "units", None)
-    assert c.spliced(text) == len(word_bpe.encode(text, add_special_tokens=False).ids) and c.widened > 3
-    monkeypatch.setattr(c, "splice", lambda text, left, right, begin, end: end)  # nothing proven
-    assert c.spliced(text) != len(word_bpe.encode(text, add_special_tokens=False).ids)
+    assert c.spliced(text) == len(word_bpe.encode(text, add_special_tokens=False).ids)
+    assert c.widened > 0
+    whole = c.splice
+    monkeypatch.setattr(c, "splice", lambda edges, left, right, begin, end: whole(edges, left, right, begin, end) if end - begin > 60 else None)
+    assert c.spliced(text) == len(word_bpe.encode(text, add_special_tokens=False).ids) and c.widened > 10
+    monkeypatch.setattr(c, "splice", lambda *_: None)  # the chunks meet at their edges
+    assert c.spliced(text) == len(word_bpe.encode(text, add_special_tokens=False).ids)
+
+
+class Spy(tokencount.Counter):
+    """Counts the code points that go to the library."""
+
+    sent = 0
+
+    def encoded(self, text, start, end):
+        self.sent += end - start
+        return super().encoded(text, start, end)
+
+
+@pytest.mark.parametrize("kind", ["no edge", "few edges", "marks", "special"])
+def test_huge_texts_without_blanks_take_linear_work(word_bpe, kind):
+    rng = np.random.default_rng(1)
+    han = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FFF, n)))
+    text = {"no edge": lambda: han(300_000), "few edges": lambda: "7".join(han(90_000) for _ in range(4)), "marks": lambda: "。".join(han(40) for _ in range(25_000)), "special": lambda: "<|endoftext|>".join(han(400) for _ in range(700))}[kind]()
+    c = Spy(pieces.default_path("word_bpe_49k.json"), 65_536, 512)
+    assert c.count([text]) == [len(word_bpe.encode(text, add_special_tokens=False).ids)]
+    assert c.sent <= 2.2 * len(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(list("aİB1２½.,'!s_ \n\t　éé́ßㄱ가日゙。、！́$") + ["<|endoftext|>", "'ll", "　"]), max_size=60).map("".join))
+def test_edges_are_certain(word_bpe, text):
+    """Tokens of both sides of an edge are those of the whole."""
+    c = tokencount.Counter(pieces.default_path("word_bpe_49k.json"), 16, 4) if not hasattr(test_edges_are_certain, "c") else test_edges_are_certain.c
+    test_edges_are_certain.c = c
+    ids = lambda t: word_bpe.encode(t, add_special_tokens=False).ids
+    for at in c.edges(text).tolist():
+        assert ids(text[:at]) + ids(text[at:]) == ids(text)
+
+
+def test_short_margin_is_refused(spark):
+    with pytest.raises(Exception, match="margin"):
+        sentencepieces.encode_documents(docs(spark), giant=100, chunk=50, margin=2).collect()
 
 
 def test_token_counts(spark, word_bpe):
