@@ -90,14 +90,57 @@ class Sorted:
             sent.unpersist()
             before(outside, steps)
         sent = self.df.sparkSession.sparkContext.broadcast(outside)
-        shares = self.each(lambda b: b.share(beta, sent.value.get(b.part)), "part int, sums binary")
+        p, total = self.p, self.sum_of(lambda b: b.share(beta, sent.value.get(b.part)))
+        sent.unpersist()
+        return float(total[0]), total[1 : p + 1], total[p + 1 :].reshape(p, p)
+
+    def sum_of(self, run) -> np.ndarray:
+        """The sum over partitions of run(Block), an array each; many partitions are added up in tasks first."""
+        shares = self.each(lambda b: [(b.part, run(b).tobytes())], "part int, sums binary")
         if self.parts > ADDED:
             width = math.ceil(self.parts / ADDED)
             shares = shares.withColumn("part", F.floor(F.col("part") / width).cast("int")).groupBy("part").applyInArrow(added, "part int, sums binary")
-        found = [np.frombuffer(bytes(r["sums"])) for r in sorted(shares.collect(), key=lambda r: r["part"])]
+        return np.sum([np.frombuffer(bytes(r["sums"])) for r in sorted(shares.collect(), key=lambda r: r["part"])], axis=0)
+
+    def evaluate_many(self, betas: list[np.ndarray], sets: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each beta, Breslow's log likelihood, score, and information among the covariates of its set: all in the same passes."""
+        outside = self.outside_of(betas, sets)
+        sent = self.df.sparkSession.sparkContext.broadcast(outside)
+        sizes = [1 + self.p + len(s) ** 2 for s in sets]
+        flat = self.sum_of(lambda b: np.concatenate([b.breslow(beta, s, o.get(b.part)) for beta, s, o in zip(betas, sets, sent.value, strict=True)]))
         sent.unpersist()
-        p, total = self.p, np.sum(found, axis=0) if found else np.zeros(1 + self.p + self.p**2)
-        return float(total[0]), total[1 : p + 1], total[p + 1 :].reshape(p, p)
+        out, at = [], 0
+        for n, s in zip(sizes, sets, strict=True):
+            v, at = flat[at : at + n], at + n
+            out.append((float(v[0]), v[1 : self.p + 1], v[self.p + 1 :].reshape(len(s), len(s))))
+        return out
+
+    def outside_of(self, betas: list[np.ndarray], sets: list[np.ndarray]) -> list[dict]:
+        if self.parts == 1:
+            return [{} for _ in betas]
+        edges = self.each(lambda b: ((k, *e) for k, (beta, s) in enumerate(zip(betas, sets, strict=True)) for e in b.edges(beta, s)), "k int, " + EDGE).collect()
+        outside = [behind([Edge(*r[1:]) for r in edges if r[0] == k]) for k in range(len(betas))]
+        sent = self.df.sparkSession.sparkContext.broadcast(outside)
+        steps = self.each(
+            lambda b: ((k, *e) for k, (beta, s) in enumerate(zip(betas, sets, strict=True)) for e in b.breslow_steps(beta, s, sent.value[k].get(b.part))),
+            "k int, part int, first_g string, last_g string, first double, last double, correction double",
+        ).collect()
+        sent.unpersist()
+        for k, o in enumerate(outside):
+            before(o, [tuple(r[1:]) for r in steps if r[0] == k])
+        return outside
+
+    def baseline(self, beta: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Breslow's cumulative hazard at the slots, for rows without strata."""
+        none = np.empty(0, np.int64)
+        (outside,) = self.outside_of([beta], [none])
+
+        def steps(b: Block) -> np.ndarray:
+            d, s0 = b.risk_sets(beta, outside.get(b.part), none)[2:6:3]
+            h = np.where(d > 0, d / s0, 0.0)
+            return np.bincount(np.searchsorted(slots, b.time[b.starts]), h, len(slots) + 1)
+
+        return np.cumsum(self.sum_of(steps)[: len(slots)])
 
 
 def added(t: pa.Table) -> pa.Table:
@@ -210,25 +253,25 @@ class Block:
         self.starts = np.flatnonzero(new | np.append(True, self.time[1:] != self.time[:-1]))
         self.strata = np.searchsorted(self.starts, np.flatnonzero(new))  # each stratum's first time
 
-    def weighed(self, beta: np.ndarray):
-        """eta, w, and by time d, E0, E1, and w and w x of all rows."""
+    def weighed(self, beta: np.ndarray, some: np.ndarray | None = None):
+        """eta, w, and by time d, E0, E1, and w and w x of all rows; x of the covariates of some, by default all."""
         eta = self.x @ beta
         w = np.exp(eta)
-        we = np.where(self.event, w, 0.0)
+        we, x = np.where(self.event, w, 0.0), self.x if some is None else self.x[:, some]
         add = lambda v: np.add.reduceat(v, self.starts, axis=0)
-        return eta, w, add(self.event.astype(float)), add(we), add(self.x * we[:, None]), add(w), add(self.x * w[:, None])
+        return eta, w, add(self.event.astype(float)), add(we), add(x * we[:, None]), add(w), add(x * w[:, None])
 
-    def edges(self, beta: np.ndarray) -> Iterator[tuple]:
-        _, _, d, e0, e1, w, wx = self.weighed(beta)
+    def edges(self, beta: np.ndarray, some: np.ndarray | None = None) -> Iterator[tuple]:
+        _, _, d, e0, e1, w, wx = self.weighed(beta, some)
         bounds = np.append(self.strata, len(self.starts))
         for k in sorted({0, len(self.strata) - 1}):
             a, b = bounds[k], bounds[k + 1]
             at = lambda i: (float(d[i]), float(e0[i]), e1[i].tobytes())
             yield (self.part, self.first_g if k == 0 else self.last_g, float(self.time[self.starts[a]]), float(self.time[self.starts[b - 1]]), float(w[a:b].sum()), wx[a:b].sum(axis=0).tobytes(), *at(a), *at(b - 1))
 
-    def risk_sets(self, beta: np.ndarray, o: Outside | None):
+    def risk_sets(self, beta: np.ndarray, o: Outside | None, some: np.ndarray | None = None):
         """eta, w, and by time: d (0 where another partition owns it), E0, E1, S0, S1."""
-        eta, w, d, e0, e1, s0, s1 = self.weighed(beta)
+        eta, w, d, e0, e1, s0, s1 = self.weighed(beta, some)
         if o is not None and o.tie is not None:
             d[-1], e0[-1], e1[-1] = o.tie
         bounds = np.append(self.strata, len(self.starts))
@@ -249,7 +292,7 @@ class Block:
         first = self.strata[1] if len(self.strata) > 1 else len(self.starts)
         yield self.part, self.first_g, self.last_g, float(h1[:first].sum()), float(h1[self.strata[-1] :].sum()), float(corr[-1])
 
-    def share(self, beta: np.ndarray, o: Outside | None) -> Iterator[tuple]:
+    def share(self, beta: np.ndarray, o: Outside | None) -> np.ndarray:
         """The partition's part of log likelihood, score and information, one after the other."""
         eta, w, d, e0, e1, s0, s1 = self.risk_sets(beta, o)
         log, h1, h2, corr = tie_sums(s0, e0, d)
@@ -260,16 +303,35 @@ class Block:
         score = self.x[self.event].sum(axis=0) - (d[own, None] * u + h1[own, None] * v).sum(axis=0)
         cross = (u * h1[own, None]).T @ v
         means = (u * d[own, None]).T @ u + cross + cross.T + (v * h2[own, None]).T @ v
-        # cumulative hazard by time within each stratum
-        upto = np.cumsum(h1)
-        from_ = np.append(0.0, upto)[self.strata]
-        sizes = np.diff(np.append(self.strata, len(self.starts)))
-        hazard = upto - np.repeat(from_, sizes)
-        if o is not None:
-            hazard[: sizes[0]] += o.hazard
-            if not o.owned:
-                corr[0] = o.correction
+        if o is not None and not o.owned:
+            corr[0] = o.correction
         counts = np.diff(np.append(self.starts, len(self.time)))
-        weight = w * (np.repeat(hazard, counts) - np.where(self.event, np.repeat(corr, counts), 0.0))
+        weight = w * (self.hazards(h1, o) - np.where(self.event, np.repeat(corr, counts), 0.0))
         info = (self.x * weight[:, None]).T @ self.x - means
-        yield self.part, np.concatenate([[loglik], score, info.ravel()]).tobytes()
+        return np.concatenate([[loglik], score, info.ravel()])
+
+    def hazards(self, h: np.ndarray, o: Outside | None) -> np.ndarray:
+        """Each row's cumulative hazard from the steps by time."""
+        upto = np.cumsum(h)
+        sizes = np.diff(np.append(self.strata, len(self.starts)))
+        out = upto - np.repeat(np.append(0.0, upto)[self.strata], sizes)
+        if o is not None:
+            out[: sizes[0]] += o.hazard
+        return np.repeat(out, np.diff(np.append(self.starts, len(self.time))))
+
+    def breslow_steps(self, beta: np.ndarray, some: np.ndarray, o: Outside | None) -> Iterator[tuple]:
+        _, _, d, _, _, s0, _ = self.risk_sets(beta, o, some)
+        h = np.where(d > 0, d / s0, 0.0)
+        first = self.strata[1] if len(self.strata) > 1 else len(self.starts)
+        yield self.part, self.first_g, self.last_g, float(h[:first].sum()), float(h[self.strata[-1] :].sum()), 0.0
+
+    def breslow(self, beta: np.ndarray, some: np.ndarray, o: Outside | None) -> np.ndarray:
+        """Log likelihood, score, and information among some covariates, with Breslow's ties, one after the other."""
+        eta, w, d, _, _, s0, s1 = self.risk_sets(beta, o, some)
+        own = d > 0
+        h = np.where(own, d / s0, 0.0)
+        weight, x = w * self.hazards(h, o), self.x[:, some]
+        loglik = eta[self.event].sum() - (d[own] * np.log(s0[own])).sum()
+        score = self.x.T @ (self.event - weight)
+        info = (x * weight[:, None]).T @ x - (s1[own] * (d[own] / s0[own] ** 2)[:, None]).T @ s1[own]
+        return np.concatenate([[loglik], score, info.ravel()])

@@ -122,3 +122,35 @@ def test_empty_and_eventless(spark):
     for bad in (df.filter("time < 0"), df.selectExpr("_row_id", "time", "0 as event", "a")):
         with pytest.raises(histogram.UserInputError):
             histogram.bin_rows(bad, ["a"])
+
+
+@pytest.mark.parametrize("cells", [None, 700])
+def test_lasso_path_over_partitions(spark, cells):
+    from pyspark.sql import functions as F
+
+    from lifegrid.operators.learners import lasso
+
+    rng = np.random.default_rng(3)
+    n, p = 400, 8
+    x = rng.standard_normal((n, p))
+    x[:, 1] += 0.7 * x[:, 0]
+    t = np.ceil(8 * rng.exponential(np.exp(-0.8 * x[:, 0] + 0.5 * x[:, 3])))
+    e = rng.integers(0, 2, n)
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    df = spark.createDataFrame([(i, float(a), int(b), *map(float, r)) for i, (a, b, r) in enumerate(zip(t, e, x, strict=True))], "_row_id long, time double, event int, " + ", ".join(f"x{i} double" for i in range(p)))
+    rows = likelihood.Sorted(df, [F.col(f"x{i}") for i in range(p)], [], n, cells)
+    try:
+        assert rows.parts == (1 if cells is None else 7)
+        alphas = models.alpha_path(x, t, e, 12)
+        assert lasso.alphas_of(rows, n, 12) == pytest.approx(alphas, rel=1e-12)
+        got = lasso.lasso_path(rows, n, alphas)
+        want = np.array(models.lasso_path(x, t, e, alphas, 2000))
+        np.testing.assert_allclose(got, want, atol=2e-5)
+        for a, b in zip(alphas, got, strict=True):
+            g = x.T @ models.cox_gradient(x @ b, t, e)[1] / n
+            assert np.abs(g - a * np.sign(b))[b != 0].max(initial=0) < 1e-8 and np.abs(g)[b == 0].max(initial=0) < a + 1e-8
+        slots = np.unique(t[e == 1])
+        times, hazard = models.breslow(x @ got[-1], t, e)
+        np.testing.assert_allclose(rows.baseline(got[-1], slots), models.step_at((times, hazard), slots, 0.0), rtol=1e-10)
+    finally:
+        rows.release()
