@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UserInputError
-from .timegrid import grid, survival, survival_at
+from .timegrid import curves_at, grid, survival
 
 TINY = 1e-12
 
@@ -40,18 +40,41 @@ def brier_table(cohort: DataFrame, predictions: DataFrame, support: DataFrame |
     the censoring curve of the support cohort, at least 1e-12. The null prediction is the support's own curve.
     G and the null curve are taken on time grids that hold the asked times too and joined by equal times; none reaches the driver.
     """
-    support = cohort if support is None else support
     asked = predictions.select(F.col("t").cast("double").alias("time")).distinct()
-    flipped = support.select("time", (1 - F.col("event")).alias("event"))
-    cens = survival_at(flipped, asked.union(cohort.select(F.col("time").cast("double")).distinct())).select("time", F.greatest("surv", F.lit(TINY)).alias("g"))
-    base = asked.join(cens, "time").join(survival_at(support, asked), "time").select(F.col("time").alias("t"), F.col("g").alias("gt"), F.col("surv").alias("s0"))
-    rows = cohort.select("_row_id", F.col("time").cast("double").alias("time"), "event").join(cens.withColumnRenamed("g", "gi"), "time")
+    base, own = support_curves(cohort, asked, support)
+    rows = cohort.select("_row_id", F.col("time").cast("double").alias("time"), "event").join(own, "time")
     x = predictions.withColumn("t", F.col("t").cast("double")).join(base, "t").join(rows, "_row_id")
+    return scores(x)
+
+
+def support_curves(cohort: DataFrame, asked: DataFrame, support: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """t, gt and s0 at the asked times, and time and gi at the cohort's times, of the support's curves along one grid."""
+    own = cohort.select(F.col("time").cast("double").alias("time")).distinct()
+    curves = curves_at(cohort if support is None else support, asked if support is None else asked.union(own))
+    g = F.greatest("cens", F.lit(TINY))
+    base = asked.join(curves.select("time", g.alias("gt"), F.col("surv").alias("s0")), "time").withColumnRenamed("time", "t")
+    return base, curves.select("time", g.alias("gi"))
+
+
+def scores(x: DataFrame) -> DataFrame:
+    """t, n, brier and null_brier from rows of t, time, event, surv, gi, gt and s0."""
     dead, alive = (F.col("time") <= F.col("t")) & (F.col("event") == 1), F.col("time") > F.col("t")
     score = lambda s: F.when(dead, s * s / F.col("gi")).when(alive, (1 - s) ** 2 / F.col("gt")).otherwise(0.0)
     return x.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.avg(score(F.col("surv"))).alias("brier"), F.avg(score(F.col("s0"))).alias("null_brier"))
 
 
+def brier_of_curves(rows: DataFrame, times: list[float], support: DataFrame | None = None) -> DataFrame:
+    """``brier_table`` for predictions that stand with their rows: time, event and surv, an array with a value for each of the times.
+    The rows are joined once, by time; a row a time exists only within a task."""
+    spark = rows.sparkSession
+    asked = spark.createDataFrame([(i, float(t)) for i, t in enumerate(times)], "k int, time double")
+    base, own = support_curves(rows, asked.select("time").distinct(), support)
+    base = base.join(asked.withColumnRenamed("time", "t"), "t")
+    x = rows.select(F.col("time").cast("double").alias("time"), "event", "surv").join(own, "time")
+    x = x.select("time", "event", "gi", F.posexplode("surv").alias("k", "surv")).join(F.broadcast(base), "k")  # as many rows as times
+    return scores(x)
+
+
 def integrated(rows: list[dict]) -> dict:
     """Trapezoid means over t of the scores, and skill = 1 - ibs / null ibs."""
     rows = sorted(rows, key=lambda r: r["t"])

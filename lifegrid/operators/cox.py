@@ -17,7 +17,7 @@ from ..errors import UserInputError
 from ..functions.levels import ordered_levels
 from ..functions.stats import chi2_upper, fisher_combined, normal_quantile, normal_two_sided, student_two_sided
 from .likelihood import Sorted
-from .timegrid import by, kept, range_cuts, range_number, running
+from .timegrid import by, kept, like, range_cuts, range_number, running
 
 STAGE_COLUMNS = {"stage", "stage_group", "pathologic_stage"}
 
@@ -157,7 +157,7 @@ def baseline_hazard(df: DataFrame, fitted: CoxFit) -> DataFrame:
     g = rows.groupBy(*strata, "time").agg(F.sum("event").cast("long").alias("d"), F.sum("w").alias("w"), *[F.sum(f"wx{i}").alias(f"wx{i}") for i in range(len(names))])
     xs = [f"xbar{i}" for i in range(len(names))]
     g = running(kept(g, strata), strata, {"s0": F.col("w"), **{x: F.col(f"wx{i}") for i, x in enumerate(xs)}}, back=True)
-    g = g.withColumns({"hazard": F.col("d") / F.col("s0"), **{x: F.col(x) / F.col("s0") for x in xs}})
+    g = like(g, g.withColumns({"hazard": F.col("d") / F.col("s0"), **{x: F.col(x) / F.col("s0") for x in xs}}))
     return running(g, strata, {"cumulative_hazard": F.col("hazard")}).select(*strata, "time", "d", "s0", *xs, "hazard", "cumulative_hazard")
 
 

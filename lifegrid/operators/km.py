@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..errors import UserInputError
 from ..functions.stats import normal_quantile, normal_two_sided
-from .timegrid import by, grid, survival
+from .timegrid import grid, like, running, survival
 
 MAX_GROUPS = 50
 
@@ -56,16 +56,19 @@ def summary(cohort: DataFrame, groups: list[str], confidence: float = 0.95) -> D
     inner = (F.col("surv") > 0) & (F.col("surv") < 1) & (F.col("gw") > 0)
     stat = F.abs(F.log(-F.log("surv")) - g0) * F.abs(F.log("surv")) / F.sqrt("gw")
     near = events & inner & (stat <= z)
-    ev = s.filter(events).withColumn("next", F.lead("time").over(by(groups).orderBy("time")))
-    med = ev.groupBy(*groups).agg(
-        F.min(F.when(F.col("surv") < 0.5 - 1e-12, F.col("time"))).alias("median"),
-        F.min(F.when(near, F.col("time"))).alias("median_lower"),
-        F.max_by(F.when(near, F.col("next")), F.when(near, F.col("time"))).alias("median_upper"),
-    )
-    base = s.groupBy(*groups).agg(F.sum("c").alias("n"), F.sum("d").alias("events"), F.sum(F.col("c") - F.col("d")).alias("censored"), F.max("time").alias("time_max"))
-    if not groups:
-        return base.crossJoin(F.broadcast(med))  # one row with one row
-    return base.join(med, groups, "left")
+    out = s.groupBy(*groups).agg(
+        F.sum("c").alias("n"), F.sum("d").alias("events"), F.sum(F.col("c") - F.col("d")).alias("censored"), F.max("time").alias("time_max"),
+        F.min(F.when(events & (F.col("surv") < 0.5 - 1e-12), F.col("time"))).alias("median"), F.min(F.when(near, F.col("time"))).alias("median_lower"), F.max(F.when(near, F.col("time"))).alias("_last"),
+    )
+    # the upper limit is the first event time behind the last one that is near
+    last = out.select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.col("_last").alias("_near"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    behind = s.filter(events).join(F.broadcast(last) if not groups else last, same).filter(F.col("time") > F.col("_near"))
+    upper = behind.groupBy(*[F.col(f"_of_{g}") for g in groups]).agg(F.min("time").alias("median_upper"))
+    both = out.join(upper, same, "left") if groups else out.crossJoin(F.broadcast(upper))  # without groups, one row with one row
+    return both.select(*groups, "n", "events", "censored", "time_max", "median", "median_lower", "median_upper")
 
 
 def median_follow_up(cohort: DataFrame, groups: list[str]) -> DataFrame:
@@ -101,13 +104,14 @@ def rmst(cohort: DataFrame, groups: list[str], horizon: float, confidence: float
     """
     tau = F.lit(float(horizon))
     # only event times before the horizon change the curve within it
-    s = survival(grid(cohort, groups), groups).filter((F.col("d") > 0) & (F.col("time") <= tau))
-    ordered = by(groups).orderBy("time")
-    s = s.withColumn("area", (F.lead("time", 1).over(ordered) - F.col("time")) * F.col("surv"))
-    s = s.withColumn("area", F.coalesce("area", (tau - F.col("time")) * F.col("surv")))
-    s = s.withColumn("tail", F.sum("area").over(by(groups).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    term = F.when(F.col("n") > F.col("d"), F.pow("tail", F.lit(2.0)) * F.col("d") / (F.col("n").cast("double") * (F.col("n") - F.col("d"))))
-    est = s.groupBy(*groups).agg((F.min("time") + F.sum("area")).alias("rmst"), F.when(F.min(F.col("n") - F.col("d")) > 0, F.sum(term)).alias("variance"))
+    s = survival(grid(cohort, groups), groups)
+    s = like(s, s.filter((F.col("d") > 0) & (F.col("time") <= tau)))
+    # the area from t on is (tau - t) surv(t) less (tau - u) times the drop at each later u
+    drop = (tau - F.col("time")) * (F.col("surv_before") - F.col("surv"))
+    s = running(s, groups, {"_drops": drop}, back=True)
+    tail = (tau - F.col("time")) * F.col("surv") - (F.col("_drops") - drop)
+    term = F.when(F.col("n") > F.col("d"), F.pow(tail, F.lit(2.0)) * F.col("d") / (F.col("n").cast("double") * (F.col("n") - F.col("d"))))
+    est = s.groupBy(*groups).agg((tau - F.sum(drop)).alias("rmst"), F.when(F.min(F.col("n") - F.col("d")) > 0, F.sum(term)).alias("variance"))
     every = cohort.select(*groups).distinct() if groups else None
     if every is not None:  # a group without events before the horizon keeps the whole area, without variance 0
         est = every.join(est, groups, "left").withColumns({"variance": F.when(F.col("rmst").isNull(), 0.0).otherwise(F.col("variance")), "rmst": F.coalesce("rmst", tau)})

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..errors import UserInputError
 from ..functions.levels import ordered_levels
 from ..functions.stats import bh_adjust, chi2_upper
-from .timegrid import by, grid, survival
+from .timegrid import grid, kept, like, running, survival
 
 WEIGHTS = ("logrank", "gehan_breslow", "tarone_ware", "fleming_harrington")
 
@@ -29,27 +29,29 @@ def weight_column(kind: str, n: Column, before: Column, fh_p: float) -> Column:
     return {"logrank": F.lit(1.0), "gehan_breslow": n.cast("double"), "tarone_ware": F.sqrt(n.cast("double")), "fleming_harrington": F.pow(before, F.lit(float(fh_p)))}[kind]
 
 
-def pooled(cohort: DataFrame, pair: str | None = None) -> DataFrame:
-    """The pooled curve per distinct time: time, n, d, surv_before; of each pair, if there is such a column."""
-    groups = [pair] if pair else []
-    return survival(grid(cohort, groups), groups).select(*groups, "time", F.col("n").alias("tn"), F.col("d").alias("td"), "surv_before")
+def pooled(g: DataFrame, keys: list[str]) -> DataFrame:
+    """The pooled curve per distinct time of a grid by groups: time, n, d, surv_before; of each pair, if there is such a key."""
+    whole = g.groupBy(*keys, "time").agg(F.sum("d").alias("d"), F.sum("c").alias("c"))
+    whole._most_times = g._rows
+    s = survival(whole, keys)
+    return like(s, s.select(*keys, "time", F.col("n").alias("tn"), F.col("d").alias("td"), "surv_before"))
 
 
 def score_terms(cohort: DataFrame, group: str, kind: str = "logrank", fh_p: float = 1.0, pair: str | None = None) -> DataFrame:
     """For each event time and group the rows at risk and the weight: pair, time, group, n, d, tn, td, w.
 
-    A group's risk set at a time when it has no row is that of its next own time, taken by a window over
+    A group's risk set at a time when it has no row is that of its next own time, taken by running sums over
     the union of the group's grid with all event times.
     """
     keys = [pair] if pair else []
-    g = grid(cohort, [*keys, group])
-    times = pooled(cohort, pair).filter(F.col("td") > 0)
+    g = kept(grid(cohort, [*keys, group]), [*keys, group])
+    every = pooled(g, keys)
+    times = like(every, every.filter(F.col("td") > 0))
     labels = g.select(*keys, group).distinct()
     # the few groups go to the times, whose number has no bound
     slots = times.join(F.broadcast(labels), keys) if keys else times.crossJoin(F.broadcast(labels))
-    full = slots.join(g, [*keys, group, "time"], "full")
-    back = by([*keys, group]).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = full.withColumn("n", F.sum(F.coalesce("c", F.lit(0))).over(back)).filter(F.col("td").isNotNull())
+    full = like(times, slots.join(g, [*keys, group, "time"], "full"))
+    full = running(full, [*keys, group], {"n": F.coalesce("c", F.lit(0))}, back=True).filter(F.col("td").isNotNull())
     return full.select(*keys, group, "time", "n", F.coalesce("d", F.lit(0)).alias("d"), "tn", "td", weight_column(kind, F.col("tn"), F.col("surv_before"), fh_p).alias("w"))
 
 
@@ -101,13 +103,12 @@ def pairwise(cohort: DataFrame, group: str, kind: str = "logrank", fh_p: float =
     pairs = list(combinations(labels, 2))
     if not pairs:
         return []
-    named = F.array(*[F.struct(F.lit(f"{a} vs {b}").alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    named = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(pairs)])
     mine = F.filter(named, lambda x: (x["a"] == F.col(group).cast("string")) | (x["b"] == F.col(group).cast("string")))
     rows = cohort.select(group, "time", "event", F.explode(mine).alias("x")).select(F.col("x.pair").alias("pair"), group, "time", "event")
     stats = {r.pair: r.chisq for r in two_group_statistics(rows, group, kind, fh_p, "pair").collect()}
     # a pair without any event has no statistic
-    chisq = {f"{a} vs {b}": stats.get(f"{a} vs {b}") for a, b in pairs}
-    out = [{"comparison": k, "chisq": x, "p_value": None if x is None else chi2_upper(x, 1), "p_adjusted": None} for k, x in chisq.items()]
+    out = [{"comparison": f"{a} vs {b}", "chisq": x, "p_value": None if x is None else chi2_upper(x, 1), "p_adjusted": None} for (a, b), x in zip(pairs, map(stats.get, range(len(pairs))), strict=True)]
     known = [row for row in out if row["p_value"] is not None]
     for row, p in zip(known, bh_adjust([r["p_value"] for r in known]), strict=True):
         row["p_adjusted"] = p

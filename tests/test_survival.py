@@ -179,7 +179,7 @@ def test_bootstrap_weights_are_poisson(spark):
     assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06 and abs((w == 0).mean() - np.exp(-1)) < 0.015
 
 
-def test_running_sums_without_groups_equal_grouped_ones(spark):
+def test_running_sums_without_groups_equal_grouped_ones(spark, monkeypatch):
     rng = np.random.default_rng(6)
     t, e = np.concatenate([rng.exponential(900, 400), [1, 2, 4, 8, 8 - 1e-12, 1024.0, 1e-9]]), rng.integers(0, 2, 407)
     e[np.argmax(t)] = 1  # the last risk set is exhausted
@@ -190,6 +190,12 @@ def test_running_sums_without_groups_equal_grouped_ones(spark):
     b = timegrid.survival(timegrid.grid(df, ["g"]), ["g"]).orderBy("time").toPandas()
     np.testing.assert_allclose(a[order].to_numpy(float), b[order].to_numpy(float), rtol=1e-9)
     assert a.surv.iloc[-1] == 0 and np.isnan(a.gw.iloc[-1])
+    with monkeypatch.context() as m:
+        m.setattr(timegrid, "RANGE_ROWS", 10)
+        c = timegrid.survival(timegrid.grid(df, ["g"]), ["g"])
+        np.testing.assert_allclose(a[order].to_numpy(float), c.orderBy("time").toPandas()[order].to_numpy(float), rtol=1e-9)
+        one = timegrid.survival(timegrid.grid(df, []), [])
+        np.testing.assert_allclose(a[order].to_numpy(float), one.orderBy("time").toPandas()[order].to_numpy(float), rtol=1e-9)
     # every window over the grid has a range to be partitioned by; the others run over one row a range
     plan = one._jdf.queryExecution().optimizedPlan().toString()
     own = [line for line in plan.splitlines() if "Window [" in line and "_from_" not in line]
@@ -471,3 +477,64 @@ def test_row_counts_add_up_to_pairs():
     t, e, r, w = rng.integers(0, 30, 500), rng.integers(0, 2, 500), rng.integers(0, 20, 500), rng.integers(1, 4, 500).astype(float)
     by_row = concordance.row_counts(t, e, r, w)
     assert [float(w @ x) / 2 for x in by_row] == pytest.approx(concordance.pair_counts(t, e, r, w))
+
+
+def test_estimates_by_ranges_equal_those_by_windows(spark, monkeypatch):
+    """Summaries, areas, curves and log-rank of groups with many times, one of them null and hot."""
+    rng = np.random.default_rng(12)
+    n = 400
+    t, e = rng.exponential(20, n).round(1) + 0.1, rng.integers(0, 2, n)
+    g = [None if i % 3 else ["a", "b", "a vs b"][i % 9 // 3] for i in range(n)]
+    df = spark.createDataFrame([(i, float(a), int(b), c) for i, (a, b, c) in enumerate(zip(t, e, g, strict=True))], "_row_id long, time double, event int, g string").cache()
+    named = df.filter("g is not null")
+
+    def all_of():
+        return [
+            sorted(map(tuple, km.summary(df, ["g"]).collect()), key=str), sorted(map(tuple, km.rmst(df, ["g"], 30.0).collect()), key=str), sorted(map(tuple, km.rmst(df, [], 30.0).collect())),
+            sorted(map(tuple, km.curve(df, ["g"]).collect()), key=str), logrank.logrank(named, "g", "fleming_harrington"), logrank.pairwise(named, "g"), sorted(map(tuple, km.summary(df, []).collect())),
+        ]
+
+    small = all_of()
+    monkeypatch.setattr(timegrid, "RANGE_ROWS", 15)
+    large = all_of()
+
+    def close(a, b):
+        if isinstance(a, dict):
+            return a.keys() == b.keys() and all(close(a[k], b[k]) for k in a)
+        if isinstance(a, (list, tuple)):
+            return len(a) == len(b) and all(map(close, a, b))
+        return a == pytest.approx(b, rel=1e-9, abs=1e-12) if isinstance(a, float) else a == b
+
+    assert all(map(close, small, large))
+    assert len({p["comparison"] for p in small[5]}) == 3
+    only = local.survival_curve(t, e)
+    grid_t = np.append(only[0][only[0] <= 30], 30.0)
+    area = grid_t[0] + float((np.diff(grid_t) * only[1][: len(grid_t) - 1]).sum())
+    assert small[2][0][0] == pytest.approx(area, rel=1e-9)
+
+
+def test_nothing_stays_in_storage(spark):
+    """Grids are written, not kept in storage, and fits release their rows."""
+    before = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    df = rows(spark, range(1, 61), [1, 0, 1] * 20, risk=[float(i % 7) for i in range(60)])
+    km.summary(df, []).collect()
+    cox.baseline_hazard(df, cox.fit(df, ["risk"])).collect()
+    concordance.jackknife_interval(df)
+    logrank.logrank(df.withColumn("g", F.col("_row_id") % 2), "g")
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= before
+
+
+def test_pairs_are_keyed_by_position(spark):
+    """Groups whose names read like pairs keep their own statistics."""
+    labels = ["a", "b vs c", "a vs b", "c"]
+    t, e = np.random.default_rng(3).integers(1, 30, 200).astype(float), [1] * 200
+    df = rows(spark, t, e, g=[labels[i % 4] for i in range(200)])
+    got = logrank.pairwise(df, "g")
+    assert len(got) == 6
+    from itertools import combinations
+
+    want = []
+    for a, b in combinations(levels.ordered_levels("g", labels), 2):
+        some = np.array([labels[i % 4] in (a, b) for i in range(200)])
+        want.append(local.logrank(t[some], np.ones(some.sum()), np.array([labels[i % 4] == a for i in range(200)])[some]))
+    assert [p["chisq"] for p in got] == pytest.approx(want)
