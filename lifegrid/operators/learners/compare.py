@@ -17,8 +17,8 @@ from ..profile import check_feature_count
 from ..split import holdout, repeated_folds
 from .models import MODELS, evaluate, independent  # noqa: F401
 
-#: Cells of the encoded matrix that tasks get whole; larger cohorts fit the distributed Cox model instead.
-MAX_CELLS = 20_000_000
+#: Cells of an encoded matrix that a task gets whole; the learners of ``scaled`` take larger ones over partitions.
+TASK_CELLS = 20_000_000
 
 
 @dataclass
@@ -35,11 +35,14 @@ class Data:
     mode: str
 
 
+def fits_task(cohort: DataFrame, names: list[str]) -> bool:
+    return cohort.count() * (len(names) + 3) <= TASK_CELLS
+
+
 def load(cohort: DataFrame, encoder: enc.Encoder, extra: list[str] = ()) -> pd.DataFrame:
     names = encoder.names
-    n = cohort.count()
-    if n * (len(names) + 3) > MAX_CELLS:
-        raise UserInputError(f"{n} rows by {len(names)} columns are too many for this learner; fit the distributed Cox model or take a sample")
+    if not fits_task(cohort, names):
+        raise UserInputError(f"a matrix of {len(names)} columns is too large for one task; use the learners of scaled")
     return enc.encode(cohort, encoder, ["_row_id", "time", "event", *extra]).toPandas().sort_values("_row_id", ignore_index=True)
 
 
@@ -80,7 +83,13 @@ def _rank(rows: list[dict]) -> list[dict]:
 
 
 def compare(cohort: DataFrame, features: list[str], categorical: list[str] = (), models: list[str] = tuple(MODELS), seed: int = 42, **how) -> list[dict]:
-    """All models on one shared split, each in a task; failures are rows with an error."""
+    """All models on one shared split, each in a task; failures are rows with an error. A matrix that is too large for a task goes to the
+    learners over partitions (``scaled``)."""
+    check_feature_count(features)
+    if not fits_task(cohort, enc.fit_encoder(cohort, features, list(categorical)).names):
+        from . import scaled
+
+        return scaled.compare(cohort, features, categorical, models, seed, **how)
     data = prepare(cohort, features, categorical, seed)
     spark = cohort.sparkSession
 
@@ -104,9 +113,13 @@ def _clean(row: dict) -> dict:
 
 def cross_validate(cohort: DataFrame, features: list[str], categorical: list[str] = (), models: list[str] = tuple(MODELS), folds: int = 5, repeats: int = 3, seed: int = 42, **how) -> DataFrame:
     """A row per (model, repeat, fold). The raw encoder is fitted on all levels; medians, scaling and constant columns are each
-    training fold's own."""
+    training fold's own. A matrix that is too large for a task goes to the learners over partitions."""
     check_feature_count(features)
     plain = enc.fit_encoder(cohort, features, list(categorical), False)
+    if not fits_task(cohort, plain.names):
+        from . import scaled
+
+        return scaled.cross_validate(cohort, features, categorical, models, folds, repeats, seed, **how)
     pdf = load(cohort, plain)
     deal = repeated_folds(cohort.select("_row_id", "event"), folds, repeats, seed).select("_row_id", "repeat", "fold").toPandas()
     at = {r: g.sort_values("_row_id").fold.to_numpy() for r, g in deal.groupby("repeat")}

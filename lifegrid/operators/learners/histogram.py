@@ -131,8 +131,8 @@ class Binned:
         return Tree(tree.feature, th, tree.left, tree.right, tree.leaves)
 
 
-def bin_rows(df: DataFrame, names: list[str], bins: int = BINS, slots: int = SLOTS, held: int | None = None) -> Binned:
-    """df has _row_id, time, event and numeric columns without nulls. Cuts are approximate quantiles, each value of which ends a bin."""
+def bin_rows(df: DataFrame, names: list[str], bins: int = BINS, slots: int = SLOTS, held: int | None = None, cuts: list[list[float]] | None = None) -> Binned:
+    """df has _row_id, time, event and numeric columns without nulls. Cuts are approximate quantiles unless given; each ends a bin."""
     if not 2 <= bins <= 256:
         raise UserInputError("2 to 256 bins")
     cols = [F.col(f"`{c}`").cast("double") for c in names]
@@ -140,7 +140,7 @@ def bin_rows(df: DataFrame, names: list[str], bins: int = BINS, slots: int = SLO
     r = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, shares, F.lit(10_000)).alias(f"q{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"h{i}") for i, c in enumerate(cols)]).first()
     if not r.n:
         raise UserInputError("no rows")
-    cuts = [np.array(sorted({x for x in r[f"q{i}"] or [] if x < r[f"h{i}"]})) for i in range(len(names))]
+    cuts = [np.array(sorted({x for x in (r[f"q{i}"] or [] if cuts is None else cuts[i]) if x < r[f"h{i}"]})) for i in range(len(names))]
     events = df.filter("event = 1").select(F.col("time").cast("double").alias("time"))
     known = [x.time for x in events.distinct().limit(slots + 1).collect()]
     if len(known) > slots:
@@ -205,19 +205,44 @@ def nelson(at_risk: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.cumsum(np.where(d > 0, d / np.maximum(at_risk, 1), 0.0))
 
 
-def best_logrank(counts: np.ndarray, least: int) -> tuple[int, int, float, np.ndarray, np.ndarray, np.ndarray]:
-    """The split (position of the feature, bin) of the greatest log-rank statistic with at least so many rows on either side, its
-    statistic (0: none), and cumulative hazards of the node and both sides."""
+def logrank_gains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The log-rank statistic of every split (feature, bin), the rows on its left, and at risk and events by slot on its left."""
     t = (counts.shape[2] - 1) // 2
     left = np.cumsum(counts.astype(float), axis=1)
     size = left[:, :, : t + 1].sum(axis=2)
     at_risk = lambda c: c[..., ::-1].cumsum(axis=-1)[..., ::-1][..., 1:]
     n1, d1 = at_risk(left[:, :, : t + 1]), left[:, :, t + 1 :]
-    n, d, whole = n1[:, -1:, :], d1[:, -1:, :], size[:, -1:]
+    n, d = n1[:, -1:, :], d1[:, -1:, :]
     v = np.where(n > 1, d * (n - d) / np.maximum(n - 1, 1), 0.0)
     q = np.divide(n1, n, out=np.zeros_like(n1), where=n > 0)
     var = (v * q * (1 - q)).sum(axis=2)
-    gain = np.where(var > 1e-12, (d1 - d * q).sum(axis=2) ** 2 / np.maximum(var, 1e-300), 0.0)
+    return np.where(var > 1e-12, (d1 - d * q).sum(axis=2) ** 2 / np.maximum(var, 1e-300), 0.0), size, n1, d1
+
+
+def root_scan(rows: Binned) -> DataFrame:
+    """feature, cut, n_left and chisq of every split of all rows, each counted once: what a tree chooses from at its root."""
+    bins, slots, p = max(len(c) for c in rows.cuts) + 1, rows.slots, len(rows.names)
+
+    def count(r: Rows) -> np.ndarray:
+        k, at = slot_counts(r, slots)
+        t, ev = len(slots), r.event
+        out = np.zeros((p, bins, 2 * t + 1))
+        for j in range(p):
+            cell = r.codes[:, j].astype(np.int64)
+            out[j, :, : t + 1] = np.bincount(cell * (t + 1) + k, minlength=bins * (t + 1)).reshape(bins, t + 1)
+            out[j, :, t + 1 :] = np.bincount(cell[ev] * t + at[ev], minlength=bins * t).reshape(bins, t)
+        return out
+
+    gains, size, _, _ = logrank_gains(rows.total(count).reshape(p, bins, -1))
+    found = [(name, float(c), int(size[j, b]), float(gains[j, b])) for j, name in enumerate(rows.names) for b, c in enumerate(rows.cuts[j])]
+    return rows.df.sparkSession.createDataFrame(found, "feature string, cut double, n_left long, chisq double")
+
+
+def best_logrank(counts: np.ndarray, least: int) -> tuple[int, int, float, np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """The split (position of the feature, bin) of the greatest log-rank statistic with at least so many rows on either side, its
+    statistic (0: none), cumulative hazards of the node and both sides, and the rows of both."""
+    gain, size, n1, d1 = logrank_gains(counts)
+    n, d, whole = n1[:, -1:, :], d1[:, -1:, :], size[:, -1:]
     gain = np.where((size >= least) & (whole - size >= least), gain, 0.0)
     f, b = np.unravel_index(int(gain.argmax()), gain.shape)
     own = nelson(n[0, 0], d[0, 0])

@@ -118,11 +118,11 @@ def fit_lasso(df: DataFrame, names: list[str], slots: np.ndarray, seed: int = 42
                 finally:
                     rows.release()
                 risks = [sum((F.lit(float(b)) * z for b, z in zip(beta, zs, strict=True) if b), F.lit(0.0)) for beta in path]
-                each = test.select("time", "event", F.posexplode(F.array(*risks)).alias("k", "risk"))
+                each = test.select("time", "event", F.posexplode(F.array(*risks)).alias("penalty", "risk"))
                 cuts = ([], [])  # ranges are by key here: each penalty's rows are cut by its own task
                 c = np.full(count, 0.5)
-                for r in pair_table(each, ["k"], cuts=cuts if known[True].n < 200_000 else None).collect():
-                    c[r.k] = 0.5 if r.c_index is None else r.c_index
+                for r in pair_table(each, ["penalty"], cuts=cuts if known[True].n < 200_000 else None).collect():
+                    c[r.penalty] = 0.5 if r.c_index is None else r.c_index
                 top = int(c.argmax())
                 error = influence(test.select("_row_id", "time", "event", risks[top].alias("risk")))
                 best = int(np.flatnonzero(c >= c[top] - (error["std_error"] if error else 0.0))[0])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..errors import UserInputError
+from .positions import numbered
 
 
 def _order(seed: int):
@@ -15,8 +15,7 @@ def _order(seed: int):
 
 def ranked(cohort: DataFrame, seed: int) -> DataFrame:
     """_rank from 0 within each event class, in an order drawn from the ids; _size of the class."""
-    w = Window.partitionBy("event")
-    return cohort.withColumns({"_rank": F.row_number().over(w.orderBy(_order(seed), "_row_id")) - 1, "_size": F.count(F.lit(1)).over(w)})
+    return numbered(cohort, ["event"], [_order(seed), F.col("_row_id")], "_rank", "_size")
 
 
 def holdout(cohort: DataFrame, seed: int = 42, fraction: float = 0.3, least_rows: int = 20, least_class: int = 4) -> tuple[DataFrame, str]:
@@ -30,7 +29,7 @@ def holdout(cohort: DataFrame, seed: int = 42, fraction: float = 0.3, least_rows
 
 def folds(cohort: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds fold 0..k-1, dealt in turn within each event class."""
-    return ranked(cohort, seed).withColumn("fold", F.pmod(F.col("_rank"), F.lit(k))).drop("_rank", "_size")
+    return ranked(cohort, seed).withColumn("fold", F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_rank", "_size")
 
 
 def repeated_folds(cohort: DataFrame, k: int = 5, repeats: int = 3, seed: int = 42, most_fits: int = 200) -> DataFrame:
@@ -41,8 +40,8 @@ def repeated_folds(cohort: DataFrame, k: int = 5, repeats: int = 3, seed: int =
     if len(sizes) < 2 or min(sizes) < k:
         raise UserInputError(f"each event class needs at least {k} rows")
     rows = cohort.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = Window.partitionBy("repeat", "event").orderBy(F.xxhash64(F.lit(seed) + F.col("repeat"), F.col("_row_id")), "_row_id")
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
+    drawn = numbered(rows, ["repeat", "event"], [F.xxhash64(F.lit(seed) + F.col("repeat"), F.col("_row_id")), F.col("_row_id")], "_rank", "_size")
+    return drawn.withColumn("fold", F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_rank", "_size")
 
 
 def monitor(train: DataFrame, seed: int = 42, fraction: float = 0.2, least_rows: int = 24, least_class: int = 2) -> DataFrame:

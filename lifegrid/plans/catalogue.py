@@ -286,7 +286,7 @@ def time_slice_evaluable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"n{i}").alias("n"), F.col(f"e{i}").alias("events")) for i, t in enumerate(ts)])).alias("r")).select("r.*")
 
 
-@query("stratified_folds")
+@query("stratified_folds", f"WITH {ORDER_GAP}, c AS (SELECT event, count(*) AS n FROM gap GROUP BY event), f AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS fold) SELECT fold, event, (n - fold + 4) // 5 AS n FROM c, f")
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.folds(order_gap(spark, sf_dir), 5).groupBy("fold", "event").agg(F.count(F.lit(1)).alias("n"))
 
@@ -294,7 +294,8 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 import numpy as np  # noqa: E402
 
 from ..operators import brier, concordance, cox, cutpoint  # noqa: E402
-from .newton_sql import cox_sql  # noqa: E402
+from ..operators.likelihood import Sorted  # noqa: E402
+from .newton_sql import cox_sql, two_sided  # noqa: E402
 
 BETA = 2e-6
 
@@ -491,7 +492,19 @@ def time_slice_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.time_slice_importance(conversion_features(spark, sf_dir), ["n_events", "mean_value"])
 
 
-@query("rmst_contrast")
+def _rmst_contrast_sql() -> str:
+    return f"""WITH {km_sql(SHIP_LAG.strip(), 'lag', 'l_linestatus')},
+e AS (SELECT *, coalesce(lead(time) OVER w, 300.0) - time AS width FROM s WHERE d > 0 AND time <= 300 WINDOW w AS (PARTITION BY l_linestatus ORDER BY time)),
+a AS (SELECT *, sum(width * surv) OVER (PARTITION BY l_linestatus ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS tail FROM e),
+k AS (SELECT DISTINCT l_linestatus FROM lag),
+v AS (SELECT k.l_linestatus, coalesce(min(time) + sum(width * surv), 300.0) AS rmst, CASE WHEN count(time) = 0 THEN 0.0 WHEN min(n - d) > 0 THEN sum(tail * tail * d / (CAST(n AS DOUBLE) * (n - d))) END AS variance FROM k LEFT JOIN a ON a.l_linestatus = k.l_linestatus GROUP BY k.l_linestatus),
+p AS (SELECT x.l_linestatus || ' minus ' || y.l_linestatus AS comparison, x.rmst - y.rmst AS estimate, sqrt(x.variance + y.variance) AS se FROM v x JOIN v y ON x.l_linestatus < y.l_linestatus),
+z AS (SELECT *, estimate / se AS z FROM p)
+SELECT comparison, round(estimate, 6) + 0.0 AS estimate, round(se, 6) AS se, round(z, 6) + 0.0 AS z_statistic, round({two_sided('z')}, 6) + 0.0 AS p_value,
+  round(estimate - {Z} * se, 6) + 0.0 AS ci_lower, round(estimate + {Z} * se, 6) + 0.0 AS ci_upper FROM z"""
+
+
+@query("rmst_contrast", _rmst_contrast_sql())
 def rmst_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sorted((r.asDict() for r in km.rmst(ship_lag(spark, sf_dir), ["l_linestatus"], 300.0).collect()), key=lambda r: r["l_linestatus"])
     c = km.rmst_contrast(rows, "l_linestatus", 300.0)
@@ -508,3 +521,103 @@ def synthetic_cohort_km(spark: SparkSession, sf_dir: str) -> DataFrame:
 def optimal_cutpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = cutpoint.optimal_cutpoint(conversion_features(spark, sf_dir), "n_events", permutations=20)
     return spark.createDataFrame([(float(r["cutpoint"]), float(r["chisq"]), r["p_value"], r["permutation_p"], r["label_above"])], "cutpoint double, chisq double, p_value double, permutation_p double, label_above string")
+
+
+@query(
+    "optimal_cutpoint_scan",
+    f"""WITH {SQL["cutpoint_scan"].removeprefix("WITH ").rsplit("SELECT cut AS cutpoint", 1)[0].rstrip()},
+b AS (SELECT cut, chisq FROM (SELECT cut, chisq, row_number() OVER (ORDER BY round(chisq, 9) DESC, cut) AS r FROM s, t WHERE n_above >= ceil(0.1 * n) AND n - n_above >= ceil(0.1 * n) AND events_above >= 1 AND e - events_above >= 1) WHERE r = 1),
+y AS (SELECT c.time, c.event, CASE WHEN c.x > b.cut THEN 1 ELSE 0 END AS side FROM c, b), yg AS (SELECT side, time, sum(event) AS d, count(*) AS c FROM y GROUP BY side, time),
+yn AS (SELECT *, sum(c) OVER (PARTITION BY side ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS n FROM yg), ys AS (SELECT side, time, product(1 - d / CAST(n AS DOUBLE)) OVER (PARTITION BY side ORDER BY time ROWS UNBOUNDED PRECEDING) AS surv FROM yn),
+ym AS (SELECT min(CASE WHEN side = 1 THEN time END) AS median_above, min(CASE WHEN side = 0 THEN time END) AS median_below FROM ys WHERE surv < 0.5 - 1e-12)
+SELECT cut AS cutpoint, round(chisq, 6) AS chisq, round({two_sided("sqrt(chisq)")}, 6) + 0.0 AS p_value, median_above, median_below FROM b, ym""",
+)
+def optimal_cutpoint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = cutpoint.optimal_cutpoint(ship_lag(spark, sf_dir), "l_quantity")
+    return spark.createDataFrame([(float(r["cutpoint"]), round(r["chisq"], 6), round(r["p_value"], 6), r["median_above"], r["median_below"])], "cutpoint double, chisq double, p_value double, median_above double, median_below double")
+
+
+from ..operators import positions  # noqa: E402
+from ..operators.learners import histogram, lasso, scaled  # noqa: E402
+
+
+@query(
+    "representative_orders",
+    f"""WITH {ORDER_GAP}, r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, _row_id) - 1 AS p, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM gap)
+SELECT o_orderpriority, name AS representative, _row_id, o_totalprice FROM r JOIN (VALUES ('low'), ('median'), ('high')) AS v(name) ON p = CASE name WHEN 'low' THEN 0 WHEN 'median' THEN n // 2 ELSE n - 1 END""",
+)
+def representative_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions.representatives(order_gap(spark, sf_dir), "o_totalprice", ["o_orderpriority"]).select("o_orderpriority", "representative", "_row_id", "o_totalprice")
+
+
+@query(
+    "even_subsample",
+    f"""WITH {ORDER_GAP}, r AS (SELECT _row_id, o_totalprice, row_number() OVER (ORDER BY o_totalprice, _row_id) - 1 AS p, count(*) OVER () AS n FROM gap)
+SELECT _row_id, o_totalprice FROM r WHERE p IN (SELECT CAST(round_even(i * ((SELECT max(n) FROM r) - 1) / 499.0::DOUBLE, 0) AS BIGINT) FROM (SELECT unnest(range(500)) AS i))""",
+)
+def even_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions.even_subsample(order_gap(spark, sf_dir), "o_totalprice", 500).select("_row_id", "o_totalprice")
+
+
+@query(
+    "equal_chunks",
+    f"""WITH {ORDER_GAP}, r AS (SELECT _row_id, o_totalprice, event, row_number() OVER (ORDER BY o_totalprice, _row_id) - 1 AS p, count(*) OVER () AS n FROM gap)
+SELECT CAST(least(p // (n // 9), 8) AS INTEGER) AS chunk, count(*) AS n, CAST(sum(event) AS BIGINT) AS events, min(o_totalprice) AS low, max(o_totalprice) AS high FROM r GROUP BY 1""",
+)
+def equal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = positions.equal_chunks(order_gap(spark, sf_dir), "o_totalprice", 9)
+    return x.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("event").cast("long").alias("events"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+
+
+PRICE_CUTS, BALANCE_CUTS = [float(x) for x in range(40_000, 400_001, 40_000)], [float(x) for x in range(-500, 9_501, 1_000)]
+
+
+def _root_sql() -> str:
+    cuts = ", ".join(f"('{f}', {c}::DOUBLE)" for f, cs in (("o_totalprice", PRICE_CUTS), ("c_acctbal", BALANCE_CUTS)) for c in cs)
+    return f"""WITH {ORDER_GAP}, k(feature, cut) AS (VALUES {cuts}),
+p AS (SELECT time, sum(event) AS td, count(*) AS tc FROM gap GROUP BY time), n AS (SELECT *, sum(tc) OVER (ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS tn FROM p),
+a AS (SELECT feature, cut, time, sum(event) AS d, count(*) AS c FROM k JOIN gap ON (CASE feature WHEN 'o_totalprice' THEN o_totalprice ELSE c_acctbal END) <= cut GROUP BY feature, cut, time),
+f AS (SELECT k.feature, k.cut, n.time, td, tn, coalesce(d, 0) AS d, sum(coalesce(c, 0)) OVER (PARTITION BY k.feature, k.cut ORDER BY n.time DESC ROWS UNBOUNDED PRECEDING) AS n1 FROM k CROSS JOIN n LEFT JOIN a ON a.feature = k.feature AND a.cut = k.cut AND a.time = n.time)
+SELECT feature, cut, CAST(max(n1) AS BIGINT) AS n_left, round(pow(sum(d - td * n1 / tn), 2) / sum(CASE WHEN tn > 1 THEN td * (n1 / tn) * (1 - n1 / tn) * (tn - td) / (tn - 1) ELSE 0 END), 6) AS chisq FROM f GROUP BY feature, cut"""
+
+
+@query("tree_root_scan", _root_sql())
+def tree_root_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All splits that a survival tree has at its root, from the counts that its levels are grown from."""
+    rows = histogram.bin_rows(order_gap(spark, sf_dir), ["o_totalprice", "c_acctbal"], slots=10_000, cuts=[PRICE_CUTS, BALANCE_CUTS])
+    try:
+        return rounded(histogram.root_scan(rows))
+    finally:
+        rows.release()
+
+
+def _by_chunk(spark: SparkSession, sf_dir: str, model: str, **how) -> DataFrame:
+    """Tenths of the predicted risk with their rows, events and mean risk, from a model that is fitted over partitions."""
+    gap, names = conversion_features(spark, sf_dir), ["n_events", "mean_value"]
+    p = histogram.predict(gap, scaled.fit(gap, names, model, **how), names)
+    return rounded(positions.equal_chunks(p, "risk", 10).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("event").cast("long").alias("events"), F.avg("risk").alias("mean_risk")))
+
+
+@query("forest_risk_chunks")
+def forest_risk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_chunk(spark, sf_dir, "random_survival_forest", n_estimators=20, max_depth=5)
+
+
+@query("boosted_risk_chunks")
+def boosted_risk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_chunk(spark, sf_dir, "gradient_boosted_survival", n_estimators=12, max_depth=3)
+
+
+@query("lasso_path")
+def lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised coefficients along the LASSO-Cox path of price, balance and the priorities."""
+    d, names = cox.design(order_gap(spark, sf_dir), ["o_orderpriority", "o_totalprice", "c_acctbal"])
+    cols, _, _, n = lasso.standardised(d, names)
+    rows = Sorted(d, cols, [], n)
+    try:
+        alphas = lasso.alphas_of(rows, n, 20)
+        betas = lasso.lasso_path(rows, n, alphas)
+    finally:
+        rows.release()
+    found = [(k, float(a), c, float(b)) for k, (a, row) in enumerate(zip(alphas, betas, strict=True)) for c, b in zip(names, row, strict=True)]
+    return rounded(spark.createDataFrame(found, "step int, alpha double, term string, beta double"), 9)

@@ -154,3 +154,24 @@ def test_lasso_path_over_partitions(spark, cells):
         np.testing.assert_allclose(rows.baseline(got[-1], slots), models.step_at((times, hazard), slots, 0.0), rtol=1e-10)
     finally:
         rows.release()
+
+
+def test_comparison_over_partitions(spark, monkeypatch):
+    """A matrix that no task may hold goes to the learners over partitions; they rank subjects about as the others do."""
+    from lifegrid.operators import brier
+    from lifegrid.operators.learners import compare, scaled
+
+    df, *_ = cohort(spark, 400)
+    df = df.withColumnRenamed("c", "kind")
+    small = {r["model"]: r for r in compare.compare(df, ["a", "b", "kind"], n_estimators=4, max_depth=2)}
+    monkeypatch.setattr(compare, "TASK_CELLS", 100)
+    large = {r["model"]: r for r in compare.compare(df, ["a", "b", "kind"], n_estimators=4, max_depth=2)}
+    assert set(small) == set(large) == set(scaled.MODELS)
+    for m, r in large.items():
+        assert r["error"] is None and abs(r["c_index"] - small[m]["c_index"]) < 0.08 and abs(r["ibs"] - small[m]["ibs"]) < 0.03, m
+        assert (r["train_n"], r["test_n"], r["test_events"]) == (small[m]["train_n"], small[m]["test_n"], small[m]["test_events"])
+    assert large["cox_ph"]["c_index"] == pytest.approx(small["cox_ph"]["c_index"], abs=1e-6)
+    assert large["cox_ph"]["ibs"] == pytest.approx(small["cox_ph"]["ibs"], abs=1e-6)
+    got = scaled.cross_validate(df, ["a", "kind"], models=["cox_ph"], folds=2, repeats=1).collect()
+    assert [(r.repeat, r.fold, r.error) for r in got] == [(0, 0, None), (0, 1, None)] and all(r.c_index > 0.6 for r in got)
+    assert brier.TINY < 1
