@@ -1,4 +1,4 @@
-"""Distribution functions and p-value adjustment, in plain Python for the driver."""
+"""Distribution functions and p-value adjustment, in plain Python for the driver, and draws by hash for tasks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
+import numpy as np
+
 _NORMAL = NormalDist()
 
 
@@ -120,3 +122,12 @@ def spearman(xs: Sequence[float], ys: Sequence[float]) -> tuple[float, float]:
     if n < 3 or abs(rho) == 1:
         return rho, 0.0
     return rho, student_two_sided(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
+
+
+def mixed(keys: np.ndarray, stream: int, seed: int) -> np.ndarray:
+    """Unsigned 64-bit numbers drawn for each key: the splitmix64 finaliser over key, stream and seed."""
+    with np.errstate(over="ignore"):
+        z = np.asarray(keys).astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (stream + 1) + 0xD1B54A32D192ED03 * (seed + 1)) % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))

@@ -1,9 +1,11 @@
 """The optimal cut-point of a covariate by the log-rank statistic.
 
 For the rows above a cut, observed minus expected events is a sum of martingale residuals, so it accumulates along
-the sorted covariate. The variance has a sum over pairs of rows of W(min of their times), which grows by one Fenwick
-query a row. The covariate's range is cut into blocks that sweep independently: each one starts from the counts by time
-of the rows above it, so no task holds all rows.
+the sorted covariate. The variance is a sum over rows less a sum over pairs of rows of W(min of their times); a row adds W at its own time for all
+rows above it that are later, and W at their times for the others. These are counts over two orders, and they are taken by ranges
+of both: equal (value, time) rows are one cell; each pair of cells is counted within its range of values, else within its range of times, else
+from the table of both ranges. The sums along the covariate go by ranges as well. So no task holds more than a range, and nothing that grows with the rows
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,112 +19,175 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UserInputError
-from ..functions.stats import chi2_upper
-from .timegrid import at_risk, grid
+from ..functions.stats import chi2_upper, mixed
+from ..scratch import written
+from .positions import numbered
+from .timegrid import at_risk, kept, like, range_cuts, range_number, running
 
-
-def _tables(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Times in order and, up to each, the sums of d / n, v / n and v / n^2, with v = d (n - d) / (n - 1)."""
-    g = g.sort_values("time")
-    d, n = g.d.to_numpy(float), g.n.to_numpy(float)
-    v = np.where(n > 1, d * (n - d) / np.maximum(n - 1, 1), 0.0)
-    return g.time.to_numpy(float), np.cumsum(d / n), np.cumsum(v / n), np.cumsum(v / n**2)
+#: Rows up to which each permutation is scanned in one task; more go through ``scan``, one permutation after the other.
+TASK_ROWS = 200_000
 
 
-def sweep(x: np.ndarray, k: np.ndarray, event: np.ndarray, tables: tuple, above: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Along falling x (rows' time indices k): for each distinct x, the counts, events and statistic of the rows >= x.
+def above(x: np.ndarray, t: np.ndarray, k: np.ndarray, kw: np.ndarray, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell, over the cells of greater x: the sum of kw where t is not later (earlier, if strict), and of k where it is later.
 
-    above has the counts by time index of rows above all of these. u0, l0 and q0 of those rows are summed first.
+    Two values of x part at one bit of their rank: for each bit, the cells with it unset look up those of the same higher bits with it
+    set, in order of t.
     """
-    _, h, a, w = tables
-    n = len(h)
-    tree_n, tree_w = [0.0] * (n + 1), [0.0] * (n + 1)
-    total = u = lin = quad = 0.0
-
-    def add(pos: int, c: float) -> None:
-        p, cw = pos + 1, c * float(w[pos])
-        while p <= n:
-            tree_n[p] += c
-            tree_w[p] += cw
-            p += p & -p
-
-    if above is not None and above.any():
-        c = above.astype(float)
-        total, u, lin = float(c.sum()), -float(c @ h), float(c @ a)
-        # sum over pairs of W(min) = sum over steps of W of (rows at least that late)^2
-        quad = float((np.diff(np.concatenate([[0.0], w])) * np.cumsum(c[::-1])[::-1] ** 2).sum())
-        for pos in np.flatnonzero(c):
-            add(int(pos), float(c[pos]))
-    order = np.argsort(-x, kind="stable")
-    xs, ks, es = x[order], k[order].tolist(), event[order].tolist()
-    us, vs, counts, events = [], [], [], []
-    ev = 0
-    for pos, e in zip(ks, es, strict=True):
-        p, upto_n, upto_w = pos + 1, 0.0, 0.0
-        while p > 0:
-            upto_n += tree_n[p]
-            upto_w += tree_w[p]
-            p -= p & -p
-        quad += w[pos] + 2 * (upto_w + w[pos] * (total - upto_n))
-        add(pos, 1.0)
-        total += 1
-        ev += e
-        u += e - h[pos]
-        lin += a[pos]
-        us.append(u)
-        vs.append(lin - quad)
-        counts.append(total)
-        events.append(ev)
-    last = np.flatnonzero(np.concatenate([xs[1:] != xs[:-1], [True]])) if len(xs) else np.empty(0, int)
-    return {"x": xs[last], "u": np.array(us)[last], "v": np.array(vs)[last], "n": np.array(counts)[last], "events": np.array(events)[last]}
-
-
-def scan(cohort: DataFrame, variable: str, min_fraction: float = 0.1, blocks: int = 16) -> DataFrame:
+    early, late = np.zeros(len(x)), np.zeros(len(x))
+    if not len(x):
+        return early, late
+    levels = int(t.max()) + 1
+    for bit in range(int(x.max()).bit_length()):
+        high = (x >> bit) & 1 == 1
+        base = (x >> (bit + 1)) * levels
+        key = base + t
+        place = np.flatnonzero(high)[np.argsort(key[high], kind="stable")]
+        at, ask = key[place], ~high
+        n, w = (np.concatenate([[0.0], np.cumsum(v[place])]) for v in (k, kw))
+        start, end = np.searchsorted(at, base[ask]), np.searchsorted(at, base[ask] + levels)
+        upto = np.searchsorted(at, key[ask], side="right")
+        early[ask] += w[np.searchsorted(at, key[ask]) if strict else upto] - w[start]
+        late[ask] += n[end] - n[upto]
+    return early, late
+
+
+def ranks(*columns: np.ndarray) -> np.ndarray:
+    """Ranks from 0 in the order of the columns, the first one first; equal rows share one."""
+    if len(columns) == 1:
+        return np.unique(columns[0], return_inverse=True)[1].astype(np.int64)
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        s = c[order]
+        new[1:] |= s[1:] != s[:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def pair_sums(cells: DataFrame, cuts: tuple[list[float], list[float]]) -> DataFrame:
+    """x, time and s of every cell (x, time, k, w): the sum over all cells behind it, by x and then by time, of their k times w at the earlier
+    one of both times."""
+    marked = cells.withColumns({"xr": range_number(F.col("x"), cuts[0]), "tr": range_number(F.col("time"), cuts[1])})
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, t, k, w = (pdf[c].to_numpy(float) for c in ("x", "time", "k", "w"))
+        early, late = above(ranks(x, t), ranks(t), k, k * w)
+        return pdf[["x", "time"]].assign(s=early + w * late)
+
+    schema = "x double, time double, s double"
+    same = marked.filter("xr % 2 = 0").groupBy("xr").applyInPandas(within, schema)
+    if not cuts[0]:
+        return same
+    # an odd range has one value of x: what is behind a cell is later
+    odd = marked.filter("xr % 2 = 1")
+    one = running(odd, ["xr"], {"later": F.col("k")}, back=True).select("x", "time", (F.col("w") * (F.col("later") - F.col("k"))).alias("s"))
+    coarse = marked.groupBy("tr", "time", "xr").agg(F.sum("k").cast("double").alias("k"), F.first("w").alias("w"))
+
+    def beside(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, t, k, w = (pdf[c].to_numpy(float) for c in ("xr", "time", "k", "w"))
+        early, late = above(ranks(x), ranks(t), k, k * w)
+        return pdf[["xr", "time"]].assign(s2=early + w * late)
+
+    def apart(pdf: pd.DataFrame) -> pd.DataFrame:
+        early, late = above(ranks(pdf.xr.to_numpy()), ranks(pdf.tr.to_numpy()), pdf.k.to_numpy(float), pdf.kw.to_numpy(float), strict=True)
+        return pdf[["xr", "tr"]].assign(early=early, late=late)
+
+    table = marked.groupBy("xr", "tr").agg(F.sum("k").cast("double").alias("k"), F.sum(F.col("k") * F.col("w")).alias("kw"))
+    x = marked.join(same.unionByName(one), ["x", "time"], "left").join(coarse.groupBy("tr").applyInPandas(beside, "xr int, time double, s2 double"), ["xr", "time"], "left")
+    x = x.join(table.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(apart, "xr int, tr int, early double, late double"), ["xr", "tr"], "left")  # at most (2 * MAX_RANGES + 1)^2 rows
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return x.select("x", "time", (zero("s") + zero("s2") + zero("early") + F.col("w") * zero("late")).alias("s"))
+
+
+def statistics(rows: DataFrame) -> DataFrame:
+    """below, x, n, events and chisq of the rows of at least each value x (columns x, time and event); below is the next lower value."""
+    cells = written(rows.groupBy(F.col("x").cast("double").alias("x"), F.col("time").cast("double").alias("time")).agg(F.count(F.lit(1)).alias("k"), F.sum("event").cast("long").alias("e")))
+    g = at_risk(cells.groupBy("time").agg(F.sum("e").alias("d"), F.sum("k").alias("c")), [])
+    d, n = F.col("d"), F.col("n").cast("double")
+    v = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(0.0)
+    g = running(g, [], {"h": d / n, "a": v / n, "w": v / (n * n)}).select("time", "h", "a", "w")
+    cells = written(cells.join(g, "time"))
+    cuts = range_cuts(cells, ["x", "time"])
+    s = pair_sums(cells.select("x", "time", F.col("k").cast("double").alias("k"), "w"), (cuts[0], cuts[1]))
+    both, k = cells.join(s, ["x", "time"]), F.col("k").cast("double")
+    levels = both.groupBy("x").agg(F.sum("k").alias("k"), F.sum("e").alias("e"), F.sum(k * F.col("h")).alias("kh"), F.sum(k * F.col("a")).alias("ka"), F.sum(k * k * F.col("w") + 2 * k * F.col("s")).alias("q"))
+    levels = kept(levels.withColumnRenamed("x", "time"), [])  # running sums along x
+    up = running(levels, [], {"n": F.col("k"), "events": F.col("e"), "h": F.col("kh"), "a": F.col("ka"), "pairs": F.col("q")}, back=True)
+    up = running(like(levels, up), [], {"place": F.lit(1).cast("long")})
+    lower = up.select((F.col("place") + 1).alias("place"), F.col("time").alias("below"))
+    u, var = F.col("events") - F.col("h"), F.col("a") - F.col("pairs")
+    chisq = F.when(var > 1e-12, u * u / var).otherwise(0.0)
+    return up.join(lower, "place").select("below", F.col("time").alias("x"), "n", "events", chisq.alias("chisq"))
+
+
+def scan(cohort: DataFrame, variable: str, min_fraction: float = 0.1) -> DataFrame:
     """cutpoint, n_below, n_above, events_below, events_above, chisq for every midpoint of neighbouring values that leaves the
     least fraction of rows and an event on either side."""
     if not 0.02 <= min_fraction <= 0.45:
         raise UserInputError("the least group fraction is between 0.02 and 0.45")
     rows = cohort.select(F.col(f"`{variable}`").cast("double").alias("x"), "time", "event").filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    g = at_risk(grid(rows, []), []).select("time", "d", "n").toPandas()  # one row per distinct time
-    tables = _tables(g)
-    times, total, events = tables[0], int(g.loc[g.time == g.time.min(), "n"].sum()) if len(g) else 0, int(g.d.sum()) if len(g) else 0
-    if not total:
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e")).first()
+    if not size.n:
         raise UserInputError(f'"{variable}" has no numeric values')
-    cuts = sorted(set(rows.agg(F.percentile_approx("x", F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), F.lit(10_000))).first()[0]))
-    block = F.lit(0)
-    for c in cuts:
-        block = block + (F.col("x") > c).cast("int")
-    rows = rows.withColumn("b", block)
-    counts = rows.groupBy("b", "time").agg(F.count(F.lit(1)).alias("c"))
-    # the rows above each block, by time; what precedes a block's least value is the greatest one of the next lower block
-    above = counts.select(F.explode(F.sequence(F.lit(-1), F.col("b") - 1)).alias("b"), "time", "c").filter("b >= 0").groupBy("b", "time").agg(F.sum("c").alias("c")).toDF("ab", "at", "ac")
-    info = rows.groupBy("b").agg(F.max("x").alias("hi"), F.sum("event").alias("ev")).orderBy("b").collect()  # a row a block
-    later = {r.b: sum(s.ev for s in info if s.b > r.b) for r in info}
-    below = {r.b: max((s.hi for s in info if s.b < r.b), default=None) for r in info}
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["cutpoint", "n_below", "n_above", "events_below", "events_above", "chisq"]
-        if not len(a):
-            return pd.DataFrame({n: pd.Series(dtype=float) for n in names})
-        up = np.zeros(len(times))
-        if len(b):
-            up[np.searchsorted(times, b["at"].to_numpy(float))] = b.ac.to_numpy(float)
-        me = int(a.b.iloc[0])
-        a = a.sort_values(["x", "time", "event"])
-        s = sweep(a.x.to_numpy(float), np.searchsorted(times, a.time.to_numpy(float)), a.event.to_numpy(int), tables, up)
-        s["u"], s["events"] = s["u"] + later[me], s["events"] + later[me]
-        nxt = np.append(s["x"][1:], np.nan if below[me] is None else below[me])
-        out = pd.DataFrame({"cutpoint": (s["x"] + nxt) / 2, "n_below": total - s["n"], "n_above": s["n"], "events_below": events - s["events"], "events_above": s["events"], "chisq": np.where(s["v"] > 1e-12, s["u"] ** 2 / np.maximum(s["v"], 1e-300), 0.0)})
-        return out[out.cutpoint.notna()]
-
-    each = rows.groupBy("b").cogroup(above.groupBy("ab")).applyInPandas(run, "cutpoint double, n_below double, n_above double, events_below double, events_above double, chisq double")
-    least = max(1, math.ceil(min_fraction * total))
-    ok = (F.col("n_below") >= least) & (F.col("n_above") >= least) & (F.col("events_below") >= 1) & (F.col("events_above") >= 1)
-    whole = [F.col(c).cast("long").alias(c) for c in ("n_below", "n_above", "events_below", "events_above")]
-    return each.filter(ok).select("cutpoint", *whole, "chisq")
-
-
-def optimal_cutpoint(cohort: DataFrame, variable: str, min_fraction: float = 0.1, permutations: int = 0, seed: int = 42, lower_label: str = "Low", upper_label: str = "High", most_rows: int = 200_000) -> dict:
+    n, e = F.lit(size.n), F.lit(size.e)
+    least = max(1, math.ceil(min_fraction * size.n))
+    s = statistics(rows).filter((F.col("n") >= least) & (n - F.col("n") >= least) & (F.col("events") >= 1) & (e - F.col("events") >= 1))
+    whole = {"n_below": n - F.col("n"), "n_above": F.col("n"), "events_below": e - F.col("events"), "events_above": F.col("events")}
+    return s.select(((F.col("x") + F.col("below")) / 2).alias("cutpoint"), *[c.cast("long").alias(k) for k, c in whole.items()], "chisq")
+
+
+def greatest(x: np.ndarray, t: np.ndarray, e: np.ndarray, least: int) -> float | None:
+    """The greatest statistic of ``scan`` over rows in one place; None without a cut."""
+    times, at = np.unique(t, return_inverse=True)
+    d, c = np.bincount(at, e, len(times)), np.bincount(at, minlength=len(times)).astype(float)
+    n = np.cumsum(c[::-1])[::-1]
+    v = np.where(n > 1, d * (n - d) / np.maximum(n - 1, 1), 0.0)
+    h, a, w = np.cumsum(d / n)[at], np.cumsum(v / n)[at], np.cumsum(v / n**2)[at]
+    order = np.lexsort((t, x))
+    x, at, e, h, a, w = (y[order] for y in (x, at, e, h, a, w))
+    ones = np.ones(len(x))
+    early, late = above(np.arange(len(x)), at.astype(np.int64), ones, w)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))[1:]  # cuts below each value but the least
+    back = lambda y: np.cumsum(y[::-1])[::-1][first]
+    size, events = back(ones), back(e.astype(float))
+    u, var = events - back(h), back(a) - back(w + 2 * (early + w * late))
+    ok = (size >= least) & (len(x) - size >= least) & (events >= 1) & (e.sum() - events >= 1) & (var > 1e-12)
+    return float((u[ok] ** 2 / var[ok]).max()) if ok.any() else None
+
+
+def permutation_statistics(cohort: DataFrame, variable: str, min_fraction: float, permutations: int, seed: int) -> list[float]:
+    """The greatest statistic of each permutation that has a cut. A permutation orders the rows by a hash of their ids and gives the values, in
+    their own order, to the rows in that one: the same one at any size and on any partitions."""
+    rows = cohort.select(F.xxhash64("_row_id").alias("key"), F.col(f"`{variable}`").cast("double").alias("x"), F.col("time").cast("double").alias("time"), "event").filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    n = rows.count()
+    if n <= TASK_ROWS:
+        least = max(1, math.ceil(min_fraction * n))
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            p = int(pdf.permutation.iloc[0])
+            pdf = pdf.iloc[np.lexsort((pdf.key, mixed(pdf.key.to_numpy(), p, seed).astype(np.int64)))]
+            s = greatest(np.sort(pdf.x.to_numpy()), pdf.time.to_numpy(), pdf.event.to_numpy(int), least)
+            return pd.DataFrame({"s": pd.array([s], dtype="Float64")})
+
+        each = rows.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+        return [r.s for r in each.groupBy("permutation").applyInPandas(one, "s double").collect() if r.s is not None]
+    values = numbered(rows.select("x"), [], [F.col("x")]).select("position", "x")
+    rows, out = written(rows.select("key", "time", "event")), []
+    for p in range(permutations):
+
+        def drawn(batches: Iterator[pd.DataFrame], p: int = p) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.assign(draw=mixed(b.key.to_numpy(), p, seed).astype(np.int64))
+
+        order = numbered(rows.mapInPandas(drawn, "key long, time double, event int, draw long"), [], [F.col("draw"), F.col("key")])
+        s = scan(order.join(values, "position"), "x", min_fraction).agg(F.max("chisq")).first()[0]
+        out += [] if s is None else [s]
+    return out
+
+
+def optimal_cutpoint(cohort: DataFrame, variable: str, min_fraction: float = 0.1, permutations: int = 0, seed: int = 42, lower_label: str = "Low", upper_label: str = "High") -> dict:
     """The cut-point of the greatest statistic (the least one of equals), its labels by survival, and, if asked, the
     permutation p of the maximum, (extreme + 1) / (valid + 1).
 
@@ -145,25 +210,6 @@ def optimal_cutpoint(cohort: DataFrame, variable: str, min_fraction: float = 0.1
     swap = key(True) > key(False)
     out = b | {"p_value": chi2_upper(b["chisq"], 1), "label_above": lower_label if swap else upper_label, "label_below": upper_label if swap else lower_label, "median_above": med[True], "median_below": med[False]}
     if permutations:
-        pdf = cohort.select(F.col(f"`{variable}`").cast("double").alias("x"), "time", "event").dropna().limit(most_rows + 1).toPandas()
-        if len(pdf) > most_rows:
-            raise UserInputError(f"permutations are for at most {most_rows} rows")
-        pdf = pdf.sort_values(["time", "event", "x"])
-        g = pdf.groupby("time").event.agg(["sum", "size"]).reset_index().rename(columns={"sum": "d", "size": "c"})
-        g["n"] = g.c[::-1].cumsum()[::-1]
-        tables = _tables(g)
-        k, x, e, n = np.searchsorted(tables[0], pdf.time), pdf.x.to_numpy(float), pdf.event.to_numpy(int), len(pdf)
-        least, total = max(1, math.ceil(min_fraction * n)), int(e.sum())
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for ids in batches:
-                got = []
-                for i in ids.id:
-                    s = sweep(np.random.default_rng([seed, int(i)]).permutation(x), k, e, tables)
-                    ok = (s["n"] >= least) & (n - s["n"] >= least) & (s["events"] >= 1) & (total - s["events"] >= 1) & (s["v"] > 1e-12)
-                    got.append(float((s["u"][ok] ** 2 / s["v"][ok]).max()) if ok.any() else None)
-                yield pd.DataFrame({"s": pd.array(got, dtype="Float64")})
-
-        stats = [r.s for r in cohort.sparkSession.range(0, permutations, 1, min(permutations, 32)).mapInPandas(run, "s double").collect() if r.s is not None]
+        stats = permutation_statistics(cohort, variable, min_fraction, permutations, seed)
         out["permutation_p"] = (sum(s >= b["chisq"] - 1e-9 for s in stats) + 1) / (len(stats) + 1)
     return out

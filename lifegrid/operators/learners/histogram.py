@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...errors import UserInputError
+from ...functions.stats import mixed
 from ..likelihood import ADDED, EDGE, Edge, added, before, behind
 from .models import Boosted, Forest, Tree, permutation_importance
 
@@ -79,14 +80,9 @@ def added_up(trees: list[Tree], rate: float, codes: np.ndarray) -> np.ndarray:
 
 
 def poisson(key: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """How often each row is drawn for a tree: Poisson weights of mean 1 from a hash (splitmix64)."""
-    with np.errstate(over="ignore"):
-        z = key + np.uint64((0x9E3779B97F4A7C15 * (tree + 1) + 0xD1B54A32D192ED03 * (seed + 1)) % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
+    """How often each row is drawn for a tree: Poisson weights of mean 1 from a hash."""
     below = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
-    return np.searchsorted(below, (z >> np.uint64(11)).astype(float) * 2.0**-53, side="right")
+    return np.searchsorted(below, (mixed(key, tree, seed) >> np.uint64(11)).astype(float) * 2.0**-53, side="right")
 
 
 @dataclass

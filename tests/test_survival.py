@@ -281,7 +281,7 @@ def test_cutpoint_scan_and_permutations(spark):
     rng = np.random.default_rng(4)
     x, t, e = rng.integers(0, 30, 200).astype(float), rng.integers(1, 20, 200), rng.integers(0, 2, 200)
     df = rows(spark, t, e, x=x.tolist())
-    got = {r.cutpoint: r.chisq for r in cutpoint.scan(df, "x", 0.1, blocks=5).collect()}
+    got = {r.cutpoint: r.chisq for r in cutpoint.scan(df, "x", 0.1).collect()}
     for c, v in got.items():
         assert v == pytest.approx(local.logrank(t.astype(float), e, x > c), abs=1e-9)
     assert len(got) >= 20
@@ -538,3 +538,25 @@ def test_pairs_are_keyed_by_position(spark):
         some = np.array([labels[i % 4] in (a, b) for i in range(200)])
         want.append(local.logrank(t[some], np.ones(some.sum()), np.array([labels[i % 4] == a for i in range(200)])[some]))
     assert [p["chisq"] for p in got] == pytest.approx(want)
+
+
+def test_cutpoint_by_ranges(spark, monkeypatch):
+    """Ranges of ten cells, with a value and a time that a third of the rows share, give the naive statistics; permutations at any size
+    are the same ones."""
+    rng = np.random.default_rng(14)
+    n = 250
+    x, t, e = rng.normal(size=n).round(1), rng.integers(1, 25, n).astype(float), rng.integers(0, 2, n)
+    x[::3], t[1::3] = 0.3, 9.0
+    df = rows(spark, t, e, x=x.tolist()).cache()
+    small = {r.cutpoint: tuple(r) for r in cutpoint.scan(df, "x", 0.05).collect()}
+    p = cutpoint.optimal_cutpoint(df, "x", 0.05, permutations=3)["permutation_p"]
+    drawn = sorted(cutpoint.permutation_statistics(df, "x", 0.05, 2, 1))
+    monkeypatch.setattr(timegrid, "RANGE_ROWS", 10)
+    monkeypatch.setattr(cutpoint, "TASK_ROWS", 10)
+    large = {r.cutpoint: tuple(r) for r in cutpoint.scan(df, "x", 0.05).collect()}
+    assert small.keys() == large.keys() and len(small) > 15
+    for c, got in large.items():
+        assert got[5] == pytest.approx(local.logrank(t, e, x > c), rel=1e-9) and got[:5] == small[c][:5]
+        assert got[1:5] == ((x < c).sum(), (x > c).sum(), e[x < c].sum(), e[x > c].sum())
+    assert sorted(cutpoint.permutation_statistics(df, "x", 0.05, 2, 1)) == pytest.approx(drawn, rel=1e-9)
+    assert 0.25 <= p <= 1
