@@ -217,25 +217,6 @@ def ph_tests(df: DataFrame, fitted: CoxFit) -> dict:
     return {"terms": rows, "global": None if combined is None else {"chisq": combined[0], "p_value": combined[1]}}
 
 
-def lowess(x: np.ndarray, y: np.ndarray, frac: float | None = None) -> np.ndarray:
-    """Local linear fits with tricube weights at each sorted x."""
-    n = len(x)
-    frac = min(0.8, max(0.35, 6 / max(n, 1))) if frac is None else frac
-    k = max(2, int(frac * n + 1e-10))
-    out, left = np.empty(n), 0
-    for i in range(n):
-        while left + k < n and x[left + k] - x[i] < x[i] - x[left]:
-            left += 1
-        xs, ys = x[left : left + k], y[left : left + k]
-        width = max(abs(x[i] - xs[0]), abs(xs[-1] - x[i]))
-        w = (1 - np.minimum(np.abs(xs - x[i]) / width, 1) ** 3) ** 3 if width > 0 else np.ones(len(xs))
-        m = (w * xs).sum() / w.sum()
-        v = (w * (xs - m) ** 2).sum()
-        ym = (w * ys).sum() / w.sum()
-        out[i] = ym + (0 if v <= 1e-12 else (w * (xs - m) * ys).sum() / v * (x[i] - m))
-    return out
-
-
 def stability(df: DataFrame, names: list[str], strata: list[str] = ()) -> dict:
     """Constant columns, dummies with events on one side only, levels under 5 rows, events per variable."""
     x = [F.col(f"`{c}`") for c in names]
@@ -256,6 +237,10 @@ def stability(df: DataFrame, names: list[str], strata: list[str] = ()) -> dict:
     return out
 
 
+#: Condition number of the standardised design from which a caution is given.
+MAX_CONDITION = 30.0
+
+
 def narrative(table: list[dict], stats: dict, ph: dict, stable: dict) -> dict:
     """A status and its reasons, from the bounded results."""
     cautions = [f"{c} has events on one side only" for c in stable["one_sided"]] + [f"{c} has a level under 5 rows" for c in stable["small_levels"]]
@@ -263,22 +248,29 @@ def narrative(table: list[dict], stats: dict, ph: dict, stable: dict) -> dict:
     if epv < 10:
         cautions.append(f"{epv:.1f} events per variable" + (" is very low" if epv < 5 else " is low"))
     cautions += [f"the hazard of {r['term']} seems to change over time (p = {r['p_value']:.3g})" for r in ph["terms"] if r["p_value"] is not None and r["p_value"] < 0.05]
+    if stable.get("condition_number", 0) > MAX_CONDITION:
+        cautions.append(f"the covariates are nearly dependent (condition number {stable['condition_number']:.3g})")
     cautions += [f"the interval of {r['term']} is very wide" for r in table if r["ci_lower"] and r["ci_upper"] and r["ci_upper"] / r["ci_lower"] >= 8]
     strong = [r for r in table if r["p_value"] is not None and r["p_value"] < 0.05]
     status = "caution" if epv < 5 or stable["one_sided"] else "review" if cautions else "robust"
     return {"status": status, "strengths": [f"{r['term']}: hazard ratio {r['hazard_ratio']:.3g}, p = {r['p_value']:.3g}" for r in strong if r["hazard_ratio"] is not None], "cautions": cautions}
 
 
-def analyse(df: DataFrame, covariates: list[str], categorical: list[str] = (), strata: list[str] = (), confidence: float = 0.95, resamples: int = 0) -> dict:
-    """The whole Cox request: ratios, statistics, proportional-hazards tests, stability, concordance (unstratified only) with
-    its interval by influence, or by so many resamples if asked."""
+def analyse(df: DataFrame, covariates: list[str], categorical: list[str] = (), strata: list[str] = (), confidence: float = 0.95, resamples: int = 0, panels: bool = True) -> dict:
+    """The whole Cox request: ratios, statistics, proportional-hazards tests, stability, residual panels, concordance (unstratified only)
+    with its interval by influence, or by so many resamples if asked."""
     from .concordance import bootstrap_interval, c_index, jackknife_interval
+    from .encode import condition_number
+    from .trends import martingale_panels, schoenfeld_panels
 
     d, names = design(df, covariates, categorical)
-    stable = stability(d, names, list(strata))
+    stable = stability(d, names, list(strata)) | {"condition_number": condition_number(d, names)}
     fitted = fit(d, names, strata)
     ph, table, stats = ph_tests(d, fitted), fitted.table(confidence), fitted.statistics()
     out = {"fit": fitted, "table": table, "statistics": stats, "ph": ph, "stability": stable, "c_index": None, "c_index_interval": None, "narrative": narrative(table, stats, ph, stable)}
+    if panels:
+        numeric = [c for c in covariates if c in names]
+        out |= {"ph_panels": schoenfeld_panels(d, fitted), "martingale_panels": martingale_panels(d, fitted, numeric)}
     if not strata:
         risk = d.select("_row_id", "time", "event", fitted.linear().alias("risk"))
         out |= {"c_index": c_index(risk), "c_index_interval": bootstrap_interval(risk, resamples, confidence) if resamples else jackknife_interval(risk, confidence)}

@@ -127,6 +127,11 @@ def full_rank(df: DataFrame, names: list[str], tolerance: float = 1e-10) -> list
 
 
 def condition_number(df: DataFrame, names: list[str]) -> float:
-    """Of the design, from its moments; beyond 1e8 only its order of magnitude is meant."""
-    values = np.linalg.eigvalsh(gram(df, names)[1:, 1:])
-    return float(np.sqrt(values[-1] / values[0])) if values[0] > 0 else float("inf")
+    """Of the standardised design, from the eigenvalues of its correlations; infinite for a constant column. Beyond 1e8 only its order of magnitude is meant."""
+    g = gram(df, names)
+    c = g[1:, 1:] / g[0, 0] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0] ** 2
+    sd = np.sqrt(np.maximum(np.diag(c), 0))
+    if not (sd > 0).all():
+        return float("inf")
+    values = np.linalg.eigvalsh(c / np.outer(sd, sd))
+    return float(np.sqrt(values[-1] / values[0])) if values[0] > 1e-16 else float("inf")
