@@ -11,11 +11,14 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import UserInputError
-from ..operators import cohort, cox, cutpoint, explain, grouping, km, profile, report, signature, table_one
+from ..operators import cohort, cox, cutpoint, explain, grouping, km, profile, report, table_one, treeshap
+from ..operators import encode as enc
+from ..operators import signature as signatures
 from ..operators.learners import compare
 from ..operators.learners.deep import deep_models
 from ..operators.learners.models import MODELS
 from ..sources import exports, readers, synthetic
+from ..sources.artifacts import ModelStore, signature
 from ..sources.store import DatasetStore
 
 
@@ -108,7 +111,7 @@ class Service:
     """Datasets and requests of one session."""
 
     def __init__(self, spark: SparkSession, store: DatasetStore | None = None):
-        self.spark, self.store = spark, store or DatasetStore()
+        self.spark, self.store, self.fits = spark, store or DatasetStore(), ModelStore(spark)
 
     def load(self, path: str) -> str:
         return self.store.put(readers.load(self.spark, path), path)
@@ -162,8 +165,8 @@ class Service:
     def discover_signature(self, r: SignatureRequest) -> tuple[str, dict]:
         """The id of a new dataset with the best rule's label, and the search."""
         self._guard(r, r.candidate_columns)
-        got = signature.discover(self._cohort(r, r.candidate_columns).df, r.candidate_columns, r.max_combination_size, r.top_k, r.min_group_fraction, r.operator, r.bootstrap_iterations, r.permutation_iterations, r.validation_iterations)
-        df = signature.apply_rule(self.store.get(r.dataset_id).df, got, 0, "signature_group")
+        got = signatures.discover(self._cohort(r, r.candidate_columns).df, r.candidate_columns, r.max_combination_size, r.top_k, r.min_group_fraction, r.operator, r.bootstrap_iterations, r.permutation_iterations, r.validation_iterations)
+        df = signatures.apply_rule(self.store.get(r.dataset_id).df, got, 0, "signature_group")
         key = self.store.derive(r.dataset_id, df, "signature_group", {"rule": got["rules"][0]["rule"], "outcome_informed": True})
         return key, got | {"narrative": report.signature_narrative(got)}
 
@@ -199,8 +202,13 @@ class Service:
     def fitted(self, r: ModelRequest, model: str):
         self._guard(r, r.features)
         df = self._cohort(r, r.features, drop=False).df
-        data = compare.prepare(df, r.features, r.categorical_features, r.seed)
-        return df, data, compare.train(data, model, seed=r.seed, **self._how(r))[0]
+        key = signature(data=self.store.get(r.dataset_id).hash, model=model, request=asdict(r))
+        kept = self.fits.get(key)
+        if kept is None:
+            data = compare.prepare(df, r.features, r.categorical_features, r.seed)
+            kept = data, compare.train(data, model, seed=r.seed, **self._how(r))[0]
+            self.fits.put(key, kept)
+        return df, *kept
 
     def partial_dependence(self, r: ModelRequest, model: str, feature: str, points: int = 50) -> list[dict]:
         _, data, got = self.fitted(r, model)
@@ -211,7 +219,10 @@ class Service:
         return explain.counterfactual(got, df, data, feature, original, changed)
 
     def shap(self, r: ModelRequest, model: str) -> list[dict]:
-        _, data, got = self.fitted(r, model)
+        """Mean absolute Shapley values: by the trees where the model has some, over all rows; else by coalitions."""
+        df, data, got = self.fitted(r, model)
+        if hasattr(got, "trees"):
+            return treeshap.mean_contributions(enc.encode(df, data.encoder, ["_row_id"]), got, data.names)
         return explain.kernel_shap(got, data, seed=r.seed)
 
     def time_slice_importance(self, r: ModelRequest, times: list[float] | None = None) -> DataFrame:
