@@ -17,7 +17,7 @@ from ..operators import signature as signatures
 from ..operators.learners import compare
 from ..operators.learners.deep import deep_models
 from ..operators.learners.models import MODELS
-from ..sources import exports, readers, synthetic
+from ..sources import bundled, exports, readers, synthetic
 from ..sources.artifacts import ModelStore, signature
 from ..sources.store import DatasetStore
 
@@ -119,6 +119,13 @@ class Service:
     def load_example(self, n: int = 360, seed: int = 42) -> str:
         return self.store.put(synthetic.make_cohort(self.spark, n, seed), "synthetic")
 
+    def load_bundled(self, name: str, folder: str | None = None) -> str:
+        return self.store.put(bundled.load(self.spark, name, folder), name)
+
+    def load_bytes(self, content: bytes, name: str) -> str:
+        """An uploaded file; the kind follows from its name."""
+        return self.store.put(readers.load_bytes(self.spark, content, name), name)
+
     def profile(self, dataset_id: str) -> dict:
         s = self.store.get(dataset_id)
         return profile.profile(s.df) | {"dataset_id": dataset_id, "hash": s.hash, "derived": s.derived}

@@ -34,6 +34,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_file(spark: SparkSession, content: bytes, suffix: str) -> str:
+    """The path of a new file of these bytes."""
+    folder = f"{shared_dir(spark)}/file-{uuid.uuid4().hex[:16]}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/content{suffix}")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    _written.append((spark, folder))
+    return at.toString()
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import DependencyError, NotFoundError, UserInputError
+from ..scratch import new_file
 
 DELIMITED = (".csv", ".tsv", ".txt")
 
@@ -94,3 +95,17 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     if not df.limit(1).count():
         raise UserInputError("The table has no rows.")
     return df
+
+
+#: Bytes of an upload. Fixed value.
+MAX_UPLOAD = 200 * 1024 * 1024
+
+
+def load_bytes(spark: SparkSession, content: bytes, name: str) -> DataFrame:
+    """A table from an uploaded file's bytes, whose kind follows from its name; it is written below the shared folder, so that tasks can read it."""
+    if not content.strip():
+        raise UserInputError("The file is empty.")
+    if len(content) > MAX_UPLOAD:
+        raise UserInputError(f"The file is larger than {MAX_UPLOAD // 1024**2} MB.")
+    suffix = os.path.splitext(os.path.basename(name))[1].lower()
+    return load(spark, new_file(spark, content, suffix))
