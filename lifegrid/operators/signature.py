@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from ..errors import UserInputError
 from ..functions.levels import ordered_levels
 from ..functions.stats import chi2_upper, normal_quantile
+from ..scratch import written
 from . import local
+from .patterns import Patterns
 from .profile import is_number
 
 MAX_RULES = 5000
 MAX_LEVELS = 8
-MAX_INDICATORS = 62
-MAX_CELLS = 2_000_000
+#: Cells and indicators up to which tasks get all cells and share out the rules; larger searches share out the cells (``patterns``).
+TASK_CELLS, TASK_INDICATORS = 2_000_000, 62
 
 
 @dataclass(frozen=True)
@@ -74,16 +76,17 @@ def rules(found: list[Indicator], size: int, operator: str = "mixed") -> list[tu
     return out
 
 
-def cells(cohort: DataFrame, found: list[Indicator]) -> pd.DataFrame:
-    """time, event, bits, k. Rows with a null in any candidate column are left out."""
-    if len(found) > MAX_INDICATORS:
-        raise UserInputError(f"at most {MAX_INDICATORS} indicators; choose fewer candidate columns")
+def cells(cohort: DataFrame, found: list[Indicator]) -> pd.DataFrame | None:
+    """time, event, bits, k, or None where they are too many for a task. Rows with a null in any candidate column are left out."""
+    if len(found) > TASK_INDICATORS:
+        return None
     bits = F.lit(0).cast("long")
     for i, x in enumerate(found):
         bits = bits + F.when(x.test(), F.lit(1 << i).cast("long")).otherwise(F.when(x.test().isNotNull(), F.lit(0).cast("long")))
     t = cohort.select("time", "event", bits.alias("bits")).filter(F.col("bits").isNotNull()).groupBy("time", "event", "bits").agg(F.count(F.lit(1)).alias("k"))
-    if t.limit(MAX_CELLS + 1).count() > MAX_CELLS:
-        raise UserInputError("too many distinct cells; round the times or choose fewer candidates")
+    t = written(t)
+    if t.count() > TASK_CELLS:
+        return None
     return t.orderBy("time", "event", "bits").toPandas()
 
 
@@ -180,8 +183,9 @@ def is_significant(row: dict, how: dict) -> bool:
     return bool(ok)
 
 
-def rule_table(cohort: DataFrame, columns: list[str], size: int = 2, min_fraction: float = 0.1, operator: str = "mixed") -> tuple[DataFrame, list[Indicator], list, pd.DataFrame, int]:
-    """The scored rules: rule_id, rule, n_in, events_in, n_out, events_out, chisq, p_value, medians."""
+def rule_table(cohort: DataFrame, columns: list[str], size: int = 2, min_fraction: float = 0.1, operator: str = "mixed") -> tuple[DataFrame, list[Indicator], list, pd.DataFrame | Patterns, int]:
+    """The scored rules: rule_id, rule, n_in, events_in, n_out, events_out, chisq, p_value, medians; and what they were scored on, cells or
+    ``Patterns``, which the caller releases."""
     if not 1 <= size <= 4 or not 0.02 <= min_fraction <= 0.45:
         raise UserInputError("rules have 1 to 4 parts and a group fraction between 0.02 and 0.45")
     whole = cohort.dropna(subset=columns)
@@ -193,6 +197,12 @@ def rule_table(cohort: DataFrame, columns: list[str], size: int = 2, min_fractio
         raise UserInputError("no candidate indicator has enough rows on both sides")
     c = cells(whole, found)
     spark = cohort.sparkSession
+    schema = "rule_id long, n_in long, events_in long, n_out long, events_out long, chisq double, p_value double, median_in double, median_out double"
+    names = spark.createDataFrame([(i, f" {op} ".join(found[j].label for j in combo), len(combo)) for i, (combo, op) in enumerate(todo)], "rule_id long, rule string, size int")
+    if c is None:
+        c = Patterns(whole, [x.test() for x in found])
+        rows = [tuple(r.values()) for r in c.score(todo, least, least_events)]
+        return spark.createDataFrame(rows, schema).join(F.broadcast(names), "rule_id"), found, todo, c, least
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -200,8 +210,7 @@ def rule_table(cohort: DataFrame, columns: list[str], size: int = 2, min_fractio
             yield pd.DataFrame(rows, columns=["rule_id", "n_in", "events_in", "n_out", "events_out", "chisq", "p_value", "median_in", "median_out"])
 
     parts = max(1, min(64, len(todo) // 16))
-    got = spark.range(0, len(todo), 1, parts).mapInPandas(run, "rule_id long, n_in long, events_in long, n_out long, events_out long, chisq double, p_value double, median_in double, median_out double")
-    names = spark.createDataFrame([(i, f" {op} ".join(found[j].label for j in combo), len(combo)) for i, (combo, op) in enumerate(todo)], "rule_id long, rule string, size int")
+    got = spark.range(0, len(todo), 1, parts).mapInPandas(run, schema)
     return got.join(F.broadcast(names), "rule_id"), found, todo, c, least
 
 
@@ -225,9 +234,18 @@ def discover(cohort: DataFrame, columns: list[str], size: int = 2, top_k: int =
             yield pd.DataFrame([resample_rule(c, int(i), *todo[int(i)], how) for i in b.rule_id])
 
     spark = cohort.sparkSession
+    if isinstance(c, Patterns):
+        more = c.resample([(r["rule_id"], todo[r["rule_id"]]) for r in chosen], how)
+        c.release()
+        return ranked(rows, chosen, more, how, top_k, found, todo)
     ids = spark.createDataFrame([(r["rule_id"],) for r in chosen], "rule_id long").repartition(max(1, min(64, len(chosen))), "rule_id")
     schema = "rule_id long, hazard_ratio double, ci_lower double, ci_upper double, bootstrap_support double, direction double, bootstrap_skipped long, validation_support double, validation_skipped long, permutation_p double"
     more = {r.rule_id: r.asDict() for r in ids.mapInPandas(run, schema).collect()}
+    return ranked(rows, chosen, more, how, top_k, found, todo)
+
+
+def ranked(rows: list[dict], chosen: list[dict], more: dict[int, dict], how: dict, top_k: int, found: list[Indicator], todo: list) -> dict:
+    """The result of a search from the scored rules, the chosen ones and what resampling says of these."""
     for r in chosen:
         r |= {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in more[r["rule_id"]].items()}
         r["stability"] = stability_score(r, r["size"])
