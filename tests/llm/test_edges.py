@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lifegrid.llm import linededup, mixing, neardup, neighbours, outliers, privacy, quality, sentencepieces, tokencount, tokenfiles
+from lifegrid.llm import alignment, linededup, merkle, mixing, neardup, neighbours, outliers, privacy, quality, sentencepieces, tokencount, tokenfiles
 
 ROWS = [
     (1, "same text of six words here", "en", "src1"), (1, "same text of six words here", "en", "src1"), (2, "same text of six words here", "en", "src1"),
@@ -62,6 +62,8 @@ def test_own_results(spark, odd):
     assert ids(privacy.find_private(odd)) == every
     assert ids(neardup.near_duplicates(odd)) == every
     assert ids(tokenfiles.token_files(odd)) == every
+    assert ids(alignment.align_documents(odd)) == every
+    assert ids(merkle.manifest(odd, merkle.tampered_text()).verified()) == every
     vectors = odd.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("n_chars").cast("double")).alias("embedding"), "`a.b`", "r1", F.lit(1).alias("v"), F.lit(2).alias("dim"))
     found = neighbours.nearest(vectors, vectors.filter("vec_id = 1")).collect()
     assert {r.query_id for r in found} == {1} and [r.vec_id for r in sorted(found, key=lambda r: r["rank"])][:2] == [1, 2]
