@@ -1,7 +1,8 @@
 """Tables written once below the folder that driver and executors share, so that nothing behind them is computed twice.
 
 The folder is the session's ``spark.checkpoint.dir``. Where that is unset, which a local master alone may do, a
-temporary one is made. Written tables survive lost executors and hold no storage memory; they go when the driver's Python ends.
+temporary one is made. Written tables survive lost executors and hold no storage memory; they go when the driver's Python ends, or at the end of a
+``released`` block.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,11 +50,27 @@ def new_file(spark: SparkSession, content: bytes, suffix: str) -> str:
     return at.toString()
 
 
+def clear(since: int = 0) -> None:
+    """Removes what has been written, or what has been since so many tables were; results that still read it can't be computed after that."""
+    for spark, path in _written[since:]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[since:]
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Removes, at the end of the block, what was written in it: for results that are collected or stored by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        clear(before)
+
+
 @atexit.register
 def _remove() -> None:
-    for spark, path in _written:
-        try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may be gone by now
-            return
+    try:
+        clear()
+    except Exception:  # the JVM may be gone by now
+        return

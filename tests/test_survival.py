@@ -524,6 +524,20 @@ def test_nothing_stays_in_storage(spark):
     assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= before
 
 
+def test_written_grids_go(spark):
+    from lifegrid import scratch
+
+    df = rows(spark, range(1, 21), [1, 0] * 10)
+    before = len(scratch._written)
+    with scratch.released():
+        assert km.summary(df, []).first().n == 20
+        folder = scratch._written[-1][1].removeprefix("file://")
+        import os
+
+        assert len(scratch._written) > before and os.path.isdir(folder)
+    assert len(scratch._written) == before and not os.path.exists(folder)
+
+
 def test_pairs_are_keyed_by_position(spark):
     """Groups whose names read like pairs keep their own statistics."""
     labels = ["a", "b vs c", "a vs b", "c"]
