@@ -106,7 +106,16 @@ def fit(df: DataFrame, names: list[str], strata: list[str] = (), max_iter: int =
         raise UserInputError("a column can't be both a covariate and a stratum")
     if not names:
         raise UserInputError("choose at least one covariate")
-    cols, p = [F.col(f"`{c}`").cast("double") for c in names], len(names)
+    keep = ["_row_id"] if "_row_id" in df.columns and "_row_id" not in (*names, *strata) else []
+    slim = df.select(*keep, *[F.col(f"`{s}`") for s in strata], "time", "event", *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).persist()  # read for the moments and for the sort
+    try:
+        return fit_rows(slim, names, strata, max_iter, tol, cells)
+    finally:
+        slim.unpersist()
+
+
+def fit_rows(df: DataFrame, names: list[str], strata: list[str], max_iter: int, tol: float, cells: int | None) -> CoxFit:
+    cols, p = [F.col(f"`{c}`") for c in names], len(names)
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     if not r.e:
         raise UserInputError("The cohort has no events.")
