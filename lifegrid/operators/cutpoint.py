@@ -101,9 +101,14 @@ def pair_sums(cells: DataFrame, cuts: tuple[list[float], list[float]]) -> DataFr
     return x.select("x", "time", (zero("s") + zero("s2") + zero("early") + F.col("w") * zero("late")).alias("s"))
 
 
-def statistics(rows: DataFrame) -> DataFrame:
-    """below, x, n, events and chisq of the rows of at least each value x (columns x, time and event); below is the next lower value."""
-    cells = written(rows.groupBy(F.col("x").cast("double").alias("x"), F.col("time").cast("double").alias("time")).agg(F.count(F.lit(1)).alias("k"), F.sum("event").cast("long").alias("e")))
+def cells_of(cohort: DataFrame, variable: str) -> DataFrame:
+    """x, time, k (rows) and e (events) of the distinct (x, time) with a numeric x, as a written table: the one reading of the cohort."""
+    rows = cohort.select(F.col(f"`{variable}`").cast("double").alias("x"), F.col("time").cast("double").alias("time"), "event").filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    return written(rows.groupBy("x", "time").agg(F.count(F.lit(1)).alias("k"), F.sum("event").cast("long").alias("e")))
+
+
+def statistics(cells: DataFrame) -> DataFrame:
+    """below, x, n, events and chisq of the rows of at least each value x, from ``cells_of``; below is the next lower value."""
     g = at_risk(cells.groupBy("time").agg(F.sum("e").alias("d"), F.sum("k").alias("c")), [])
     d, n = F.col("d"), F.col("n").cast("double")
     v = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(0.0)
@@ -125,15 +130,23 @@ def statistics(rows: DataFrame) -> DataFrame:
 def scan(cohort: DataFrame, variable: str, min_fraction: float = 0.1) -> DataFrame:
     """cutpoint, n_below, n_above, events_below, events_above, chisq for every midpoint of neighbouring values that leaves the
     least fraction of rows and an event on either side."""
+    check_fraction(min_fraction)
+    return scan_cells(cells_of(cohort, variable), variable, min_fraction)
+
+
+def check_fraction(min_fraction: float) -> None:
     if not 0.02 <= min_fraction <= 0.45:
         raise UserInputError("the least group fraction is between 0.02 and 0.45")
-    rows = cohort.select(F.col(f"`{variable}`").cast("double").alias("x"), "time", "event").filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e")).first()
+
+
+def scan_cells(cells: DataFrame, variable: str, min_fraction: float) -> DataFrame:
+    """``scan`` of the cells of ``cells_of``."""
+    size = cells.agg(F.sum("k").alias("n"), F.sum("e").alias("e")).first()
     if not size.n:
         raise UserInputError(f'"{variable}" has no numeric values')
     n, e = F.lit(size.n), F.lit(size.e)
     least = max(1, math.ceil(min_fraction * size.n))
-    s = statistics(rows).filter((F.col("n") >= least) & (n - F.col("n") >= least) & (F.col("events") >= 1) & (e - F.col("events") >= 1))
+    s = statistics(cells).filter((F.col("n") >= least) & (n - F.col("n") >= least) & (F.col("events") >= 1) & (e - F.col("events") >= 1))
     whole = {"n_below": n - F.col("n"), "n_above": F.col("n"), "events_below": e - F.col("events"), "events_above": F.col("events")}
     return s.select(((F.col("x") + F.col("below")) / 2).alias("cutpoint"), *[c.cast("long").alias(k) for k, c in whole.items()], "chisq")
 
@@ -160,7 +173,7 @@ def greatest(x: np.ndarray, t: np.ndarray, e: np.ndarray, least: int) -> float |
 def permutation_statistics(cohort: DataFrame, variable: str, min_fraction: float, permutations: int, seed: int) -> list[float]:
     """The greatest statistic of each permutation that has a cut. A permutation orders the rows by a hash of their ids and gives the values, in
     their own order, to the rows in that one: the same one at any size and on any partitions."""
-    rows = cohort.select(F.xxhash64("_row_id").alias("key"), F.col(f"`{variable}`").cast("double").alias("x"), F.col("time").cast("double").alias("time"), "event").filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    rows = written(cohort.select(F.xxhash64("_row_id").alias("key"), F.col(f"`{variable}`").cast("double").alias("x"), F.col("time").cast("double").alias("time"), "event").filter(F.col("x").isNotNull() & ~F.isnan("x")))
     n = rows.count()
     if n <= TASK_ROWS:
         least = max(1, math.ceil(min_fraction * n))
@@ -174,7 +187,7 @@ def permutation_statistics(cohort: DataFrame, variable: str, min_fraction: float
         each = rows.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
         return [r.s for r in each.groupBy("permutation").applyInPandas(one, "s double").collect() if r.s is not None]
     values = numbered(rows.select("x"), [], [F.col("x")]).select("position", "x")
-    rows, out = written(rows.select("key", "time", "event")), []
+    rows, out = rows.select("key", "time", "event"), []
     for p in range(permutations):
 
         def drawn(batches: Iterator[pd.DataFrame], p: int = p) -> Iterator[pd.DataFrame]:
@@ -198,14 +211,16 @@ def optimal_cutpoint(cohort: DataFrame, variable: str, min_fraction: float = 0.1
 
     if not 0 <= permutations <= 500:
         raise UserInputError("at most 500 permutations")
-    best = scan(cohort, variable, min_fraction).orderBy(F.desc(F.round("chisq", 9)), "cutpoint").limit(1).collect()
+    check_fraction(min_fraction)
+    cells = cells_of(cohort, variable)
+    best = scan_cells(cells, variable, min_fraction).orderBy(F.desc(F.round("chisq", 9)), "cutpoint").limit(1).collect()
     if not best:
         raise UserInputError(f'"{variable}" has no cut-point with enough rows and events on both sides')
     b = best[0].asDict()
-    side = cohort.select("time", "event", (F.col(f"`{variable}`") > b["cutpoint"]).alias("side")).filter(F.col("side").isNotNull())
-    med = {r.side: r.median for r in km.summary(side, ["side"]).collect()}
-    ends = min(r[0] for r in side.groupBy("side").agg(F.max("time")).select("max(time)").collect())
-    area = {r.side: r.rmst for r in km.rmst(side, ["side"], ends).collect()}
+    sides = kept(cells.groupBy((F.col("x") > b["cutpoint"]).alias("side"), "time").agg(F.sum("e").alias("d"), F.sum("k").alias("c")), ["side"])
+    med = {r.side: r.median for r in km.summary_of(sides, ["side"]).collect()}
+    ends = min(r[0] for r in sides.groupBy("side").agg(F.max("time")).select("max(time)").collect())
+    area = {r.side: r.rmst for r in km.rmst_of(sides, ["side"], ends).collect()}
     key = lambda s: (math.inf if med[s] is None else med[s], area[s] if med[True] is None and med[False] is None else 0.0)
     swap = key(True) > key(False)
     out = b | {"p_value": chi2_upper(b["chisq"], 1), "label_above": lower_label if swap else upper_label, "label_below": upper_label if swap else lower_label, "median_above": med[True], "median_below": med[False]}

@@ -49,8 +49,13 @@ def step_curve(cohort: DataFrame, groups: list[str], horizon: float, confidence:
 def summary(cohort: DataFrame, groups: list[str], confidence: float = 0.95) -> DataFrame:
     """groups, n, events, censored, median and its log-log limits. The median is the first event time with survival below
     one half, null if never; its limits are the least and greatest times whose log-log statistic is within z."""
+    return summary_of(grid(cohort, groups), groups, confidence)
+
+
+def summary_of(g: DataFrame, groups: list[str], confidence: float = 0.95) -> DataFrame:
+    """``summary`` of a time grid."""
     z = normal_quantile(0.5 + confidence / 2)
-    s = survival(grid(cohort, groups), groups)
+    s = survival(g, groups)
     events = F.col("d") > 0
     g0 = math.log(-math.log(0.5))
     inner = (F.col("surv") > 0) & (F.col("surv") < 1) & (F.col("gw") > 0)
@@ -102,9 +107,15 @@ def rmst(cohort: DataFrame, groups: list[str], horizon: float, confidence: float
     variance = sum over event times t of (area from t on)^2 d / (n (n - d)); null where a risk set is exhausted
     before the horizon, and then se and limits are null for every group. Limits are kept within [0, horizon].
     """
+    return rmst_of(grid(cohort, groups), groups, horizon, confidence)
+
+
+def rmst_of(g: DataFrame, groups: list[str], horizon: float, confidence: float = 0.95) -> DataFrame:
+    """``rmst`` of a time grid."""
     tau = F.lit(float(horizon))
     # only event times before the horizon change the curve within it
-    s = survival(grid(cohort, groups), groups)
+    s = survival(g, groups)
+    every = s.select(*groups).distinct() if groups else None
     s = like(s, s.filter((F.col("d") > 0) & (F.col("time") <= tau)))
     # the area from t on is (tau - t) surv(t) less (tau - u) times the drop at each later u
     drop = (tau - F.col("time")) * (F.col("surv_before") - F.col("surv"))
@@ -112,7 +123,6 @@ def rmst(cohort: DataFrame, groups: list[str], horizon: float, confidence: float
     tail = (tau - F.col("time")) * F.col("surv") - (F.col("_drops") - drop)
     term = F.when(F.col("n") > F.col("d"), F.pow(tail, F.lit(2.0)) * F.col("d") / (F.col("n").cast("double") * (F.col("n") - F.col("d"))))
     est = s.groupBy(*groups).agg((tau - F.sum(drop)).alias("rmst"), F.when(F.min(F.col("n") - F.col("d")) > 0, F.sum(term)).alias("variance"))
-    every = cohort.select(*groups).distinct() if groups else None
     if every is not None:  # a group without events before the horizon keeps the whole area, without variance 0
         est = every.join(est, groups, "left").withColumns({"variance": F.when(F.col("rmst").isNull(), 0.0).otherwise(F.col("variance")), "rmst": F.coalesce("rmst", tau)})
     hole = F.max(F.col("variance").isNull().cast("int")).over(Window.partitionBy(F.lit(1)))

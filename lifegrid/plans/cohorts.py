@@ -33,10 +33,10 @@ def order_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ship_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days from order to shipment; the event is a return."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_discount")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", (F.col("l_returnflag") == "R").cast("int").alias("event"), "l_linestatus", "l_quantity", "l_discount")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    return both.select(F.datediff("l_shipdate", "o_orderdate").cast("double").alias("time"), (F.col("l_returnflag") == "R").cast("int").alias("event"), "l_linestatus", "o_orderpriority", "l_quantity", "l_discount").filter("time > 0")
+    return both.select(F.datediff("l_shipdate", "o_orderdate").cast("double").alias("time"), "event", "l_linestatus", "o_orderpriority", "l_quantity", "l_discount").filter("time > 0")
 
 
 def conversion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -574,3 +574,29 @@ def test_cutpoint_by_ranges(spark, monkeypatch):
         assert got[1:5] == ((x < c).sum(), (x > c).sum(), e[x < c].sum(), e[x > c].sum())
     assert sorted(cutpoint.permutation_statistics(df, "x", 0.05, 2, 1)) == pytest.approx(drawn, rel=1e-9)
     assert 0.25 <= p <= 1
+
+
+def counted_rows(spark, df):
+    """df and an accumulator of how many of its rows have been read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(watch, df.schema), seen
+
+
+def test_optimal_cutpoint_reads_the_cohort_once(spark):
+    rng = np.random.default_rng(9)
+    n = 400
+    x, t, e = rng.integers(0, 30, n), rng.integers(1, 60, n), rng.integers(0, 2, n)
+    df = rows(spark, t, e, x=(x + 0.0).tolist()).cache()
+    watched, seen = counted_rows(spark, df)
+    got = cutpoint.optimal_cutpoint(watched, "x")
+    assert seen.value == n
+    side = df.withColumn("side", F.col("x") > got["cutpoint"])
+    med = {r.side: r.median for r in km.summary(side, ["side"]).collect()}
+    assert (got["median_above"], got["median_below"]) == (med[True], med[False])
+    assert cutpoint.optimal_cutpoint(watched, "x", permutations=3) | {"permutation_p": 0} == got | {"permutation_p": 0} and seen.value == 3 * n  # once more for the permutations
