@@ -16,8 +16,9 @@ from pyspark.sql.window import Window
 from ..errors import UserInputError
 from ..functions.levels import ordered_levels
 from ..functions.stats import chi2_upper, fisher_combined, normal_quantile, normal_two_sided, student_two_sided
+from ..scratch import written
 from .likelihood import Sorted
-from .timegrid import by, kept, like, range_cuts, range_number, running
+from .timegrid import beside, by, kept, like, range_cuts, range_number, running
 
 STAGE_COLUMNS = {"stage", "stage_group", "pathologic_stage"}
 
@@ -167,19 +168,24 @@ def baseline_hazard(df: DataFrame, fitted: CoxFit) -> DataFrame:
     xs = [f"xbar{i}" for i in range(len(names))]
     g = running(kept(g, strata), strata, {"s0": F.col("w"), **{x: F.col(f"wx{i}") for i, x in enumerate(xs)}}, back=True)
     g = like(g, g.withColumns({"hazard": F.col("d") / F.col("s0"), **{x: F.col(x) / F.col("s0") for x in xs}}))
-    return running(g, strata, {"cumulative_hazard": F.col("hazard")}).select(*strata, "time", "d", "s0", *xs, "hazard", "cumulative_hazard")
+    g = running(g, strata, {"cumulative_hazard": F.col("hazard")})
+    return like(g, g.select(*strata, "time", "d", "s0", *xs, "hazard", "cumulative_hazard"))
 
 
 def martingale_residuals(df: DataFrame, fitted: CoxFit) -> DataFrame:
     """df with residual = event - cumulative hazard at its time * exp(x b); every row's time is on the grid."""
-    base = baseline_hazard(df, fitted).select(*fitted.strata, "time", "cumulative_hazard")
-    return df.join(base, [*fitted.strata, "time"]).withColumn("residual", F.col("event") - F.col("cumulative_hazard") * F.exp(fitted.linear())).drop("cumulative_hazard")
+    base = baseline_hazard(df, fitted)
+    base = like(base, base.select(*fitted.strata, "time", "cumulative_hazard"))
+    return df.join(beside(base), [*fitted.strata, "time"]).withColumn("residual", F.col("event") - F.col("cumulative_hazard") * F.exp(fitted.linear())).drop("cumulative_hazard")
 
 
 def schoenfeld(df: DataFrame, fitted: CoxFit) -> DataFrame:
     """Event rows with scaled residuals r0.. = number of events * covariance * (x - risk set mean)."""
-    base = baseline_hazard(df, fitted)
-    ev = df.filter(F.col("event") == 1).join(base, [*fitted.strata, "time"])
+    return residuals(df, fitted, baseline_hazard(df, fitted), ["_row_id", "time"])
+
+
+def residuals(df: DataFrame, fitted: CoxFit, base: DataFrame, keep: list[str]) -> DataFrame:
+    ev = df.filter(F.col("event") == 1).join(beside(base), [*fitted.strata, "time"])
     raw = [F.col(f"`{c}`") - F.col(f"xbar{i}") for i, c in enumerate(fitted.names)]
     scaled = []
     for i in range(len(raw)):
@@ -187,31 +193,43 @@ def schoenfeld(df: DataFrame, fitted: CoxFit) -> DataFrame:
         for j, x in enumerate(raw):
             s = s + float(fitted.cov[i, j] * fitted.events) * x
         scaled.append(s.alias(f"r{i}"))
-    return ev.select("_row_id", "time", *scaled)
+    return ev.select(*keep, *scaled)
 
 
 def average_ranks(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, part, v and rank, the average rank of each value v of each key, from counts of its ranges (part) and counts within
-    a range; no task holds more than a range."""
-    counts = df.groupBy(*keys, "part", "v").agg(F.count(F.lit(1)).alias("k"))
-    sizes = counts.groupBy(*keys, "part").agg(F.sum("k").alias("size"))
-    starts = sizes.select(*keys, "part", (F.sum("size").over(by(keys).orderBy("part")) - F.col("size")).alias("start"))
-    within = F.sum("k").over(Window.partitionBy(*keys, "part").orderBy("v"))
+    """df plus rank, the average rank of the row's v among those of its keys, from counts of ranges (part) and places within
+    a range; no task holds more than a range. An odd range has one value, so its rows share a rank and aren't brought together."""
+    sizes = df.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.select(*keys, "part", "size", (F.sum("size").over(by(keys).orderBy("part")) - F.col("size")).alias("start"))
     # at most 2 * MAX_RANGES rows a key
-    return counts.join(F.broadcast(starts), [*keys, "part"]).select(*keys, "part", "v", (F.col("start") + within - (F.col("k") - 1) / 2.0).alias("rank"))
+    x, odd = df.join(F.broadcast(starts), [*keys, "part"]), F.col("part") % 2 == 1
+    order = Window.partitionBy(*keys, "part").orderBy("v")
+    upto = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = x.filter(~odd).withColumn("rank", F.col("start") + (F.rank().over(order) + upto) / 2.0)
+    return inside.unionByName(x.filter(odd).withColumn("rank", F.col("start") + (F.col("size") + 1) / 2.0)).drop("size", "start")
+
+
+def time_ranks(base: DataFrame, strata: list[str]) -> DataFrame:
+    """time and rt, the average rank of an event at that time among all events, from the grid of ``baseline_hazard``."""
+    d = base.filter(F.col("d") > 0)
+    for s in strata:
+        d = d.filter(F.col(f"`{s}`").isNotNull())
+    g = running(kept(d.groupBy("time").agg(F.sum("d").alias("d")), []), [], {"upto": F.col("d")})
+    return like(g, g.select("time", (F.col("upto") - (F.col("d") - 1) / 2.0).alias("rt")))
 
 
 def ph_tests(df: DataFrame, fitted: CoxFit) -> dict:
     """Spearman's correlation of scaled residuals with time for each term (at least 4 events), and Fisher's combination. Times
-    are ranked once, the residuals of all terms together."""
+    are ranked on their grid, the residuals of all terms together."""
     terms = range(len(fitted.names))
-    res = schoenfeld(df, fitted).select("time", *[F.round(f"r{i}", 12).alias(f"r{i}") for i in terms]).persist()
-    times, *cuts = range_cuts(res, ["time", *[f"r{i}" for i in terms]], fitted.events)
-    timed = res.withColumns({"v": F.col("time").cast("double"), "part": range_number(F.col("time"), times)})
-    timed = timed.join(average_ranks(timed, []).withColumnRenamed("rank", "rt"), ["part", "v"])
-    parts = timed.select("rt", *[F.struct(F.lit(i).alias("term"), range_number(F.col(f"r{i}"), cuts[i]).alias("part"), F.col(f"r{i}").alias("v")).alias(f"x{i}") for i in terms])
-    long = parts.select("rt", F.explode(F.array(*[f"x{i}" for i in terms])).alias("x")).select("rt", "x.*")
-    both = long.join(average_ranks(long, ["term"]).withColumnRenamed("rank", "rr"), ["term", "part", "v"])
+    slim = written(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*fitted.strata, "time", "event", *fitted.names])]))
+    base = baseline_hazard(slim, fitted)
+    base = like(base, base.join(beside(time_ranks(base, fitted.strata)), "time"))
+    res = residuals(slim, fitted, base, ["rt"]).select("rt", *[F.round(f"r{i}", 12).alias(f"r{i}") for i in terms]).persist()
+    cuts = range_cuts(res, [f"r{i}" for i in terms], fitted.events)
+    parts = res.select("rt", *[range_number(F.col(f"r{i}"), cuts[i]).alias(f"p{i}") for i in terms], *[f"r{i}" for i in terms])
+    x = F.explode(F.array(*[F.struct(F.lit(i).alias("term"), F.col(f"p{i}").alias("part"), F.col(f"r{i}").alias("v")) for i in terms])).alias("x")
+    both = average_ranks(parts.select("rt", x).select("rt", "x.*").filter(F.col("v").isNotNull()), ["term"]).withColumnRenamed("rank", "rr")
     found = {r.term: r for r in both.groupBy("term").agg(F.corr("rt", "rr").alias("rho"), F.count(F.lit(1)).alias("n"), F.min("rr").alias("lo"), F.max("rr").alias("hi")).collect()}
     res.unpersist()
     rows = []

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,10 +33,23 @@ def range_cuts(df: DataFrame, columns: list[str], rows: int | None = None) -> li
     return [sorted({float(x) for x in got[f"q{i}"] or []}) for i in range(len(columns))]
 
 
+#: Cuts up to which a range is found by comparisons in the plan.
+PLAN_CUTS = 16
+
+
 def range_number(value: Column, cuts: list[float]) -> Column:
     """Twice the cuts below the value, one more at a cut itself: a value that many rows share is a range of its own. A
-    balanced tree of comparisons."""
+    balanced tree of comparisons; more cuts are searched in tasks, so that plans don't grow with them."""
     v = value.cast("double")
+    if len(cuts) > PLAN_CUTS:
+        at = np.array(cuts)
+
+        @F.pandas_udf("int")
+        def searched(x: pd.Series) -> pd.Series:
+            v = x.to_numpy(float)  # a null is behind all cuts, as a NaN is
+            return pd.Series((np.searchsorted(at, v) + np.searchsorted(at, v, "right")).astype(np.int32))
+
+        return searched(v)
 
     def among(low: int, high: int) -> Column:
         if low == high:
@@ -109,11 +124,17 @@ def is_small(g: DataFrame) -> bool:
 
 def like(g: DataFrame, new: DataFrame) -> DataFrame:
     """new, made of g by columns and filters alone, with what is known of the size of g's groups."""
-    if hasattr(g, "_most_times"):
-        new._most_times = g._most_times
+    for known in ("_rows", "_most_times"):
+        if hasattr(g, known):
+            setattr(new, known, getattr(g, known))
     return new
 
 
+def beside(g: DataFrame) -> DataFrame:
+    """g for a join with rows by time: sent to all tasks where it is known to have at most RANGE_ROWS rows."""
+    return F.broadcast(g) if getattr(g, "_rows", RANGE_ROWS + 1) <= RANGE_ROWS else g
+
+
 def at_risk(g: DataFrame, groups: list[str]) -> DataFrame:
     """Adds n, the rows with time >= this time."""
     return running(g if is_small(g) else kept(g, groups), groups, {"n": F.col("c")}, back=True)

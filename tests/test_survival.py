@@ -600,3 +600,25 @@ def test_optimal_cutpoint_reads_the_cohort_once(spark):
     med = {r.side: r.median for r in km.summary(side, ["side"]).collect()}
     assert (got["median_above"], got["median_below"]) == (med[True], med[False])
     assert cutpoint.optimal_cutpoint(watched, "x", permutations=3) | {"permutation_p": 0} == got | {"permutation_p": 0} and seen.value == 3 * n  # once more for the permutations
+
+
+def test_ph_tests_read_the_cohort_once(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    x, t = rng.integers(0, 9, n) + 0.0, np.ceil(9 * rng.exponential(1, n))
+    df = rows(spark, t, rng.integers(0, 2, n), x=x.tolist(), s=[str(i % 2) for i in range(n)]).withColumnRenamed("x", "a[b c]").cache()
+    for strata in ([], ["s"]):
+        fit = cox.fit(df, ["a[b c]"], strata)
+        watched, seen = counted_rows(spark, df)
+        ph = cox.ph_tests(watched, fit)
+        assert seen.value == n
+        s = cox.schoenfeld(df, fit).toPandas()
+        assert ph["terms"][0]["rho"] == pytest.approx(stats.spearman(s.time.tolist(), s.r0.round(12).tolist())[0], abs=1e-9)
+
+
+def test_range_numbers_of_many_cuts(spark):
+    cuts = [float(x) for x in range(0, 2000, 2)]
+    df = spark.createDataFrame([(-0.0,), (-1.0,), (3.0,), (4.0,), (1998.0,), (5e9,), (float("nan"),), (float("-inf"),), (None,)], "v double")
+    marked = df.select("v", timegrid.range_number(F.col("v"), cuts).alias("r"))
+    assert [r.r for r in marked.collect()] == [1, 0, 4, 5, 1999, 2000, 2000, 0, 2000]
+    assert len(marked._jdf.queryExecution().optimizedPlan().toString()) < 2000  # the plan doesn't grow with the cuts
