@@ -5,14 +5,19 @@ Predictions come as a table of (_row_id, t, surv), or as a Column of the linear
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UserInputError
-from .timegrid import curves_at, grid, survival
+from ..scratch import written
+from .timegrid import beside, curves_at, grid, like, survival
 
 TINY = 1e-12
+#: Predictions that a task joins with their rows.
+JOIN_ROWS = 500_000
 
 
 def step(df: DataFrame, groups: list[str] = ()) -> tuple[np.ndarray, np.ndarray]:
@@ -39,12 +44,16 @@ def brier_table(cohort: DataFrame, predictions: DataFrame, support: DataFrame |
     A row with an event by t adds S^2 / G(time), one still at risk after t adds (1 - S)^2 / G(t), others 0, over all rows; G is
     the censoring curve of the support cohort, at least 1e-12. The null prediction is the support's own curve.
     G and the null curve are taken on time grids that hold the asked times too and joined by equal times; none reaches the driver.
+    Predictions and rows meet in as many tasks as their count asks for, so that a task's memory doesn't grow with them.
     """
-    asked = predictions.select(F.col("t").cast("double").alias("time")).distinct()
-    base, own = support_curves(cohort, asked, support)
-    rows = cohort.select("_row_id", F.col("time").cast("double").alias("time"), "event").join(own, "time")
-    x = predictions.withColumn("t", F.col("t").cast("double")).join(base, "t").join(rows, "_row_id")
-    return scores(x)
+    predictions = predictions.select("_row_id", F.col("t").cast("double").alias("t"), "surv")
+    asked = written(predictions.groupBy(F.col("t").alias("time")).count())
+    parts = math.ceil((asked.agg(F.sum("count")).first()[0] or 0) / JOIN_ROWS)
+    base, own = support_curves(cohort, asked.select("time"), support)
+    rows = cohort.select("_row_id", F.col("time").cast("double").alias("time"), "event").join(beside(own), "time")
+    if parts > 1:
+        predictions, rows = predictions.repartition(parts, "_row_id"), rows.repartition(parts, "_row_id")
+    return scores(predictions.join(rows, "_row_id").join(base, "t"))
 
 
 def support_curves(cohort: DataFrame, asked: DataFrame, support: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -52,8 +61,9 @@ def support_curves(cohort: DataFrame, asked: DataFrame, support: DataFrame | Non
     own = cohort.select(F.col("time").cast("double").alias("time")).distinct()
     curves = curves_at(cohort if support is None else support, asked if support is None else asked.union(own))
     g = F.greatest("cens", F.lit(TINY))
-    base = asked.join(curves.select("time", g.alias("gt"), F.col("surv").alias("s0")), "time").withColumnRenamed("time", "t")
-    return base, curves.select("time", g.alias("gi"))
+    values = like(curves, curves.select("time", g.alias("gt"), F.col("surv").alias("s0")))
+    base = asked.join(beside(values), "time").withColumnRenamed("time", "t")
+    return beside(like(curves, base)), like(curves, curves.select("time", g.alias("gi")))
 
 
 def scores(x: DataFrame) -> DataFrame:
@@ -70,7 +80,7 @@ def brier_of_curves(rows: DataFrame, times: list[float], support: DataFrame | No
     asked = spark.createDataFrame([(i, float(t)) for i, t in enumerate(times)], "k int, time double")
     base, own = support_curves(rows, asked.select("time").distinct(), support)
     base = base.join(asked.withColumnRenamed("time", "t"), "t")
-    x = rows.select(F.col("time").cast("double").alias("time"), "event", "surv").join(own, "time")
+    x = rows.select(F.col("time").cast("double").alias("time"), "event", "surv").join(beside(own), "time")
     x = x.select("time", "event", "gi", F.posexplode("surv").alias("k", "surv")).join(F.broadcast(base), "k")  # as many rows as times
     return scores(x)
 

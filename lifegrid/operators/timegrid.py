@@ -170,7 +170,7 @@ def curves_at(cohort: DataFrame, times: DataFrame) -> DataFrame:
     (log_s, left_s), (log_c, left_c) = product_parts(F.col("d"), n), product_parts(F.col("c") - F.col("d"), n)
     s = running(g, [], {"_s": log_s, "_c": log_c}, {"_ls": left_s, "_lc": left_c})
     value = lambda left, log: F.when(F.coalesce(F.col(left) <= 0, F.lit(False)), 0.0).otherwise(F.exp(log))
-    return s.select("time", value("_ls", "_s").alias("surv"), value("_lc", "_c").alias("cens"))
+    return like(s, s.select("time", value("_ls", "_s").alias("surv"), value("_lc", "_c").alias("cens")))
 
 
 def survival_at(cohort: DataFrame, times: DataFrame) -> DataFrame:

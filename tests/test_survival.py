@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lifegrid.errors import NotFoundError, UserInputError
 from lifegrid.functions import levels, outcomes, stats
-from lifegrid.operators import cohort, concordance, cox, cutpoint, encode, grouping, km, likelihood, local, logrank, profile, signature, split, table_one, timegrid
+from lifegrid.operators import brier, cohort, concordance, cox, cutpoint, encode, grouping, km, likelihood, local, logrank, profile, signature, split, table_one, timegrid
 from lifegrid.operators.learners import deep, models
 from lifegrid.sources import exports, readers, store, synthetic
 
@@ -622,3 +622,22 @@ def test_range_numbers_of_many_cuts(spark):
     marked = df.select("v", timegrid.range_number(F.col("v"), cuts).alias("r"))
     assert [r.r for r in marked.collect()] == [1, 0, 4, 5, 1999, 2000, 2000, 0, 2000]
     assert len(marked._jdf.queryExecution().optimizedPlan().toString()) < 2000  # the plan doesn't grow with the cuts
+
+
+def test_brier_joins_by_count(spark, monkeypatch):
+    """Curves of a small grid are sent to the rows; predictions and rows meet in as many tasks as they need."""
+    rng = np.random.default_rng(6)
+    n = 200
+    df = rows(spark, rng.integers(1, 30, n), rng.integers(0, 2, n), s=rng.random(n).tolist()).cache()
+    p = df.select("_row_id", F.explode(F.array(F.lit(5.0), F.lit(11.0))).alias("t"), F.col("s").alias("surv"))
+    want = sorted(map(tuple, brier.brier_table(df, p).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(brier, "JOIN_ROWS", 7)
+        out = brier.brier_table(df, p)
+        got, plan = sorted(map(tuple, out.collect())), out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [pytest.approx(w) for w in want] and [r[1] for r in got] == [n, n]
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(joins) == 1 and "_row_id" in joins[0] and sum("REPARTITION_BY_NUM" in line and ", 58)" in line for line in plan.splitlines()) == 2
