@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_quantile
+from ..scratch import written
 from .timegrid import range_cuts, range_number
 
 
@@ -87,11 +88,13 @@ def ranges(df: DataFrame) -> tuple[list[float], list[float]]:
 
 def pair_table(df: DataFrame, keys: list[str] = (), weight: str | None = None, cuts: tuple[list[float], list[float]] | None = None) -> DataFrame:
     """keys, concordant, tied, comparable, c_index of a table of time, event and risk. Rows without a finite risk don't count;
-    others count once, or weight times. The cuts come from ranges() unless given; they never change a result."""
+    others count once, or weight times. The cuts come from the merged rows unless given; they never change a result."""
     keys = list(keys)
-    times, risks = ranges(df) if cuts is None else cuts
     merged = counted(df).groupBy(*keys, F.col("time").cast("double").alias("time"), "event", F.col("risk").cast("double").alias("risk"))
     merged = merged.agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("k"))
+    if cuts is None:
+        merged = written(merged)  # for the cuts and for the three counts
+    times, risks = range_cuts(merged, ["time", "risk"]) if cuts is None else cuts
     marked = merged.withColumns({"tr": range_number(F.col("time"), times), "rr": range_number(F.col("risk"), risks)})
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "concordant double, tied double, comparable double"
@@ -122,39 +125,60 @@ def c_index(df: DataFrame) -> float | None:
     return None if r is None else r.c_index
 
 
+def table_counts(tr: np.ndarray, rr: np.ndarray, event: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row_counts`` of cells by the numbers of their ranges of times and of risks, from sums over the whole table of both."""
+    shape = (int(tr.max()) + 1, int(rr.max()) + 1)
+    every, dead = np.zeros(shape), np.zeros(shape)
+    np.add.at(every, (tr, rr), weight)
+    np.add.at(dead, (tr, rr), np.where(event == 1, weight, 0.0))
+    late = np.cumsum(every[::-1], axis=0)[::-1] - every  # rows of later ranges of times, by range of risks
+    early = np.cumsum(dead, axis=0) - dead  # events of earlier ones
+    lower, higher = np.cumsum(late, axis=1) - late, np.cumsum(early[:, ::-1], axis=1)[:, ::-1] - early
+    counts = [(lower, higher), (late, early), (late.sum(axis=1, keepdims=True) + 0 * late, early.sum(axis=1, keepdims=True) + 0 * early)]
+    return tuple(np.where(event == 1, first[tr, rr], 0.0) + second[tr, rr] for first, second in counts)
+
+
 def influence(df: DataFrame, cuts: tuple[list[float], list[float]] | None = None) -> dict | None:
     """c_index and its standard error by the infinitesimal jackknife, in one pass over the merged rows; None without a comparable pair.
 
     A row in a share of agree of its comparable pairs moves the index by (agree - c_index * comparable) / all pairs; the
     variance is the sum of the squares. Each row's pairs are counted as in ``pair_table``: within its range of times, within its range of
-    risks, and by the table of both ranges, and added up by row.
+    risks, and by the table of both ranges. The rows go to their ranges of times and on to their ranges of risks with what has been
+    counted, so no count is joined to its row again; those of a risk that is a range of its own stay where they are.
     """
-    times, risks = ranges(df) if cuts is None else cuts
-    merged = counted(df).groupBy(F.col("time").cast("double").alias("time"), "event", F.col("risk").cast("double").alias("risk")).agg(F.count(F.lit(1)).alias("k"))
+    merged = written(counted(df).groupBy(F.col("time").cast("double").alias("time"), F.col("event").cast("int").alias("event"), F.col("risk").cast("double").alias("risk")).agg(F.count(F.lit(1)).cast("double").alias("k")))
+    times, risks = range_cuts(merged, ["time", "risk"]) if cuts is None else cuts
     marked = merged.withColumns({"tr": range_number(F.col("time"), times), "rr": range_number(F.col("risk"), risks)}).persist()
+    columns = ["tr", "rr", "event", "risk", "k"]
 
-    def shares(rows: DataFrame, inside: list[str], keys: list[str], time: str, risk: str, use: tuple[float, float, float], name: str) -> DataFrame:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            conc, tied, comp = row_counts(pdf[time].to_numpy(float), pdf.event.to_numpy(), pdf[risk].to_numpy(float), pdf.k.to_numpy(float))
-            return pdf[keys].assign(**{f"n{name}": use[0] * conc + use[1] * tied, f"c{name}": use[2] * comp})
+    def in_times(pdf: pd.DataFrame) -> pd.DataFrame:
+        conc, tied, comp = row_counts(pdf.time.to_numpy(float), pdf.event.to_numpy(), pdf.risk.to_numpy(float), pdf.k.to_numpy(float))
+        return pdf[columns].assign(n=conc + 0.5 * tied, c=comp)
+
+    def in_table(pdf: pd.DataFrame) -> pd.DataFrame:
+        conc, tied, comp = table_counts(*(pdf[c].to_numpy() for c in ("tr", "rr", "event", "k")))
+        # an odd range of risks has one risk, so all its pairs of other times are ties
+        return pdf[["rr", "tr", "event"]].assign(nt=conc + np.where(pdf.rr % 2 == 1, 0.5 * tied, 0.0), ct=comp)
 
-        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-        return rows.groupBy(*inside).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", n{name} double, c{name} double")
+    def in_risks(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        conc, tied, _ = row_counts(pdf.tr.to_numpy(float), pdf.event.to_numpy(), pdf.risk.to_numpy(float), pdf.k.to_numpy(float))
+        pdf = pdf.merge(table, on=["rr", "tr", "event"], how="left")
+        n, c, k = pdf.n.to_numpy() + conc + 0.5 * tied + pdf.nt.to_numpy(), pdf.c.to_numpy() + pdf.ct.to_numpy(), pdf.k.to_numpy()
+        return pd.DataFrame({a: [float(k @ v)] for a, v in (("n", n), ("c", c), ("nn", n * n), ("nc", n * c), ("cc", c * c))})
 
+    names = ("n", "c", "nn", "nc", "cc")
     try:
         # an odd range of times has one time, so no pair inside it
-        x = marked.join(shares(marked.filter("tr % 2 = 0"), ["tr"], ["time", "event", "risk"], "time", "risk", (1, 0.5, 1), "1"), ["time", "event", "risk"], "left")
-        names = ["1"]
-        if times:
-            coarse = marked.groupBy("rr", "risk", "tr", "event").agg(F.sum("k").alias("k"))
-            cells = marked.groupBy("rr", "tr", "event").agg(F.sum("k").alias("k")).withColumn("_all", F.lit(0))
-            x = x.join(shares(coarse, ["rr"], ["rr", "risk", "tr", "event"], "tr", "risk", (1, 0.5, 0), "2"), ["rr", "risk", "tr", "event"], "left")
-            x = x.join(shares(cells, ["_all"], ["rr", "tr", "event"], "tr", "rr", (1, 0, 1), "3"), ["rr", "tr", "event"], "left")
-            names = ["1", "2", "3"]
-        total = lambda a: sum((F.coalesce(F.col(f"{a}{i}"), F.lit(0.0)) for i in names[1:]), F.coalesce(F.col(f"{a}1"), F.lit(0.0)))
-        n, c, k = F.col("n"), F.col("c"), F.col("k")
-        sums = x.select("k", total("n").alias("n"), total("c").alias("c"))
-        r = sums.agg(*[F.sum(k * v).alias(a) for a, v in (("n", n), ("c", c), ("nn", n * n), ("nc", n * c), ("cc", c * c))]).first()
+        x = marked.filter("tr % 2 = 0").groupBy("tr").applyInPandas(in_times, "tr int, rr int, event int, risk double, k double, n double, c double")
+        x = x.unionByName(marked.filter("tr % 2 = 1").select(*columns, F.lit(0.0).alias("n"), F.lit(0.0).alias("c")))
+        cells = marked.groupBy("rr", "tr", "event").agg(F.sum("k").alias("k")).withColumn("_all", F.lit(0))  # at most 2 * (2 * MAX_RANGES + 1)^2 rows
+        table = written(cells.groupBy("_all").applyInPandas(in_table, "rr int, tr int, event int, nt double, ct double"))
+        sums = x.filter("rr % 2 = 0").groupBy("rr").cogroup(table.filter("rr % 2 = 0").groupBy("rr")).applyInPandas(in_risks, ", ".join(f"{a} double" for a in names))
+        if risks:
+            one = x.filter("rr % 2 = 1").join(table.filter("rr % 2 = 1"), ["rr", "tr", "event"])
+            n, c, k = F.col("n") + F.col("nt"), F.col("c") + F.col("ct"), F.col("k")
+            sums = sums.unionByName(one.select((k * n).alias("n"), (k * c).alias("c"), (k * n * n).alias("nn"), (k * n * c).alias("nc"), (k * c * c).alias("cc")))
+        r = sums.agg(*[F.sum(a).alias(a) for a in names]).first()
     finally:
         marked.unpersist()
     if not r.c:

@@ -641,3 +641,23 @@ def test_brier_joins_by_count(spark, monkeypatch):
     assert got == [pytest.approx(w) for w in want] and [r[1] for r in got] == [n, n]
     joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
     assert len(joins) == 1 and "_row_id" in joins[0] and sum("REPARTITION_BY_NUM" in line and ", 58)" in line for line in plan.splitlines()) == 2
+
+
+def test_influence_reads_once_and_with_common_risks(spark, monkeypatch):
+    monkeypatch.setattr(timegrid, "RANGE_ROWS", 12)
+    rng = np.random.default_rng(8)
+    n = 160
+    t, e, r = rng.integers(1, 25, n), rng.integers(0, 2, n), rng.integers(0, 15, n) / 2.0
+    t[::4], r[::3] = 9, 3.5
+    df = rows(spark, t, e, risk=r.tolist()).cache()
+    watched, seen = counted_rows(spark, df)
+    got = concordance.influence(watched)
+    assert seen.value == n
+    score = (r[:, None] > r) + 0.5 * (r[:, None] == r)
+    pair = (t[:, None] < t) & (e[:, None] == 1)
+    num, com = (pair * score).sum(1) + (pair * score).sum(0), pair.sum(1) + pair.sum(0)
+    c = num.sum() / com.sum()
+    assert got["c_index"] == pytest.approx(c) and got["comparable"] == pair.sum()
+    assert got["std_error"] == pytest.approx(math.sqrt(((num - c * com) ** 2).sum()) / pair.sum(), rel=1e-9)
+    table = concordance.pair_table(watched).first()
+    assert table.comparable == pair.sum() and table.c_index == pytest.approx(c) and seen.value == 2 * n
