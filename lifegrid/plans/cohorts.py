@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,13 +39,14 @@ def ship_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.datediff("l_shipdate", "o_orderdate").cast("double").alias("time"), "event", "l_linestatus", "o_orderpriority", "l_quantity", "l_discount").filter("time > 0")
 
 
-def conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours, plus one, from a user's first event to the first purchase above 100; else censored at the last event."""
+def conversion(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """Hours, plus one, from a user's first event to the first purchase above 100; else censored at the last event. more are
+    further aggregates of a user's events."""
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
     hit = F.when((F.col("event_type") == "purchase") & (F.col("value") > 100), F.col("ts"))
-    f = e.groupBy("user_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("tl"), F.min(hit).alias("tp"))
+    f = e.groupBy("user_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("tl"), F.min(hit).alias("tp"), *[c.alias(k) for k, c in more.items()])
     hours = F.floor((F.unix_timestamp(F.coalesce("tp", "tl")) - F.unix_timestamp("t0")) / 3600.0) + 1
-    return f.select(F.col("user_id").alias("_row_id"), hours.cast("double").alias("time"), F.col("tp").isNotNull().cast("int").alias("event"))
+    return f.select(F.col("user_id").alias("_row_id"), hours.cast("double").alias("time"), F.col("tp").isNotNull().cast("int").alias("event"), *more)
 
 
 #: The same cohorts in SQL.

@@ -6,7 +6,7 @@ from math import factorial
 import numpy as np
 import pytest
 
-from lifegrid.operators import treeshap
+from lifegrid.operators import explain, treeshap
 from lifegrid.operators.learners import compare, models
 from lifegrid.plans.requests import ModelRequest, Service
 
@@ -86,3 +86,17 @@ def test_cox_request(spark):
     s = Service(spark)
     got = s.cox(CoxRequest(dataset_id=s.load_example(220), time_column="os_months", event_column="os_event", covariates=["age", "stage"]))
     assert got["c_index_interval"][0] < got["c_index"] < got["c_index_interval"][1] and got["martingale_panels"][0]["term"] == "age"
+
+
+def test_time_slices_read_the_cohort_once(spark):
+    rng = np.random.default_rng(3)
+    data = [(float(t), int(e), float(a)) for t, e, a in zip(rng.integers(1, 40, 200), rng.integers(0, 2, 200), rng.random(200), strict=True)]
+    df, seen = spark.createDataFrame(data, "time double, event int, a double"), spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = explain.time_slice_importance(df.mapInArrow(watch, df.schema), ["a"], times=[8.0, 20.0]).collect()
+    assert [r.t for r in got] == [8.0, 20.0] and seen.value == 200
